@@ -50,9 +50,9 @@ def first_of_commit(df: DataFrame, keys: list[str], attributes: list[str], commi
     )
 
 
-def _slices(df: DataFrame, keys: list[str], min_hot: int) -> tuple[DataFrame, bool]:
-    """Adds slice: 0 for ordinary entities, 1.. by time for hot ones."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+def _slices(raw: DataFrame, df: DataFrame, keys: list[str], at: str, min_hot: int) -> tuple[DataFrame, bool]:
+    """Adds slice: 0 for ordinary entities, 1.. by time for hot ones, counted on the raw rows."""
+    counts = raw.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     top = counts.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
     floor = max((top["total"] or 0) // HOT_KEYS, min_hot)
     if (top["most"] or 0) <= floor:
@@ -63,7 +63,7 @@ def _slices(df: DataFrame, keys: list[str], min_hot: int) -> tuple[DataFrame, bo
     cond = same[0]
     for s in same[1:]:
         cond = cond & s
-    own = df.alias("l").join(F.broadcast(hot.alias("r")), cond, "left_semi")
+    own = raw.select(*keys, F.col(at).alias("at")).alias("l").join(F.broadcast(hot.alias("r")), cond, "left_semi")
     edges = own.groupBy(*keys).agg(F.percentile_approx(F.unix_micros("at"), [i / SLICES for i in range(1, SLICES)], 10_000).alias("edges"))
     out = (
         df.alias("l")
@@ -117,7 +117,7 @@ def history(
     attributes: name to normal form; a change is a change of the normal form.
     """
     names = list(attributes)
-    obs, hot = _slices(first_of_commit(df, keys, names, commit, at, loaded, row_id), keys, min_hot)
+    obs, hot = _slices(df, first_of_commit(df, keys, names, commit, at, loaded, row_id), keys, at, min_hot)
     if len(names) == 1:
         joined = change_log(obs, keys, names[0], attributes[names[0]], hot).withColumnRenamed("value", names[0])
     else:
