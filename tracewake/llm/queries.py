@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewake.llm import formdups, leakage, splitting
+from tracewake.llm import credentials, formdups, leakage, splitting
 from tracewake.sources.tables import table
 
 
@@ -24,6 +24,16 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return formdups.distinct_records(table(spark, d, "analysis_tasks"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    tasks = table(spark, d, "analysis_tasks")
+    return credentials.credential_lines(tasks, credentials.fit(tasks))
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    tasks = table(spark, d, "analysis_tasks")
+    return credentials.redacted(tasks, credentials.fit(tasks))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -32,7 +42,7 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_records, p7_found, p7_leaks)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_records, p6_found, p6_redacted, p7_found, p7_leaks)}
 
 SQL = {
     "p2_found": "SELECT DISTINCT id AS task_id FROM analysis_tasks WHERE id IS NOT NULL AND strlen(input_diff) > 6000",
