@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewake.llm import credentials, formdups, leakage, splitting
+from tracewake.llm import credentials, formdups, leakage, mixing, pii, splitting
 from tracewake.sources.tables import table
 
 
@@ -42,7 +42,28 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_records, p6_found, p6_redacted, p7_found, p7_leaks)}
+def p8_chosen(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.shares(mixing.mixture(table(spark, d, "documents"), targets), targets)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "documents"), table(spark, d, "name_lexicon"))
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "documents"), table(spark, d, "name_lexicon"))
+
+
+def p9_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    return pii.with_surrogates(table(spark, d, "documents"), table(spark, d, "name_lexicon"), b"a key of the caller")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_records, p6_found, p6_redacted, p7_found, p7_leaks, p8_chosen, p8_shares, p9_found, p9_redacted, p9_surrogates)}
 
 SQL = {
     "p2_found": "SELECT DISTINCT id AS task_id FROM analysis_tasks WHERE id IS NOT NULL AND strlen(input_diff) > 6000",
