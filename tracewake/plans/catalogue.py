@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewake.plans import general
+from tracewake.plans import general, store_queries, text_queries
 
-GROUPS = (general,)
+GROUPS = (general, store_queries, text_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -44,7 +44,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; an upper bound for scans and projections of files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
