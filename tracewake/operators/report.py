@@ -9,20 +9,25 @@ FORMATS = ("json", "terminal", "markdown")
 _S = F.lit
 
 
+def _z(c: Column) -> Column:
+    """A missing text is an empty one."""
+    return F.coalesce(c, _S(""))
+
+
 def _line(n: Column) -> Column:
     return F.coalesce(n.cast("string"), _S("0"))
 
 
 def chain_path(nodes: Column) -> Column:
     """f (Ln) → g (Ln) → [变更点]; empty without nodes."""
-    parts = F.transform(nodes, lambda n: F.concat(F.coalesce(n["func_name"], _S("")), _S(" (L"), _line(n["line"]), _S(")")))
+    parts = F.transform(nodes, lambda n: F.concat(F.coalesce(_z(n["func_name"]), _S("")), _S(" (L"), _line(n["line"]), _S(")")))
     return F.when(F.size(nodes) > 0, F.concat(F.array_join(parts, " → "), _S(" → [变更点]"))).otherwise("")
 
 
 def tree(nodes: Column, indent: bool) -> Column:
     """One line a node; leaves show their repository. indent: by position, else branches at one depth."""
-    text = lambda n: F.when(n["node_type"] == "leaf", F.concat(n["func_name"], _S(" (底层: "), n["repo"], _S(")"))).otherwise(
-        F.concat(n["func_name"], _S(" ("), n["file_path"], _S(":"), _line(n["line"]), _S(")"))
+    text = lambda n: F.when(n["node_type"] == "leaf", F.concat(_z(n["func_name"]), _S(" (底层: "), _z(n["repo"]), _S(")"))).otherwise(
+        F.concat(_z(n["func_name"]), _S(" ("), _z(n["file_path"]), _S(":"), _line(n["line"]), _S(")"))
     )
     if indent:
         return F.array_join(F.transform(nodes, lambda n, i: F.concat(_S("  "), F.repeat(_S("     "), i), _S("└─ "), text(n), _S("\n"))), "")
@@ -32,10 +37,10 @@ def tree(nodes: Column, indent: bool) -> Column:
 
 def numbered_nodes(nodes: Column) -> Column:
     """i. [repo] f (file:line); file and line where they are known."""
-    place = lambda n: F.when(F.coalesce(n["file_path"], _S("")) == "", "").otherwise(
-        F.concat(_S(" ("), n["file_path"], F.when(F.coalesce(n["line"], _S(0)) > 0, F.concat(_S(":"), _line(n["line"]))).otherwise(""), _S(")"))
+    place = lambda n: F.when(F.coalesce(_z(n["file_path"]), _S("")) == "", "").otherwise(
+        F.concat(_S(" ("), _z(n["file_path"]), F.when(F.coalesce(n["line"], _S(0)) > 0, F.concat(_S(":"), _line(n["line"]))).otherwise(""), _S(")"))
     )
-    return F.array_join(F.transform(nodes, lambda n, i: F.concat((i + 1).cast("string"), _S(". ["), n["repo"], _S("] "), n["func_name"], place(n))), "\n")
+    return F.array_join(F.transform(nodes, lambda n, i: F.concat((i + 1).cast("string"), _S(". ["), _z(n["repo"]), _S("] "), _z(n["func_name"]), place(n))), "\n")
 
 
 def direct_repo(nodes: Column) -> Column:
@@ -45,7 +50,7 @@ def direct_repo(nodes: Column) -> Column:
 def _marked(label: Column, i: Column, entries: Column, wrap: str) -> Column:
     e = F.get(entries, i)
     no = (i + 1).cast("string")
-    named = F.concat(_S("入口"), no, _S(f" {wrap}["), e["protocol"], _S("] "), e["path"], _S(wrap))
+    named = F.concat(_S("入口"), no, _S(f" {wrap}["), _z(e["protocol"]), _S("] "), _z(e["path"]), _S(wrap))
     return F.when(e.isNotNull(), named).otherwise(F.concat(_S("路径"), no))
 
 
@@ -53,14 +58,14 @@ def markdown(r: dict[str, Column], title: str = "分析报告") -> Column:
     """The Markdown report. r: downward, upward, entries, scenarios, impact, self_check columns."""
     nodes = r["downward"]["nodes"]
     first = F.get(nodes, 0)
-    head = F.when(F.size(nodes) > 0, F.concat(_S("**变更函数:** `["), first["repo"], _S("] "), first["func_name"], _S("` (`"), first["file_path"], _S(":"), _line(first["line"]), _S("`)\n\n"))).otherwise("")
+    head = F.when(F.size(nodes) > 0, F.concat(_S("**变更函数:** `["), _z(first["repo"]), _S("] "), _z(first["func_name"]), _S("` (`"), _z(first["file_path"]), _S(":"), _line(first["line"]), _S("`)\n\n"))).otherwise("")
     down = F.when(F.size(nodes) > 1, F.concat(_S("## 向下追踪（实现路径）\n\n```\n"), tree(F.slice(nodes, 2, 1_000_000), True), _S("```\n\n"))).otherwise("")
     chain = lambda c, i: F.concat(_S("### "), _marked(_S(""), i, r["entries"], "`"), _S("\n\n```\n"), F.when(F.size(c["nodes"]) > 0, F.concat(_S("  └─ "), chain_path(c["nodes"]), _S("\n"))).otherwise(""), _S("```\n\n"))
     up = F.when(F.size(r["upward"]) > 0, F.concat(_S("## 向上追踪 → 集成测试入口\n\n"), F.array_join(F.transform(r["upward"], chain), ""))).otherwise("")
     case = lambda e: F.when(F.size(e["test_scenarios"]) > 0, F.concat(_S("- **测试场景:**\n"), F.array_join(F.transform(e["test_scenarios"], lambda s: F.concat(_S("  - "), s, _S("\n"))), ""))).otherwise("")
-    entry = lambda e, i: F.concat(_S("### 入口"), (i + 1).cast("string"), _S("\n\n- **协议:** "), e["protocol"], _S("\n- **路径:** `"), e["path"], _S("`\n- **函数:** `"), e["node"]["func_name"], _S("` (`"), e["node"]["file_path"], _S(":"), _line(e["node"]["line"]), _S("`)\n"), case(e), _S("\n"))
+    entry = lambda e, i: F.concat(_S("### 入口"), (i + 1).cast("string"), _S("\n\n- **协议:** "), _z(e["protocol"]), _S("\n- **路径:** `"), _z(e["path"]), _S("`\n- **函数:** `"), _z(e["node"]["func_name"]), _S("` (`"), _z(e["node"]["file_path"]), _S(":"), _line(e["node"]["line"]), _S("`)\n"), case(e), _S("\n"))
     entries = F.when(F.size(r["entries"]) > 0, F.concat(_S("## 集成测试入口\n\n"), F.array_join(F.transform(r["entries"], entry), ""))).otherwise("")
-    cases = F.when(F.size(r["scenarios"]) > 0, F.concat(_S("## 集成测试场景\n\n"), F.array_join(F.transform(r["scenarios"], lambda s: F.concat(_S("- **["), s["entry_protocol"], _S(" "), s["entry_path"], _S("]** "), s["description"], _S("\n"))), ""), _S("\n"))).otherwise("")
+    cases = F.when(F.size(r["scenarios"]) > 0, F.concat(_S("## 集成测试场景\n\n"), F.array_join(F.transform(r["scenarios"], lambda s: F.concat(_S("- **["), _z(s["entry_protocol"]), _S(" "), _z(s["entry_path"]), _S("]** "), _z(s["description"]), _S("\n"))), ""), _S("\n"))).otherwise("")
     im = r["impact"]
     items = lambda a: F.coalesce(F.array_join(F.transform(a, lambda f: F.concat(_S("  - `"), f, _S("`\n"))), ""), _S(""))
     direct = F.concat(_S("## 影响范围\n\n- **直接影响:** "), direct_repo(nodes), _S(" 内 "), _line(im["direct_count"]), _S(" 个函数\n"), items(im["direct_functions"]))
@@ -74,11 +79,11 @@ def terminal(r: dict[str, Column], colours: bool = False) -> Column:
     c = {k: v if colours else "" for k, v in {"bold": "\033[1m", "cyan": "\033[36m", "yellow": "\033[33m", "green": "\033[32m", "blue": "\033[34m", "red": "\033[31m", "gray": "\033[90m", "off": "\033[0m"}.items()}
     nodes = r["downward"]["nodes"]
     first = F.get(nodes, 0)
-    head = F.when(F.size(nodes) > 0, F.concat(_S(f"{c['bold']}{c['cyan']}变更函数:{c['off']} {c['yellow']}["), first["repo"], _S("] "), first["func_name"], _S(" ("), first["file_path"], _S(":"), _line(first["line"]), _S(f"){c['off']}\n"))).otherwise("")
+    head = F.when(F.size(nodes) > 0, F.concat(_S(f"{c['bold']}{c['cyan']}变更函数:{c['off']} {c['yellow']}["), _z(first["repo"]), _S("] "), _z(first["func_name"]), _S(" ("), _z(first["file_path"]), _S(":"), _line(first["line"]), _S(f"){c['off']}\n"))).otherwise("")
     down = F.when(F.size(nodes) > 1, F.concat(_S(f"\n{c['bold']}向下追踪（实现路径）:{c['off']}\n"), tree(F.slice(nodes, 2, 1_000_000), False))).otherwise("")
     chain = lambda x, i: F.concat(_S(f"  {c['green']}"), _marked(_S(""), i, r["entries"], ""), _S(f"{c['off']}\n"), F.when(F.size(x["nodes"]) > 0, F.concat(_S(f"    └─ {c['gray']}"), chain_path(x["nodes"]), _S(f"{c['off']}\n"))).otherwise(""))
     up = F.when(F.size(r["upward"]) > 0, F.concat(_S(f"\n{c['bold']}向上追踪 → 集成测试入口:{c['off']}\n"), F.array_join(F.transform(r["upward"], chain), ""))).otherwise("")
-    cases = F.when(F.size(r["scenarios"]) > 0, F.concat(_S(f"\n{c['bold']}集成测试场景:{c['off']}\n"), F.array_join(F.transform(r["scenarios"], lambda s: F.concat(_S(f"  {c['blue']}["), s["entry_protocol"], _S(" "), s["entry_path"], _S(f"]{c['off']} "), s["description"], _S("\n"))), ""))).otherwise("")
+    cases = F.when(F.size(r["scenarios"]) > 0, F.concat(_S(f"\n{c['bold']}集成测试场景:{c['off']}\n"), F.array_join(F.transform(r["scenarios"], lambda s: F.concat(_S(f"  {c['blue']}["), _z(s["entry_protocol"]), _S(" "), _z(s["entry_path"]), _S(f"]{c['off']} "), _z(s["description"]), _S("\n"))), ""))).otherwise("")
     im = r["impact"]
     direct = F.concat(_S(f"\n{c['bold']}影响范围:{c['off']}\n  直接影响: {c['yellow']}"), direct_repo(nodes), _S(" 内 "), _line(im["direct_count"]), _S(f" 个函数{c['off']}\n"))
     cross = F.when(im["cross_repo_count"] > 0, F.concat(_S(f"  跨仓影响: {c['red']}"), F.array_join(im["cross_repo_impact"], "、"), _S(f"{c['off']}\n"))).otherwise("")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewake.plans import general, store_queries, text_queries
+from tracewake.plans import flow_queries, general, store_queries, text_queries
 
-GROUPS = (general, store_queries, text_queries)
+GROUPS = (general, store_queries, text_queries, flow_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

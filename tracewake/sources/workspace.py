@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewake.functions.text import relative_path, uri_to_path
+from tracewake.functions.text import relative_path
+
+
+def _path_of(uri: Column) -> Column:
+    """The path of a local file URI, with one slash or three."""
+    return F.url_decode(F.regexp_replace(F.regexp_replace(uri, "^file:(?://(?=/))?", ""), r"\+", "%2B"))
 
 
 def files(spark: SparkSession, root: str, hidden: bool = False) -> DataFrame:
     """path (relative to root), content of every file; directories that begin with a dot are skipped."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(root)
-    path = relative_path(F.regexp_replace(uri_to_path(F.col("_metadata.file_path")), "^//(?=/)", ""), root)
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
+    path = relative_path(_path_of(F.col("_metadata.file_path")), root)
     out = raw.select(path.alias("path"), F.col("value").alias("content"))
     return out if hidden else out.where(~F.col("path").rlike(r"(?:^|/)\.[^/]+/"))
 
@@ -19,7 +24,7 @@ def files(spark: SparkSession, root: str, hidden: bool = False) -> DataFrame:
 def diff_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One row: the files' texts in the given order, a line feed after each."""
     order = {p: i for i, p in enumerate(paths)}
-    raw = spark.read.option("wholetext", "true").text(list(paths)).select(uri_to_path(F.col("_metadata.file_path")).alias("p"), "value")
+    raw = spark.read.text(list(paths), wholetext=True).select(_path_of(F.col("_metadata.file_path")).alias("p"), "value")
     at = F.coalesce(*[F.when(F.col("p").endswith(p), i) for p, i in order.items()])
     parts = F.array_sort(F.collect_list(F.struct(at.alias("i"), "value")))
     return raw.agg(F.concat(F.array_join(F.transform(parts, lambda x: x["value"]), "\n"), F.lit("\n")).alias("diff"))

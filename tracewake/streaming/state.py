@@ -32,7 +32,7 @@ def current(rows: DataFrame, key: str, as_of: Column, at: str = "at", deleted: s
 
 
 def cache_hits(writes: DataFrame, probes: DataFrame, key: str, hours: int = CACHE_HOURS) -> DataFrame:
-    """Probes with hit: a write of the key lies before the probe by less than the time to live.
+    """Probes with hit: a write of the key lies at or before the probe, by less than the time to live.
 
     Writes and probes of a key go through one running maximum; the key is split by
     time slices of the time to live so that a hot key isn't one task: a write can
@@ -44,7 +44,7 @@ def cache_hits(writes: DataFrame, probes: DataFrame, key: str, hours: int = CACH
     p = probes.select(F.col(key).alias("k"), F.col("at"), F.col("probe_id"), slot(F.col("at")).alias("slot"))
     from pyspark.sql.window import Window
 
-    before = Window.partitionBy("k", "slot").orderBy("at", F.col("probe_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("k", "slot").orderBy("at", F.col("probe_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     last = F.max(F.when(F.col("probe_id").isNull(), F.col("at"))).over(before)
     both = w.unionByName(p).withColumn("last", last).where("probe_id IS NOT NULL")
     return both.select("probe_id", F.col("k").alias(key), "at", F.coalesce(F.col("last") + F.make_dt_interval(secs=F.lit(width)) > F.col("at"), F.lit(False)).alias("hit"))
