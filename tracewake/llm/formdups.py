@@ -25,7 +25,8 @@ LABEL = r"(?U)^\s*\p{L}[\p{L}\p{N}_ ./()-]{0,40}\s*[:：]"
 
 
 def folded(c: Column) -> Column:
-    return F.lower(F.upper(c))
+    """Without case; the letters whose lower forms differ though their upper forms agree are joined."""
+    return F.replace(F.translate(F.lower(c), "ſς", "sσ"), F.lit("ß"), F.lit("ss"))
 
 
 def bare(c: Column) -> Column:
