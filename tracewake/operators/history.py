@@ -30,7 +30,7 @@ MIN_HOT = 200_000
 
 def normal_text(c: Column) -> Column:
     """Case and amount of white space don't matter; null if blank."""
-    flat = F.trim(F.regexp_replace(F.lower(F.upper(c.cast("string"))), r"(?U)\s+", " "))
+    flat = F.trim(F.regexp_replace(F.lower(c.cast("string")), r"(?U)\s+", " "))
     return F.when(flat != "", flat)
 
 
