@@ -26,7 +26,8 @@ def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = ROUND_CAP, e
     lineage by a checkpoint, so a round's plan never grows. Cycles and self-loops end
     because roots count as seen. Null ends of edges are no nodes.
     """
-    e = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
+    # written once, partitioned by the join key, so no round computes or shuffles the edges again
+    e = cut(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct().repartition("src"))
     frontier = cut(roots.select("node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
     parts = [frontier]
     seen = frontier

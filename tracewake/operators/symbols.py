@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewake.functions.text import EDGE_L, EDGE_R
+from tracewake.session import spread
 
 # fixed values: declaration patterns per language, tried in this order
 SYMBOLS: dict[str, tuple[tuple[str, str], ...]] = {
@@ -62,7 +63,10 @@ def symbols(df: DataFrame, id_col: str, code: str, language: str | None = None)
     """id, language, name, kind, line; one symbol a line, the first pattern that matches."""
     lang = alias(F.col(language)) if language else F.lit("")
     src = df.select(F.col(id_col).alias("id"), F.col(code).alias("code"), lang.alias("given")).where(F.coalesce(F.col("code"), F.lit("")) != "")
-    src = src.select("id", F.when(F.col("given") == "", detect(F.col("code"))).otherwise(F.col("given")).alias("language"), F.posexplode(F.split("code", "\n")).alias("at", "raw"))
+    src = spread(src)
+    # the language is found before the lines are taken apart, once a text
+    src = src.select("id", F.when(F.col("given") == "", detect(F.col("code"))).otherwise(F.col("given")).alias("language"), "code")
+    src = src.select("id", "language", F.posexplode(F.split("code", "\n")).alias("at", "raw"))
     src = src.withColumn("text", without_number(F.col("raw"))).where(F.col("raw").rlike(MAYBE))
     text = F.col("text")
 

@@ -42,6 +42,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """For costly work per row on a plain scan: as many partitions as cores, if the files give fewer.
+
+    Large inputs have more partitions than cores and stay as they are, unshuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; an upper bound for scans and projections of files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
