@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewake.session import cut
+from tracewake.session import cut, spread
 
 HOT_KEYS = 512
 MIN_HOT = 1000
@@ -54,7 +54,8 @@ def canonical_description(c: Column) -> Column:
 def keyed_records(df: DataFrame, id_col: str = "id", diff: str = "input_diff", desc: str = "input_desc") -> DataFrame:
     """id and key, one row per id; only the digest is shuffled."""
     key = F.unhex(F.sha2(F.concat(canonical_diff(F.col(diff)), F.lit("\u0000"), canonical_description(F.col(desc))), 256))
-    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), key.alias("key")).groupBy("id").agg(F.min("key").alias("key"))
+    texts = spread(df.where(F.col(id_col).isNotNull()).select(id_col, diff, desc))
+    return texts.select(F.col(id_col).alias("id"), key.alias("key")).groupBy("id").agg(F.min("key").alias("key"))
 
 
 def classes(records: DataFrame) -> DataFrame:

@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewake.session import spread
+
 MIN_RUN = 20
 STRIDE = 5
 WINDOW = MIN_RUN - STRIDE + 1
@@ -178,6 +180,7 @@ def leaks(documents: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataF
     spark = documents.sparkSession
     known = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
     n = known.count()
+    texts = spread(documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text"))
     out = None
     blocks = max(1, -(-n // ITEMS_PER_BLOCK))
     for k in range(blocks):
@@ -200,6 +203,6 @@ def leaks(documents: DataFrame, items: DataFrame, radius: int = RADIUS) -> DataF
                         ids, docs, size = [], [], 0
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "run_tokens", "similarity"])
 
-        found = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInPandas(run, PAIRS)
+        found = texts.mapInPandas(run, PAIRS)
         out = found if out is None else out.unionByName(found)
     return out

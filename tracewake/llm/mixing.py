@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracewake.session import cut
+from tracewake.session import cut, spread
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # fixed value: the public pre-tokenizer pattern of this vocabulary
@@ -67,7 +67,7 @@ def count_tokens(df: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             n = [len(enc.encode_ordinary(t)) for t in b["text"]]
             yield b[["doc_id", "source", "digest"]].assign(tokens=n)
 
-    return df.select("doc_id", "source", F.sha2("text", 256).alias("digest"), "text").mapInPandas(run, "doc_id long, source string, digest string, tokens long")
+    return spread(df.select("doc_id", "source", F.sha2("text", 256).alias("digest"), "text")).mapInPandas(run, "doc_id long, source string, digest string, tokens long")
 
 
 class _Flow:
