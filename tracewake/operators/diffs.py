@@ -55,14 +55,16 @@ def changed_functions(df: DataFrame, id_col: str = "id", diff: str = "input_diff
 def infer_repo(functions: DataFrame, repos: DataFrame, name: str = "func_name") -> DataFrame:
     """Adds repo: the first repo whose name and a slash or dot begin the function; else the first repo; else unknown.
 
-    repos: ord, repo_name.
+    repos: ord, repo_name. The function's prefixes before each slash or dot are joined
+    with the names by equality.
     """
-    r = broadcast_if_small(repos.select("ord", "repo_name"))
-    fallback = repos.agg(F.min_by("repo_name", "ord").alias("first_repo"))
-    hit = F.col(name).startswith(F.concat("repo_name", F.lit("/"))) | F.col(name).startswith(F.concat("repo_name", F.lit(".")))
+    first = repos.agg(F.min_by("repo_name", "ord")).first()[0]
     keys = functions.columns
-    found = functions.distinct().join(r, hit, "left").groupBy(*keys).agg(F.min_by("repo_name", "ord").alias("own"))
-    return found.join(F.broadcast(fallback)).select(*keys, F.coalesce("own", "first_repo", F.lit("unknown")).alias("repo"))
+    distinct = functions.distinct()
+    cuts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(name), F.lit(1))), lambda i: F.substring(F.col(name), i, F.lit(1)).isin("/", "."))
+    prefixes = distinct.where(F.col(name).isNotNull()).select(*keys, F.explode(F.transform(cuts, lambda i: F.substring(F.col(name), F.lit(1), i - 1))).alias("repo_name"))
+    own = prefixes.join(broadcast_if_small(repos.select("ord", "repo_name")), "repo_name").groupBy(*keys).agg(F.min_by("repo_name", "ord").alias("own"))
+    return distinct.join(own, keys, "left").select(*keys, F.coalesce("own", F.lit(first), F.lit("unknown")).alias("repo"))
 
 
 def group_by_repo(functions: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewake.functions import text as T
-from tracewake.session import broadcast_if_small
 
 # fixed values: default caps
 MATCH_CAP, SLICE_CAP, LEVEL2_LINES = 100, 200, 30
@@ -67,16 +66,48 @@ def glob_paths(df: DataFrame, path: str, pattern: str, hidden: bool = False) ->
     return out.distinct()
 
 
-def verified(nodes: DataFrame, files: DataFrame) -> DataFrame:
+def _names_in_files(names: list[tuple[str, str]], files: DataFrame) -> DataFrame:
+    """(repo, func_name) of the given names that some file of their repository holds."""
+    import ahocorasick
+    import pandas as pd
+
+    shared = files.sparkSession.sparkContext.broadcast(names)
+
+    def scan(batches):
+        by_repo: dict[str, ahocorasick.Automaton] = {}
+        for repo, name in shared.value:
+            by_repo.setdefault(repo, ahocorasick.Automaton()).add_word(name, name)
+        for a in by_repo.values():
+            a.make_automaton()
+        for b in batches:
+            found = {(r, n) for r, c in zip(b["repo"], b["content"], strict=True) if r in by_repo for _, n in by_repo[r].iter(c)}
+            yield pd.DataFrame(sorted(found), columns=["repo", "func_name"])
+
+    rows = files.where(F.col("repo").isNotNull() & F.col("content").isNotNull()).select("repo", "content")
+    return rows.mapInPandas(scan, "repo string, func_name string").distinct()
+
+
+def verified(nodes: DataFrame, files: DataFrame, block: int = 100_000) -> DataFrame:
     """Adds verified: whether the named file (or, without one, any file of the repo) holds the name.
 
-    nodes: repo, file_path, func_name; files: repo, path, content.
+    nodes: repo, file_path, func_name; files: repo, path, content. Nodes with a file join
+    it by equality; the names without one are looked for in blocks of bounded size, each
+    file being read once a block. Null repositories or names are never verified.
     """
-    named = nodes.where(F.coalesce(F.col("file_path"), F.lit("")) != "")
-    unnamed = nodes.where(F.coalesce(F.col("file_path"), F.lit("")) == "")
+    cols = nodes.columns
+    no_file = F.coalesce(F.col("file_path"), F.lit("")) == ""
     f = files.select(F.col("repo").alias("f_repo"), F.col("path").alias("f_path"), F.col("content").alias("f_content"))
     holds = F.coalesce(F.col("f_content").contains(F.col("func_name")), F.lit(False))
-    cols = nodes.columns
-    a = named.join(f, (F.col("repo") == F.col("f_repo")) & (F.col("file_path") == F.col("f_path")), "left").groupBy(*cols).agg(F.max(holds).alias("verified"))
-    b = broadcast_if_small(unnamed).join(f, F.col("repo") == F.col("f_repo"), "left").groupBy(*cols).agg(F.max(holds).alias("verified"))
-    return a.unionByName(b)
+    named = nodes.where(~no_file).join(f, (F.col("repo") == F.col("f_repo")) & (F.col("file_path") == F.col("f_path")), "left").groupBy(*cols).agg(F.max(holds).alias("verified"))
+    unnamed = nodes.where(no_file).distinct()
+    names = unnamed.where("repo IS NOT NULL AND func_name <> ''").select("repo", "func_name").distinct()
+    blocks = -(-names.count() // block)
+    hit = None
+    for k in range(blocks):
+        part = names.where(F.pmod(F.xxhash64("repo", "func_name"), F.lit(blocks)) == k)
+        found = _names_in_files([(r[0], r[1]) for r in part.collect()], files)
+        hit = found if hit is None else hit.unionByName(found)
+    if hit is None:
+        return named.unionByName(unnamed.withColumn("verified", F.lit(False)))
+    rest = unnamed.join(hit.withColumn("_hit", F.lit(True)), ["repo", "func_name"], "left")
+    return named.unionByName(rest.select(*cols, F.coalesce("_hit", F.lit(False)).alias("verified")))
