@@ -160,3 +160,18 @@ def test_config(tmp_path):
     assert (c.api_key, c.dsn, c.cache_hours, c.checkpoint_hours) == ("k", "d", 7, 24)
     with pytest.raises(ValueError, match="dsn"):
         config.load(str(f), {})
+
+
+def test_insert_stream_keeps_first_writes(spark, tmp_path):
+    from tracewake.operators import store
+
+    spark.sql("DROP TABLE IF EXISTS first_writes")
+    spark.sql("CREATE TABLE first_writes (k string, v string, seq int) USING parquet")
+    spark.sql("INSERT INTO first_writes VALUES ('a', 'old', 0)")
+    src = str(tmp_path / "in")
+    spark.createDataFrame([("a", "new", 1), ("b", "late", 3), ("b", "early", 2), (None, "n", 1)], "k string, v string, seq int").coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema("k string, v string, seq int").parquet(src)
+    for _ in range(2):  # the second run finds nothing new
+        store.insert_stream(stream, "first_writes", ["k"], ["seq"], str(tmp_path / "cp")).awaitTermination(60)
+    assert sorted((str(r.k), r.v) for r in spark.table("first_writes").collect()) == [("None", "n"), ("a", "old"), ("b", "early")]
+    spark.sql("DROP TABLE first_writes")

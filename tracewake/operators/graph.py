@@ -62,3 +62,25 @@ def impact(nodes: DataFrame, owners: DataFrame, root_repo: DataFrame) -> DataFra
     per = nodes.join(owners, "node", "left").withColumn("repo", F.coalesce("repo", F.lit("unknown"))).groupBy("repo").agg(F.count(F.lit(1)).alias("functions"), F.min("depth").alias("nearest"))
     roots = root_repo.select("repo").distinct().withColumn("is_direct", F.lit(True))
     return per.join(roots, "repo", "left").withColumn("is_direct", F.coalesce("is_direct", F.lit(False)))
+
+
+def result_structs(nodes: DataFrame, entries: DataFrame, edges: DataFrame) -> DataFrame:
+    """task_id and one result struct per task: nodes, edges, entry points and impact.
+
+    nodes: task_id, ord, func_name, file_path, line, repo, is_root; entries: task_id, ord and the
+    fields of a node, protocol, path; edges: task_id, src, dst (function names). Lists keep
+    their order, edges are sorted and each once. A task's lists are one result by definition.
+    """
+    node = F.struct("func_name", "file_path", "line", "repo", F.when(F.col("is_root"), "entry").otherwise("middle").alias("node_type"))
+    root = F.max(F.when(F.col("is_root"), F.col("repo")))
+    per = nodes.groupBy("task_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", node.alias("n")))), lambda x: x["n"]).alias("nodes"), root.alias("root_repo"))
+    ent = F.struct(F.struct("func_name", "file_path", "line", "repo").alias("node"), F.coalesce("protocol", F.lit("HTTP")).alias("protocol"), "path")
+    per_e = entries.groupBy("task_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", ent.alias("e")))), lambda x: x["e"]).alias("entry_points"))
+    per_x = edges.groupBy("task_id").agg(F.array_sort(F.collect_set(F.struct("src", "dst"))).alias("edges"))
+    out = per.join(per_e, "task_id", "left").join(per_x, "task_id", "left")
+    direct = F.filter("nodes", lambda n: n["repo"].eqNullSafe(F.col("root_repo")))
+    cross = F.array_sort(F.array_distinct(F.transform(F.filter("nodes", lambda n: ~n["repo"].eqNullSafe(F.col("root_repo"))), lambda n: F.concat(F.coalesce(n["repo"], F.lit("unknown")), F.lit("."), n["func_name"]))))
+    return out.select(
+        "task_id", "nodes", "edges", "entry_points",
+        F.struct(F.transform(direct, lambda n: n["func_name"]).alias("direct_functions"), cross.alias("cross_repo_impact"), F.size(direct).alias("direct_count"), F.size(cross).alias("cross_repo_count")).alias("impact_summary"),
+    )

@@ -134,3 +134,31 @@ def accept_feedback(feedback: DataFrame, tasks: DataFrame) -> tuple[DataFrame, D
 def cascade(dependants: DataFrame, deleted: DataFrame, key: str = "task_id") -> DataFrame:
     """Dependants that remain when the given parents are gone."""
     return dependants.join(broadcast_if_small(deleted.select(key)), key, "left_anti")
+
+
+def new_results(df: DataFrame) -> DataFrame:
+    """Result rows to append; a task may have many. Missing counts are 0."""
+    return df.select(
+        F.uuid().alias("id"), "task_id", "call_chain", "test_scenarios", "entry_points",
+        F.coalesce("token_usage", F.lit(0)).alias("token_usage"), F.coalesce("step_count", F.lit(0)).alias("step_count"), F.current_timestamp().alias("created_at"),
+    )
+
+
+def progress_rows(df: DataFrame) -> DataFrame:
+    """Progress as stored: a missing list of nodes is an empty one."""
+    return df.select("task_id", F.coalesce("current_step", F.lit(0)).alias("current_step"), F.coalesce("analyzed_nodes", F.array().cast("array<string>")).alias("analyzed_nodes"), "updated_at")
+
+
+def repo_paths(names: DataFrame, repos: DataFrame, name: str = "repo_name") -> DataFrame:
+    """Adds path: the repository's path, empty for an unknown one."""
+    r = repos.select(F.col("repo_name").alias("_r"), F.col("repo_path").alias("_p")).groupBy("_r").agg(F.min("_p").alias("_p"))
+    return names.join(broadcast_if_small(r), F.col(name) == F.col("_r"), "left").withColumn("path", F.coalesce("_p", F.lit(""))).drop("_r", "_p")
+
+
+def insert_stream(stream: DataFrame, table: str, keys: list[str], order: list[str], checkpoint: str):
+    """Starts a query that appends a stream's first writes to a table, batch by batch; failures are retried from the checkpoint."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        insert_if_absent(batch.sparkSession.table(table), batch, keys, order).write.insertInto(table)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

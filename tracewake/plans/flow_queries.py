@@ -159,10 +159,25 @@ def window_counts(spark: SparkSession, d: str) -> DataFrame:
     return state.stream_windows(table(spark, d, "events")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
+def result_structs(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as tasks: their lines' parts as nodes, a brand as the repository, the first line as the root."""
+    li = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"))
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("p"), "p_name", "p_brand", "p_size")
+    n = li.join(part, "p").select(F.col("l_orderkey").alias("task_id"), F.col("l_linenumber").alias("ord"), F.concat("p_name", F.lit("_"), F.col("p").cast("string")).alias("func_name"), F.lit("f.go").alias("file_path"), F.col("p_size").alias("line"), F.col("p_brand").alias("repo"))
+    first = n.groupBy("task_id").agg(F.min("ord").alias("least"))
+    nodes = n.join(first, "task_id").withColumn("is_root", F.col("ord") == F.col("least"))
+    entries = n.where(F.col("repo").endswith("1")).withColumn("protocol", F.lit(None).cast("string")).withColumn("path", F.concat(F.lit("/"), "func_name"))
+    out = graph.result_structs(nodes, entries, n.select("task_id", F.col("func_name").alias("src"), F.col("repo").alias("dst")))
+    return out.select(
+        "task_id", F.size("nodes").alias("nodes"), F.coalesce(F.size("edges"), F.lit(0)).alias("edges"), F.array_join(F.transform("entry_points", lambda e: F.concat(e["protocol"], F.lit(" "), e["path"])), ",").alias("entries"),
+        F.col("impact_summary.direct_count").alias("direct_count"), F.array_join("impact_summary.cross_repo_impact", ",").alias("cross"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        conv_tiers, conv_cleared, conv_tail, conv_rendered, conv_compacted, last_assistant, tool_pairs, stop_reasons, reminders, call_edges, chain_fixpoint, chain_entries, chain_impact,
+        conv_tiers, conv_cleared, conv_tail, conv_rendered, conv_compacted, last_assistant, tool_pairs, stop_reasons, reminders, call_edges, chain_fixpoint, chain_entries, chain_impact, result_structs,
         report_paths, report_markdown, report_terminal, report_json, checkpoint_roundtrip, delta_accumulation, window_counts,
     )
 }
@@ -176,6 +191,7 @@ _FIX = f"{_E}, ue AS (SELECT DISTINCT src, dst FROM e), f(node, depth) AS (SELEC
 _RES = "r AS (SELECT id, json_extract(call_chain::JSON, '$.downward_chain.nodes[*]') AS n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at) AS k FROM analysis_results WHERE id IS NOT NULL) WHERE k = 1 AND starts_with(ltrim(call_chain), '{') AND json_valid(call_chain) AND (try_cast(call_chain AS JSON) ->> '$.task_id') IS NOT NULL)"
 
 SQL = {
+    "result_structs": "WITH n AS (SELECT l_orderkey AS t, l_linenumber AS o, p_name || '_' || p AS f, p_brand AS r FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p FROM lineitem GROUP BY ALL) JOIN part ON p_partkey = p), b AS (SELECT t, arg_min(r, o) AS root FROM n GROUP BY t), c AS (SELECT n.t, count(*) AS nodes, count(DISTINCT (f, r)) AS edges, string_agg('HTTP /' || f, ',' ORDER BY o) FILTER (r LIKE '%1') AS entries, count(*) FILTER (r = root) AS direct_count, array_to_string(list_sort(list_distinct(coalesce(list(r || '.' || f) FILTER (r <> root), []))), ',') AS \"cross\" FROM n JOIN b ON n.t = b.t GROUP BY n.t) SELECT t AS task_id, cast(nodes AS INT) AS nodes, cast(edges AS INT) AS edges, entries, cast(direct_count AS INT) AS direct_count, \"cross\" FROM c",
     "conv_tiers": f"WITH {_M}, c AS (SELECT conv_id, count(*) AS messages, cast(sum(strlen({_TEXT}) // 4) AS BIGINT) AS t FROM m GROUP BY conv_id) SELECT conv_id, messages, t AS tokens, round(t / 600.0::DOUBLE, 6) AS ratio, {_TIER} AS tier FROM c",
     "conv_cleared": f"WITH {_M}, c AS (SELECT *, coalesce(bool_or(role = 'assistant') OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS consumed FROM m) SELECT conv_id, pos, role, CASE WHEN role = 'tool' AND consumed AND strlen(content) >= 14 THEN '{context.CLEARED}' ELSE content END AS content, consumed FROM c",
     "conv_tail": f"WITH {_M} {_TAIL}",

@@ -121,11 +121,28 @@ def repo_heads(spark: SparkSession, d: str) -> DataFrame:
     return workspace.heads(table(spark, d, "knowledge_base"), table(spark, d, "repos"))
 
 
+def result_fields(spark: SparkSession, d: str) -> DataFrame:
+    new = store.new_results(table(spark, d, "analysis_results"))
+    return new.groupBy("task_id").agg(F.sum("token_usage").alias("tokens"), F.sum("step_count").alias("steps"), F.count("id").alias("n"))
+
+
+def progress(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.col("user_id").alias("task_id"), F.when(F.col("event_id") % 7 > 0, F.col("event_id") % 100).alias("current_step"), F.when(F.col("event_id") % 3 > 0, F.array("event_type")).alias("analyzed_nodes"), F.col("ts").alias("updated_at"))
+    rows = state.written(store.progress_rows(e), "updated_at", state.PROGRESS_HOURS)
+    now = state.current(rows, "task_id", F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), "updated_at")
+    return now.select("task_id", "current_step", F.array_join("analyzed_nodes", ",").alias("nodes"))
+
+
+def repo_paths(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "documents").select("repo_name").distinct()
+    return store.repo_paths(names, table(spark, d, "repos"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         order_lookup, new_task_fields, recent_tasks, status_fold, insert_if_absent, keyword_search, mark_unreliable, latest_result, tasks_with_result, feedback_list, feedback_rejects,
-        enum_violations, cascade_delete, status_counter, token_histogram, step_histogram, false_positive_rate, cache_probe, cache_hit_ratio, cache_current, daily_metrics, repo_heads,
+        enum_violations, cascade_delete, status_counter, token_histogram, step_histogram, false_positive_rate, cache_probe, cache_hit_ratio, cache_current, daily_metrics, repo_heads, result_fields, progress, repo_paths,
     )
 }
 
@@ -141,6 +158,9 @@ _CK = "substr(sha256(concat_ws(chr(31), coalesce(input_diff, ''), coalesce(input
 _FIRST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at) AS r FROM {t} WHERE id IS NOT NULL) WHERE r = 1)"
 
 SQL = {
+    "result_fields": "SELECT task_id, sum(coalesce(token_usage, 0))::BIGINT AS tokens, sum(coalesce(step_count, 0))::BIGINT AS steps, count(*) AS n FROM analysis_results GROUP BY task_id",
+    "progress": "SELECT task_id, current_step, nodes FROM (SELECT user_id AS task_id, CASE WHEN event_id % 7 > 0 THEN event_id % 100 ELSE 0 END AS current_step, CASE WHEN event_id % 3 > 0 THEN event_type ELSE '' END AS nodes, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) AS r FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:00:00') WHERE r = 1 AND ts + INTERVAL 24 HOUR > TIMESTAMP '2024-01-20 00:00:00'",
+    "repo_paths": "SELECT n.repo_name, coalesce(r.repo_path, '') AS path FROM (SELECT DISTINCT repo_name FROM documents) n LEFT JOIN repos r ON r.repo_name = n.repo_name",
     "order_lookup": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey = 42",
     "new_task_fields": f"SELECT id, CASE WHEN coalesce(input_diff, '') <> '' AND coalesce(input_desc, '') <> '' THEN 'combined' WHEN coalesce(input_diff, '') <> '' THEN 'diff' ELSE 'description' END AS input_type, {_CK} AS cache_key FROM {_FIRST.format(t='analysis_tasks')}",
     "recent_tasks": "SELECT id, status, created_at, loaded_at FROM analysis_tasks ORDER BY created_at DESC, id, loaded_at LIMIT 20",
