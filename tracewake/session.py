@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: Largest side, in bytes of the optimizer's estimate, that may be broadcast.
 BROADCAST_BYTES = 8 << 20
 
+#: Scans up to this estimate may be shuffled to use all cores.
+SPREAD_BYTES = 1 << 30
+
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -43,12 +46,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """For costly work per row on a plain scan: as many partitions as cores, if the files give fewer.
+    """For costly work per row on a small plain scan: as many partitions as cores, if the files give fewer.
 
-    Large inputs have more partitions than cores and stay as they are, unshuffled.
+    Inputs above SPREAD_BYTES stay as they are, unshuffled.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    if plan_bytes(scan) > SPREAD_BYTES or scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)
 
 
 def plan_bytes(df: DataFrame) -> int:
