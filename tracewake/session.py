@@ -27,6 +27,16 @@ def build(master: str = "local[8]", **extra: str) -> SparkSession:
     return SparkSession.builder.master(master).config(map=conf).getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, for clusters whose Python path lacks it."""
+    import shutil
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent
+    archive = shutil.make_archive(str(Path(tempfile.mkdtemp()) / root.name), "zip", root.parent, root.name)
+    spark.sparkContext.addPyFile(archive)  # the driver serves the file; executors fetch their own copies
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the cluster's shared folder; make a local one only for a local master."""
     sc = spark.sparkContext
