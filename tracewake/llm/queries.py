@@ -65,6 +65,31 @@ def p9_surrogates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_records, p6_found, p6_redacted, p7_found, p7_leaks, p8_chosen, p8_shares, p9_found, p9_redacted, p9_surrogates)}
 
+_FOLD = "replace(translate(lower({x}), 'ſς', 'sσ'), 'ß', 'ss')"
+_BARE = r"regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', '', 'g')"
+_RECORDS = (
+    r"""
+WITH t AS (SELECT id, coalesce(input_diff, '') AS d, coalesce(input_desc, '') AS x FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at) AS r FROM analysis_tasks WHERE id IS NOT NULL) WHERE r = 1),
+  f AS (SELECT id, x, string_split(chr(10) || FOLD_D, chr(10) || 'diff --git') AS s,
+          list_filter(regexp_split_to_array(FOLD_X, '[;；|｜\r\n]+'), lambda p: regexp_matches(p, '\S')) AS p,
+          CASE WHEN regexp_matches(x, '^\s*\{') AND json_valid(x) THEN x::JSON END AS j FROM t),
+  k AS (SELECT id, BARE_HEAD || array_to_string(list_sort(list_transform(s[2:], lambda y: 'diffgit' || BARE_Y)), '') AS dk,
+          CASE WHEN json_type(j) = 'OBJECT' AND len(json_keys(j)) > 0 THEN array_to_string(list_sort(list_transform(json_keys(j), lambda y: BARE_FIELD)), '')
+               WHEN len(p) > 1 AND len(list_filter(p, lambda y: regexp_matches(y, '^\s*\p{L}[\p{L}\p{N}_ ./()-]{0,40}\s*[:：]'))) = len(p) THEN array_to_string(list_sort(list_transform(p, lambda y: BARE_Y)), '')
+               ELSE BARE_X END AS xk FROM f)
+""".replace("FOLD_D", _FOLD.format(x="d"))
+    .replace("FOLD_X", _FOLD.format(x="x"))
+    .replace("BARE_HEAD", _BARE.format(x="s[1]"))
+    .replace("BARE_FIELD", _BARE.format(x=_FOLD.format(x="y || coalesce(json_extract_string(j, '$.\"' || y || '\"'), '')")))
+    .replace("BARE_Y", _BARE.format(x="y"))
+    .replace("BARE_X", _BARE.format(x=_FOLD.format(x="x")))
+)
+_TOKENS = "regexp_extract_all(lower(text), '[a-z0-9ß-öø-ɏ]+|[㐀-䶿一-鿿豈-﫿]')"
+_GRAMS = "SELECT DISTINCT {i}, array_to_string(w[n : n + 19], ' ') AS g FROM (SELECT {i}, w, unnest(range(1, len(w) - 18)) AS n FROM (SELECT {i}, " + _TOKENS + " AS w FROM {t} WHERE text IS NOT NULL AND {i} IS NOT NULL))"
+
 SQL = {
     "p2_found": "SELECT DISTINCT id AS task_id FROM analysis_tasks WHERE id IS NOT NULL AND strlen(input_diff) > 6000",
+    "p3_found": f"{_RECORDS} SELECT a.id AS id_a, b.id AS id_b FROM k a JOIN k b ON a.dk = b.dk AND a.xk = b.xk AND a.id < b.id",
+    "p3_records": f"{_RECORDS} SELECT min(id) AS record_id, count(*) AS copies FROM k GROUP BY dk, xk",
+    "p7_found": f"SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(i='doc_id', t='documents')}) d JOIN ({_GRAMS.format(i='item_id', t='eval_items')}) i USING (g)",
 }
