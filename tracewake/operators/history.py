@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracewake.session import cut
+
 HOT_KEYS = 512
 SLICES = 64
 #: Rows of one entity below this are sorted in one task whatever their share.
@@ -118,6 +120,8 @@ def history(
     """
     names = list(attributes)
     obs, hot = _slices(df, first_of_commit(df, keys, names, commit, at, loaded, row_id), keys, at, min_hot)
+    if len(names) > 1:  # every attribute's log reads the observations
+        obs = cut(obs)
     if len(names) == 1:
         joined = change_log(obs, keys, names[0], attributes[names[0]], hot).withColumnRenamed("value", names[0])
     else:

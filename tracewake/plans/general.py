@@ -78,7 +78,44 @@ SELECT repo_name, symbol, cast(floor(epoch(created_at)) AS BIGINT) AS valid_from
 FROM v
 """
 
+_ATTRIBUTES = ("summary", "file_path", "line_number")
+_BY = "PARTITION BY repo_name, symbol ORDER BY created_at, loaded_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND"
+_HISTORY = f"""
+WITH k AS (SELECT *, coalesce(nullif(lower(trim(commit_hash)), ''), 'id:' || id) AS c FROM knowledge_base),
+  f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_name, symbol, c ORDER BY loaded_at, id) AS r FROM k) WHERE r = 1),
+  n AS (SELECT repo_name, symbol, created_at, loaded_at, id, {", ".join(f"cast({a} AS VARCHAR) AS {a}, nullif(trim(regexp_replace(lower(cast({a} AS VARCHAR)), '\\s+', ' ', 'g')), '') AS n_{a}" for a in _ATTRIBUTES)} FROM f),
+  p AS (SELECT *, {", ".join(f"last_value(n_{a} IGNORE NULLS) OVER ({_BY} 1 PRECEDING) AS p_{a}" for a in _ATTRIBUTES)} FROM n),
+  v AS (SELECT *, {", ".join(f"last_value(CASE WHEN n_{a} IS DISTINCT FROM p_{a} AND n_{a} IS NOT NULL THEN {a} END IGNORE NULLS) OVER ({_BY} CURRENT ROW) AS v_{a}, last_value(n_{a} IGNORE NULLS) OVER ({_BY} CURRENT ROW) AS m_{a}" for a in _ATTRIBUTES)} FROM p),
+  e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_name, symbol, created_at ORDER BY loaded_at DESC, id DESC) AS q FROM v WHERE {" OR ".join(f"(n_{a} IS NOT NULL AND n_{a} IS DISTINCT FROM p_{a})" for a in _ATTRIBUTES)}) WHERE q = 1),
+  g AS (SELECT *, {", ".join(f"lag(m_{a}) OVER (PARTITION BY repo_name, symbol ORDER BY created_at) AS l_{a}" for a in _ATTRIBUTES)}, row_number() OVER (PARTITION BY repo_name, symbol ORDER BY created_at) AS o FROM e),
+  w AS (SELECT * FROM g WHERE o = 1 OR {" OR ".join(f"m_{a} IS DISTINCT FROM l_{a}" for a in _ATTRIBUTES)})
+SELECT repo_name, symbol, {", ".join(f"v_{a} AS {a}" for a in _ATTRIBUTES)}, cast(floor(epoch(created_at)) AS BIGINT) AS valid_from_s,
+  coalesce(cast(floor(epoch(lead(created_at) OVER (PARTITION BY repo_name, symbol ORDER BY created_at))) AS BIGINT), -1) AS valid_to_s FROM w
+"""
+_STEP = "CASE WHEN json_type({x}) = 'VARCHAR' THEN CASE WHEN json_valid({x} ->> '$') THEN ({x} ->> '$')::JSON END WHEN json_type({x}) = 'OBJECT' AND json_exists({x}, '$.result') THEN {x} -> '$.result' ELSE {x} END"
+_NAME = "coalesce(nullif({x} ->> '$.func_name', ''), nullif({x} ->> '$.Function', ''), nullif({x} ->> '$.symbol', ''))"
+_ITEMS = f"""
+WITH r AS (SELECT id, CASE WHEN json_valid(call_chain) THEN call_chain::JSON END AS c, CASE WHEN json_valid(entry_points) THEN entry_points::JSON END AS e
+           FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at) AS k FROM analysis_results WHERE id IS NOT NULL) WHERE k = 1),
+  r1 AS (SELECT id, {_STEP.format(x="c")} AS c, {_STEP.format(x="e")} AS e FROM r),
+  r2 AS (SELECT id, {_STEP.format(x="c")} AS c, {_STEP.format(x="e")} AS e FROM r1),
+  r3 AS (SELECT id, {_STEP.format(x="c")} AS c, {_STEP.format(x="e")} AS e FROM r2),
+  l AS (SELECT id, CASE json_type(c) WHEN 'ARRAY' THEN json_extract(c, '$[*]') WHEN 'OBJECT' THEN json_extract(c, '$.downward_chain.nodes[*]') END AS n,
+          CASE json_type(c) WHEN 'OBJECT' THEN json_extract(c, '$.upward_chains[*]') END AS u,
+          CASE WHEN json_type(e) = 'OBJECT' AND len(json_keys(e)) > 0 THEN [e] WHEN json_type(e) = 'ARRAY' THEN json_extract(e, '$[*]') END AS e,
+          CASE json_type(c) WHEN 'OBJECT' THEN json_extract(c, '$.entry_points[*]') END AS ce FROM r3),
+  m AS (SELECT id, n, u, CASE WHEN len(list_filter(coalesce(e, []), lambda x: json_type(x) <> 'NULL')) > 0 THEN e ELSE ce END AS e FROM l),
+  nn AS (SELECT id, 'call_chain' AS list_name, 0 AS parent_no, i - 1 AS item_no, n[i] AS x FROM (SELECT id, n, unnest(range(1, len(n) + 1)) AS i FROM m)
+    UNION ALL SELECT id, 'upward_chains', a - 1, i - 1, w[i] FROM (SELECT id, a, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT id, a, json_extract(u[a], '$.nodes[*]') AS w FROM (SELECT id, u, unnest(range(1, len(u) + 1)) AS a FROM m)))
+    UNION ALL SELECT id, 'entry_points', 0, i - 1, CASE WHEN json_exists(e[i], '$.node') THEN e[i] -> '$.node' ELSE e[i] END FROM (SELECT id, e, unnest(range(1, len(e) + 1)) AS i FROM m)),
+  ss AS (SELECT id, a, json_extract_string(e[a], '$.test_scenarios[*]') AS s FROM (SELECT id, e, unnest(range(1, len(e) + 1)) AS a FROM m))
+SELECT id AS result_id, list_name, cast(parent_no AS INT) AS parent_no, cast(item_no AS INT) AS item_no, {_NAME.format(x="x")} AS label FROM nn WHERE {_NAME.format(x="x")} IS NOT NULL
+UNION ALL SELECT id, 'entry_scenarios', cast(a - 1 AS INT), cast(i - 1 AS INT), s[i] FROM (SELECT id, a, s, unnest(range(1, len(s) + 1)) AS i FROM ss) WHERE s[i] <> ''
+"""
+
 SQL = {
+    "p4_history": _HISTORY,
+    "p5_found": _ITEMS,
     "p1_found": f"WITH {_REF} SELECT t AS source_table, id AS row_id FROM o WHERE reason IS NOT NULL",
     "p1_orphan_counts": f"WITH {_REF} SELECT t AS source_table, strftime(created, '%Y-%m') AS period, reason, count(*) AS orphans FROM o WHERE reason IS NOT NULL GROUP BY ALL",
     "p4_found": _VERSIONS,
