@@ -133,8 +133,8 @@ def _route(patterns: list[tuple[tuple[str, ...], int]], quota: dict[str, int], r
     return sent, {k: most - a[1] for k, (a, most) in arcs.items() if most - a[1] > 0}
 
 
-def plan_flow(patterns: list[tuple[tuple[str, ...], int]], share: dict[str, float], repeats: dict[str, int]) -> tuple[int, dict[tuple[int, str], int]]:
-    """(total, tokens from pattern number to source) of the largest exact mixture."""
+def plan_flow(patterns: list[tuple[tuple[str, ...], int]], share: dict[str, float], repeats: dict[str, int], most: int | None = None) -> tuple[int, dict[tuple[int, str], int]]:
+    """(total, tokens from pattern number to source) of the largest exact mixture of at most `most` tokens."""
     present = {s for sources, size in patterns for s in sources if size > 0 and share.get(s, 0) > 0}
     patterns = [(tuple(s for s in sources if s in present), size) for sources, size in patterns]
     whole = sum(share[s] for s in present)
@@ -145,6 +145,7 @@ def plan_flow(patterns: list[tuple[tuple[str, ...], int]], share: dict[str, floa
         return {s: int(total * share[s] / whole) for s in present}
 
     low, high = 0, sum(size * sum(repeats[s] for s in sources) for sources, size in patterns)
+    high = high if most is None else min(high, most)
     while low < high:
         mid = (low + high + 1) // 2
         q = quotas(mid)
@@ -155,8 +156,8 @@ def plan_flow(patterns: list[tuple[tuple[str, ...], int]], share: dict[str, floa
     return low, _route(patterns, quotas(low), repeats, True)[1]
 
 
-def mixture(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, seed: int = SEED) -> DataFrame:
-    """doc_id, source, repeats, tokens of every chosen document."""
+def mixture(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY, seed: int = SEED, most: int | None = None) -> DataFrame:
+    """doc_id, source, repeats, tokens of every chosen document; at most `most` tokens in all if given."""
     wanted = (
         targets.select(source_key(F.col("source")).alias("source"), F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeats", F.lit(1)).alias("n"))
         .where("source IS NOT NULL AND share > 0 AND n > 0")
@@ -182,7 +183,7 @@ def mixture(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULA
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     sizes.sort()
     patterns = [(tuple(r[0].split("|")), int(r[1])) for r in sizes]
-    _, flow = plan_flow(patterns, share, repeats)
+    _, flow = plan_flow(patterns, share, repeats, most)
     rows, at = [], {}
     for (i, s), tokens in sorted(flow.items()):
         begin = at.get(i, 0)
