@@ -91,7 +91,7 @@ QUERIES = {
 
 def _lines(t: str, path: str, c: str) -> str:
     flat = f"regexp_replace(regexp_replace({c}, '\\r(\\n|\\z)', '\\1', 'g'), '\\n\\z', '')"
-    return f"(SELECT path, i AS line_no, l[i] AS text FROM (SELECT path, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT {path} AS path, CASE WHEN {c} = '' THEN [] ELSE string_split({flat}, chr(10)) END AS l FROM {t} WHERE {c} IS NOT NULL)))"
+    return f"(SELECT path, cast(i AS INT) AS line_no, l[i] AS text FROM (SELECT path, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT {path} AS path, CASE WHEN {c} = '' THEN [] ELSE string_split({flat}, chr(10)) END AS l FROM {t} WHERE {c} IS NOT NULL)))"
 
 
 _DOCS = _lines("documents", "doc_id", "text")
@@ -133,6 +133,6 @@ SQL = {
     "list_items": "WITH i AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '^-', ''), '^\\s+|\\s+$', '', 'g'), '^\\*', ''), '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS i FROM documents) SELECT doc_id, cast(len(i) AS INT) AS items, array_to_string(i, '|') AS joined FROM i",
     "diff_functions": f"WITH {_FUNCTIONS} SELECT id, file, line, func_name, 'added' AS change_type FROM fn WHERE func_name IS NOT NULL",
     "functions_by_repo": f"WITH {_FUNCTIONS}, r AS (SELECT repo_name, row_number() OVER (ORDER BY repo_name) AS ord FROM repos), u AS (SELECT DISTINCT regexp_extract(file, '^([^/]+)', 1) || '/' || func_name AS f FROM fn WHERE func_name IS NOT NULL), o AS (SELECT f, coalesce((SELECT arg_min(repo_name, ord) FROM r WHERE starts_with(f, repo_name || '/') OR starts_with(f, repo_name || '.')), (SELECT arg_min(repo_name, ord) FROM r), 'unknown') AS repo FROM u) SELECT repo, cast(count(*) AS INT) AS functions, sha256(string_agg(f, ',' ORDER BY f)) AS digest FROM o GROUP BY repo",
-    "symbols_of_docs": f"WITH d AS (SELECT doc_id, text AS code, CASE WHEN regexp_matches(text, '\\bpackage\\s+\\w+') THEN 'go' WHEN regexp_matches(text, '\\bdef\\s+\\w+\\s*\\(') THEN 'python' WHEN regexp_matches(text, '\\bpublic\\s+(static\\s+)?(?:void|class|interface)\\b') THEN 'java' WHEN regexp_matches(text, '(?:import|export|const|let|var|=>)') THEN 'js' ELSE 'go' END AS language FROM documents WHERE text <> ''), l AS (SELECT doc_id, language, i AS line, regexp_replace(s[i], '^\\s*\\d+\\t', '') AS text FROM (SELECT doc_id, language, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, language, string_split(code, chr(10)) AS s FROM d))) SELECT doc_id, language, {_BY_LANGUAGE[0]} AS name, {_BY_LANGUAGE[1]} AS kind, line FROM l WHERE {_BY_LANGUAGE[1]} IS NOT NULL",
+    "symbols_of_docs": f"WITH d AS (SELECT doc_id, text AS code, CASE WHEN regexp_matches(text, '\\bpackage\\s+\\w+') THEN 'go' WHEN regexp_matches(text, '\\bdef\\s+\\w+\\s*\\(') THEN 'python' WHEN regexp_matches(text, '\\bpublic\\s+(static\\s+)?(?:void|class|interface)\\b') THEN 'java' WHEN regexp_matches(text, '(?:import|export|const|let|var|=>)') THEN 'js' ELSE 'go' END AS language FROM documents WHERE text <> ''), l AS (SELECT doc_id, language, cast(i AS INT) AS line, regexp_replace(s[i], '^\\s*\\d+\\t', '') AS text FROM (SELECT doc_id, language, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, language, string_split(code, chr(10)) AS s FROM d))) SELECT doc_id, language, {_BY_LANGUAGE[0]} AS name, {_BY_LANGUAGE[1]} AS kind, line FROM l WHERE {_BY_LANGUAGE[1]} IS NOT NULL",
     "verify_nodes": f"WITH f AS (SELECT regexp_extract(input_diff, '(?m)^\\+\\+\\+ b/([^\\r\\n]*)', 1) AS path, input_diff FROM {_TASKS}), n AS (SELECT DISTINCT file_path, regexp_extract(symbol, '(\\w+)$', 1) AS func_name FROM knowledge_base) SELECT file_path, func_name, coalesce(bool_or(contains(input_diff, func_name)), false) AS verified FROM n LEFT JOIN f ON path = file_path AND path <> '' GROUP BY ALL",
 }
