@@ -40,6 +40,7 @@ RADIUS = 3
 SHINGLE = 5
 ITEMS_PER_BLOCK = 5000
 TOKENS_AT_ONCE = 150_000
+WINDOWS_AT_ONCE = 40_000
 TOKEN = re.compile("[a-z0-9ß-öø-ɏ]+|[㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]")
 PAIRS = "doc_id long, item_id long, run_tokens int, similarity double"
 
@@ -142,15 +143,18 @@ def leaks_of(docs: list[np.ndarray], index: ItemIndex) -> list[tuple[int, int, i
     flat = np.concatenate(docs)
     first = np.concatenate(([0], np.cumsum([len(d) for d in docs]))).astype(np.int64)
     starts = np.concatenate([np.arange(a, b - WINDOW + 1, STRIDE) for a, b in zip(first, first[1:], strict=False) if b - a >= MIN_RUN] or [np.empty(0, np.int64)])
-    d, i = index.candidates(fingerprints(flat, starts))
-    if not len(d):
-        return []
-    at, item = starts[d], index.where[i, 0]
-    at_item = index.offset[item] + index.where[i, 1]
-    same = np.ones(len(at), bool)
-    for k in range(WINDOW):
-        same &= flat[at + k] == index.flat[at_item + k]
-    at, item, at_item = at[same], item[same], at_item[same]
+    parts = []
+    for lo in range(0, len(starts), WINDOWS_AT_ONCE):  # bounds memory for very long texts
+        some = starts[lo : lo + WINDOWS_AT_ONCE]
+        base = some[0]
+        d, i = index.candidates(fingerprints(flat[base : some[-1] + WINDOW], some - base))
+        at, item = some[d], index.where[i, 0]
+        at_item = index.offset[item] + index.where[i, 1]
+        same = np.ones(len(at), bool)
+        for k in range(WINDOW):
+            same &= flat[at + k] == index.flat[at_item + k]
+        parts.append((at[same], item[same], at_item[same]))
+    at, item, at_item = (np.concatenate([p[k] for p in parts] or [np.empty(0, np.int64)]) for k in range(3))
     doc = np.searchsorted(first, at, "right") - 1
     best: dict[tuple[int, int], int] = {}
     seen_to: dict[tuple[int, int, int], int] = {}
