@@ -28,6 +28,7 @@ def test_writers_wrappers_nulls_and_positions(spark):
         ("blank", "", " "),
         ("scalar", "3", "true"),
         ("empty", "{}", "[]"),
+        ("deep", "[" * 200_000 + "]" * 200_000, '{"a":' * 100_000 + "1" + "}" * 100_000),
         (None, json.dumps(chain), None),
     ]
     got = items(spark, rows)

@@ -9,8 +9,8 @@ its positions in the lists above it, so child rows join to their parents.
 Python parses the JSON because its shape isn't known before it is parsed: field
 names differ by writer and values may be wrapped in strings or outer objects.
 
-Nulls and edge cases: null, blank, incomplete or non-container JSON gives no
-rows; null list elements count as positions and give no row; an element without
+Nulls and edge cases: null, blank, incomplete or non-container JSON, and JSON
+nested deeper than the parser goes, gives no rows; null list elements count as positions and give no row; an element without
 any known field gives a row with no attributes (nodes without a name give none
 in the list form); unknown fields are ignored; a null record id is no record.
 """
@@ -116,7 +116,7 @@ def unwrap(text: object, elements: tuple[str, ...]) -> object:
         if isinstance(x, str):
             try:
                 x = json.loads(x)
-            except ValueError:
+            except (ValueError, RecursionError):
                 return None
         elif isinstance(x, dict) and x and not any(_known(x, e) for e in elements):
             inner = [v for v in x.values() if isinstance(v, dict | list) or (isinstance(v, str) and v.lstrip()[:1] in ("[", "{", '"'))]
@@ -160,7 +160,7 @@ class Shredder:
         while isinstance(x, str) and element not in ("scenario", "tag", "function_ref"):
             try:
                 x = json.loads(x)
-            except ValueError:
+            except (ValueError, RecursionError):
                 return {}
         if x is None:
             return {}
@@ -189,7 +189,7 @@ class Shredder:
                 if isinstance(v, str):
                     try:
                         v = json.loads(v)
-                    except ValueError:
+                    except (ValueError, RecursionError):
                         pass
                 for i, y in enumerate(v if isinstance(v, list) else [v]):
                     self._element(rid, e.element, y, f"{where}[{i}]", at_table, at_path, e.field, [*pos, i])
