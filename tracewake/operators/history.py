@@ -120,7 +120,7 @@ def history(
     """
     names = list(attributes)
     obs, hot = _slices(df, first_of_commit(df, keys, names, commit, at, loaded, row_id), keys, at, min_hot)
-    if len(names) > 1:  # every attribute's log reads the observations
+    if hot or len(names) > 1:  # read by every attribute's log and by the slices' ends
         obs = cut(obs)
     if len(names) == 1:
         joined = change_log(obs, keys, names[0], attributes[names[0]], hot).withColumnRenamed("value", names[0])
@@ -150,5 +150,7 @@ def history(
         filled = filled.withColumn("_n", F.to_json(F.struct(*[F.col(f"e_{a}.n").alias(a) for a in names])))
         joined = _neighbour(filled, keys, ["_n"], False, hot, "prev").where(~F.col("_n").eqNullSafe(F.col("prev_n"))).drop("prev_n")
         joined = joined.select(*keys, "slice", "at", "loaded", "row_id", *[F.col(f"e_{a}.value").alias(a) for a in names])
+    if hot:
+        joined = cut(joined)
     closed = _neighbour(joined.withColumn("_at", F.col("at")), keys, ["_at"], True, hot, "next")
     return closed.select(*keys, *names, F.col("at").alias("valid_from"), F.col("next_at").alias("valid_to"))
