@@ -1,7 +1,10 @@
 """Credentials embedded in source code (problem 6).
 
-Lines with a trigger word yield candidates: a value with the identifier or words
-that introduce it, how it was introduced and the file it stands in. A logistic
+Lines yield candidates: a value with the identifier or words that introduce it,
+how it was introduced and the file it stands in. Words of an account beside a
+user and a value, or beside a value of random shape, introduce one too. Lines
+without a word or prefix of any form are passed over unparsed, as no form fits
+them; of file headers only real ones are. A logistic
 regression scores each candidate from the likelihood ratio of its characters
 under two Markov chains (secret values against ordinary code words), from the
 introducing words, the form of the value and the path. It is trained on weak
@@ -42,10 +45,17 @@ TRAIN_CANDIDATES = 20_000
 THRESHOLD = 0.5
 SEED = 7
 
-# fixed values: words that make a line worth a look
-TRIGGERS = ("pass", "pwd", "pw", "secret", "token", "key", "auth", "cred", "bearer", "basic", "://", "identified", "akia", "ghp_", "gho_", "glpat-", "xox", "sk_live", "sk_test", "sk-", "eyj", "aiza", "passwort", "kennwort", "contraseña", "密码", "口令", "密钥")
-# fixed values: public prefixes of issued keys and tokens
-PREFIXED = r"(?:AKIA|ASIA)[A-Z0-9]{16}\b|gh[pousr]_[A-Za-z0-9]{20,}|glpat-[\w-]{16,}|xox[abprs]-[\w-]{10,}|sk_(?:live|test)_\w{16,}|sk-[\w-]{20,}|AIza[\w-]{30,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}"
+# fixed values: public prefixes of issued keys and tokens, and what follows them
+PREFIXES = (
+    *((p, r"[A-Z0-9]{16}\b") for p in ("AKIA", "ASIA")), *((p, r"[A-Za-z0-9]{20,}") for p in ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")), ("glpat-", r"[\w-]{16,}"),
+    *((p, r"[\w-]{10,}") for p in ("xoxa-", "xoxb-", "xoxr-", "xoxp-", "xoxs-")), *((p, r"\w{16,}") for p in ("sk_live_", "sk_test_")), ("sk-", r"[\w-]{20,}"), ("AIza", r"[\w-]{30,}"), ("eyJ", r"[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}"),
+)
+PREFIXED = "|".join(p + rest for p, rest in PREFIXES)
+# fixed values: words of an account, before its user and password
+ACCOUNT_WORDS = ("login", "logon", "log-in", "log in", "signin", "sign-in", "sign in", "account", "user", "anmeldung", "zugang", "usuario", "登录", "账号", "账户", "用户")
+ACCOUNT = r"(?P<c>(?<![A-Za-z])(?:" + "|".join(ACCOUNT_WORDS) + r")(?:s|name|names)?(?![A-Za-z0-9_]))"
+# a value that no identifier looks like: small letters, digits and capitals or signs
+SHAPED = r"(?<![^\s'\"`(=:,])(?!(?i:sha\d|md5|urn:))(?!_?(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[vV]?\d{1,4}|[_-])+(?![\w!#$%^&*+=~-]))(?=[^\s'\"`]*[a-z])(?=[^\s'\"`]*\d)(?=[^\s'\"`]*[A-Z!#$%^&*])(?P<v>[\w!#$%^&*+=~-]{8,64})(?![^\s'\"`),;.])"
 IDENT = r"(?<![\w.$-])[\w.$-]*?(?:pass(?:word|wd|phrase|code|wort)?|pwd|pw|secrets?|tokens?|keys?|credentials?|creds?|auth|kennwort|contraseña|密码|口令|密钥)[\w.$-]*"
 
 PEM = re.compile(r"-----\s*BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?\s*-----", re.I)
@@ -57,7 +67,7 @@ PEM_HEADER = re.compile(r"[+\- ]?[ \t]*[\"']?(?:Proc-Type|DEK-Info|Version|Comme
 FORMS: tuple[tuple[str, re.Pattern[str]], ...] = (
     ("url", re.compile(r"(?P<c>\b[a-z][a-z0-9+.-]*)\s?:\s?//[^\s:/@'\"]*:(?P<v>[^\s@/'\"]+)@", re.I)),
     ("header", re.compile(r"(?P<c>authorization['\"]?\s*[:=,]\s*['\"]?(?:bearer|basic|token)|x-[\w-]*(?:key|token|secret|auth)[\w-]*['\"]?\s*[:=,])\s*['\"]?(?P<v>[^\s'\",;]+)", re.I)),
-    ("command", re.compile(r"(?P<c>\b\w*PASSWORD\s*=|\bsshpass\s+-p|\s--(?:password|token|secret|api-key)[ =]|\bcurl\b.*?\s-u\s+[^\s:'\"]+:|\bmysql\b.*?\s-p)\s*['\"]?(?P<v>[^\s'\"]+)")),
+    ("command", re.compile(r"(?P<c>\b\w*PASSWORD\s*=|\bsshpass\s+-p|\s--(?:password|token|secret|api-key)[ =]|\bcurl\b.*?\s(?:-u|--user)[\s=]+['\"]?[^\s:'\"]+:|\bmysql\w*\b.*?\s-p(?=\S))\s*['\"]?(?P<v>[^\s'\"]+)")),
     ("sql", re.compile(r"(?P<c>\b(?:identified\s+by|with\s+password|encrypted\s+password|password))\s+'(?P<v>[^']+)'", re.I)),
     ("prose", re.compile(r"(?P<c>\b(?:password|passwd|passphrase|pwd|token|secret|api key|passwort|kennwort|contraseña)\s+(?:is|was|ist|es|war)|密码[是为：:]|口令[是为：:])\s*:?\s*['\"`]?(?P<v>[^\s'\"`]+)", re.I)),
     ("encoded", re.compile(r"(?P<c>\b(?:\w*decode\w*|b64\w*|from_?base64)\s*)\(\s*['\"](?P<v>[A-Za-z0-9+/_-]{6,}={0,2})['\"]", re.I)),
@@ -66,8 +76,24 @@ FORMS: tuple[tuple[str, re.Pattern[str]], ...] = (
     ("quoted", re.compile(r"(?P<c>" + IDENT + r")['\"]?\]?(?:\s*:\s*\w+)?\s*(?::\s?=|=\s?>|=|:)\s*(?P<q>['\"`])(?P<v>[^'\"`]+)(?P=q)", re.I)),
     ("bare", re.compile(r"(?P<c>" + IDENT + r")\s*(?::\s?=|=|:)\s*(?P<v>[^\s'\"`,;(){}\[\]]+)\s*;?\s*(?:[#/].*)?$", re.I)),
     ("prefixed", re.compile(r"(?P<c>)(?<![A-Za-z0-9])(?P<v>" + PREFIXED + ")")),
+    ("login", re.compile(ACCOUNT + r".{0,400}?(?:\s(?:was|is|were|are|ist|war|es|era|with|as)\s*:?|[:=：]|[是为])\s*['\"`(]?(?![\d/])[\w.@+-]{1,64}['\"`]?\s+[/|]\s+['\"`]?(?P<v>[^\s'\"`]+)", re.I)),
+    ("login", re.compile(ACCOUNT.replace("(?P<c>", "(?P<c>(?i:") + r")(?:(?!\b(?i:u?u?ids?|hash|commit|checksum|digest|sha\d*|md5|etag|fingerprint|public)\b).){0,400}?" + SHAPED)),
 )
-KINDS = ("pem", *(k for k, _ in FORMS))
+KINDS = ("pem", *dict.fromkeys(k for k, _ in FORMS))
+#: form: words of which each line that it fits holds one; ident stands for the forms with an identifier
+WORDS_OF = {
+    "pem": ("private key",),
+    "url": ("://",),
+    "header": ("auth", "key", "token", "secret"),
+    "command": ("password", "sshpass", "token", "secret", "api-key", "curl", "mysql"),
+    "sql": ("identified", "password"),
+    "prose": ("pass", "pwd", "token", "secret", "api key", "passwort", "kennwort", "contraseña", "密码", "口令"),
+    "encoded": ("decode", "b64", "base64"),
+    "ident": ("pass", "pwd", "pw", "secret", "token", "key", "cred", "auth", "kennwort", "contraseña", "密码", "口令", "密钥"),
+    "prefixed": tuple(p.lower() for p, _ in PREFIXES),
+    "login": ACCOUNT_WORDS,
+}
+TRIGGERS = tuple(sorted({w for words in WORDS_OF.values() for w in words}))
 
 PREFIX = re.compile(PREFIXED)
 PLACEHOLDER = re.compile(
@@ -127,6 +153,15 @@ def trigger_lines(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int
     return out
 
 
+def _is_header(text: str, a: int, b: int) -> bool:
+    """Whether the line from a to b is a file header: diff --git, or a line of --- directly before one of +++."""
+    if text.startswith("--- ", a):
+        return text.startswith("+++ ", b + 1)
+    if text.startswith("+++ ", a):
+        return a > 0 and text.startswith("--- ", text.rfind("\n", 0, a - 1) + 1)
+    return text[a : a + 11].lower() == "diff --git "
+
+
 def candidates(line: str) -> list[tuple[str, str, str]]:
     """(kind, context, value) of one line; the first form that finds a value keeps it."""
     if PEM.search(line):
@@ -137,8 +172,8 @@ def candidates(line: str) -> list[tuple[str, str, str]]:
     for kind, form in FORMS:
         for m in form.finditer(whole):
             v = m.group("v").rstrip("\r;,")
-            if kind == "prose":
-                v = v.rstrip(".")
+            if kind in ("prose", "login"):
+                v = v.rstrip(".,)")
             if not v or v in seen or len(v) > 4000:
                 continue
             seen.add(v)
@@ -220,7 +255,7 @@ def weak_label(c: Candidate) -> int | None:
         return 1
     if PLACEHOLDER.match(v) or VARIABLE.search(v) or COUNTER.search(c.context) or " " in v or CALLS.match(v) or v.replace(".", "").isdigit() or WORDS.match(v):
         return 0
-    if len(v) >= 6 and c.kind in ("url", "header", "command", "sql", "prose"):
+    if len(v) >= 6 and c.kind in ("url", "header", "command", "sql", "prose", "login"):
         return 1
     if len(v) >= 6 and c.kind in ("quoted", "call", "pair", "bare", "encoded") and STRONG.search(c.context):
         return 1
@@ -239,7 +274,7 @@ def made_up_examples() -> list[Candidate]:
         phrase = f"{r.choice(words)}-{r.choice(words)}-{r.randint(10, 99)}"
         title = f"{r.choice(words).title()}{r.randint(100, 9999)}{r.choice('!#*%$')}"
         path = r.choice(("svc/app.go", "conf/app.yaml", "job/run.py", "web/app.ts", ".env"))
-        context = {"url": "postgres", "header": "Authorization: Bearer", "command": "PGPASSWORD=", "sql": "identified by", "prose": "password is"}.get(kind, r.choice(("password", "api_key", "authToken", "SECRET", "db_pw")))
+        context = {"url": "postgres", "header": "Authorization: Bearer", "command": "PGPASSWORD=", "sql": "identified by", "prose": "password is", "login": "login"}.get(kind, r.choice(("password", "api_key", "authToken", "SECRET", "db_pw")))
         if kind == "pem":
             out.append(Candidate(kind, "private key", "BEGIN PRIVATE KEY", path))
             continue
@@ -305,7 +340,7 @@ def lines_with_candidates(text: str, automaton: ahocorasick.Automaton) -> list[t
     out = []
     for no, a, b in trigger_lines(text, automaton):
         line = text[a:b]
-        if line[:4].lower() in ("diff", "+++ ", "--- ") and "/" in line and "=" not in line:
+        if _is_header(text, a, b):
             continue
         if found := candidates(line):
             if starts is None:
