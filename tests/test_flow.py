@@ -175,3 +175,15 @@ def test_insert_stream_keeps_first_writes(spark, tmp_path):
         store.insert_stream(stream, "first_writes", ["k"], ["seq"], str(tmp_path / "cp")).awaitTermination(60)
     assert sorted((str(r.k), r.v) for r in spark.table("first_writes").collect()) == [("None", "n"), ("a", "old"), ("b", "early")]
     spark.sql("DROP TABLE first_writes")
+
+
+def test_reports_take_wrapped_results(spark, tmp_path):
+    import json
+
+    from tracewake.plans import flow_queries
+
+    whole = lambda t: {"task_id": t, "downward_chain": {"nodes": [{"func_name": "f", "repo": "r", "line": 1}]}}
+    rows = [("1", json.dumps(whole("t1"))), ("2", json.dumps(json.dumps(whole("t2")))), ("3", json.dumps({"result": whole("t3"), "version": 2})), ("4", "[]"), ("5", "{")]
+    spark.createDataFrame(rows, "id string, call_chain string").selectExpr("*", "timestamp'2025-01-01' AS loaded_at").write.parquet(f"{tmp_path}/analysis_results.parquet")
+    assert {r.task_id for r in flow_queries._all_results(spark, str(tmp_path)).select("r.*").collect()} == {"t1", "t2", "t3"}
+    assert flow_queries.report_markdown(spark, str(tmp_path)).count() == 3

@@ -43,6 +43,18 @@ def test_mark_unreliable(spark):
     assert {r.id: r.unreliable for r in store.mark_unreliable(kb, fb, res).collect()} == {"1": True, "2": False, "3": True}
 
 
+def test_mark_unreliable_reads_every_form_of_a_chain(spark):
+    import json
+
+    node = lambda f: {"Repo": "r", "Function": f}
+    whole = {"task_id": "t", "downward_chain": {"nodes": [node("b"), None]}, "upward_chains": [{"nodes": [node("up")]}]}
+    chains = [[node("a")], whole, json.dumps([node("c")]), {"result": {"task_id": "t", "downward_chain": {"nodes": [node("d")]}}, "version": 2}, {"nodes": [node("e")]}]
+    res = spark.createDataFrame([("t", json.dumps(c)) for c in chains] + [("t", '[{"Repo":"r","Function":"broken"}')], "task_id string, call_chain string")
+    kb = spark.createDataFrame([(x, "r", x, False) for x in ("a", "b", "c", "d", "e", "up", "broken")], "id string, repo_name string, symbol string, unreliable boolean")
+    fb = spark.createDataFrame([("t", "false_positive")], "task_id string, type string")
+    assert {r.id for r in store.mark_unreliable(kb, fb, res).collect() if r.unreliable} == {"a", "b", "c", "d", "e"}
+
+
 def test_results_feedback_cascade(spark):
     tasks = spark.createDataFrame([("a", "completed", T1, T1), ("b", "running", T2, T1)], "id string, status string, created_at timestamp, loaded_at timestamp")
     res = spark.createDataFrame([("1", "a", 1, 1, T1), ("2", "a", 2, 2, T2), ("3", "b", 3, 3, T1)], "id string, task_id string, token_usage int, step_count int, created_at timestamp")

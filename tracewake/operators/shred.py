@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewake.sources.tables import first_per_id
@@ -221,6 +221,33 @@ def shred(results: DataFrame, skip: tuple[str, ...] = (), tables: tuple[str, ...
     return first_per_id(results, "call_chain", "entry_points").mapInPandas(rows, ROWS)
 
 
+def chain_nodes(results: DataFrame) -> DataFrame:
+    """task_id, repo, symbol of the nodes of call chains (not of upward chains), however the chain is written."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for task, chain in zip(batch["task_id"], batch["call_chain"], strict=True):
+                s = Shredder(skip=("upward_chains", "entry_points", "impact_summary", "edges", "note"))
+                if (result := result_of(chain, None)) is not None:
+                    s.record("", result)
+                out += [(task, r[9].get("repo"), r[8]) for r in s.rows if r[1] == "call_node"]
+            yield pd.DataFrame(out, columns=["task_id", "repo", "symbol"])
+
+    nodes = results.select("task_id", "call_chain").where("call_chain IS NOT NULL").mapInPandas(rows, "task_id string, repo string, symbol string")
+    return nodes.where("symbol IS NOT NULL AND repo IS NOT NULL")
+
+
+def result_texts(call_chain: Column) -> Column:
+    """The JSON object inside JSON strings and outer objects, as text; null for lists and what is no JSON."""
+
+    @F.pandas_udf("string")
+    def inner(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: json.dumps(x) if isinstance(x := unwrap(t, ("analysis_result", "call_chain", "call_node")), dict) else None)
+
+    return inner(call_chain)
+
+
 def flat_table(rows: DataFrame, element: str) -> DataFrame:
     """One element's table with its attributes as columns and its foreign key."""
     inlined = [(e.field, a) for e in GRAPH[element] if not e.many and e.element not in own_tables(GRAPH, "analysis_result") for a in FIELDS[e.element]]

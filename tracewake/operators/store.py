@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewake import schemas
 from tracewake.functions.text import clean_keywords
+from tracewake.operators import shred
 from tracewake.session import broadcast_if_small
 
 PAGE = 20
@@ -93,10 +95,10 @@ def result_nodes(results: DataFrame) -> DataFrame:
     return nodes.select("task_id", pick("repo", "Repo").alias("repo"), pick("func_name", "Function", "symbol").alias("symbol")).where("symbol IS NOT NULL AND repo IS NOT NULL")
 
 
-def mark_unreliable(knowledge: DataFrame, feedback: DataFrame, results: DataFrame) -> DataFrame:
-    """Knowledge rows; unreliable also where a false positive's call chain names the symbol."""
+def mark_unreliable(knowledge: DataFrame, feedback: DataFrame, results: DataFrame, nodes: Callable[[DataFrame], DataFrame] = shred.chain_nodes) -> DataFrame:
+    """Knowledge rows; unreliable also where a false positive's call chain names the symbol, in any written form unless nodes says otherwise."""
     wrong = feedback.where(F.col("type") == "false_positive").select("task_id").distinct()
-    named = result_nodes(results.join(wrong, "task_id", "left_semi")).select(F.col("repo").alias("_r"), F.col("symbol").alias("_s")).distinct()
+    named = nodes(results.join(wrong, "task_id", "left_semi")).select(F.col("repo").alias("_r"), F.col("symbol").alias("_s")).distinct()
     hit = named.withColumn("_hit", F.lit(True))
     out = knowledge.join(hit, (F.col("repo_name") == F.col("_r")) & (F.col("symbol") == F.col("_s")), "left")
     return out.withColumn("unreliable", F.coalesce("unreliable", F.lit(False)) | F.coalesce("_hit", F.lit(False))).drop("_r", "_s", "_hit")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracewake import schemas
-from tracewake.operators import context, graph, report
+from tracewake.operators import context, graph, report, shred
 from tracewake.sources.tables import first_per_id, table
 from tracewake.streaming import state
 
@@ -119,21 +119,28 @@ def _results(spark: SparkSession, d: str) -> DataFrame:
     return r.select("id", F.from_json("call_chain", schemas.ANALYSIS_RESULT).alias("r"))
 
 
+def _all_results(spark: SparkSession, d: str) -> DataFrame:
+    """As _results, those in JSON strings and outer objects too."""
+    r = first_per_id(table(spark, d, "analysis_results"), "call_chain").where("call_chain IS NOT NULL")
+    r = r.select("id", shred.result_texts(F.col("call_chain")).alias("t")).where(F.get_json_object("t", "$.task_id").isNotNull())
+    return r.select("id", F.from_json("t", schemas.ANALYSIS_RESULT).alias("r"))
+
+
 def report_paths(spark: SparkSession, d: str) -> DataFrame:
     nodes = F.col("r.downward_chain.nodes")
     return _results(spark, d).select("id", report.direct_repo(nodes).alias("repo"), report.chain_path(nodes).alias("path"), report.numbered_nodes(F.slice(nodes, 1, 3)).alias("listing"))
 
 
 def report_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return report.reports(_results(spark, d).select("r.*"), "markdown")
+    return report.reports(_all_results(spark, d).select("r.*"), "markdown")
 
 
 def report_terminal(spark: SparkSession, d: str) -> DataFrame:
-    return report.reports(_results(spark, d).select("r.*"), "terminal")
+    return report.reports(_all_results(spark, d).select("r.*"), "terminal")
 
 
 def report_json(spark: SparkSession, d: str) -> DataFrame:
-    return report.reports(_results(spark, d).select("r.*"), "json")
+    return report.reports(_all_results(spark, d).select("r.*"), "json")
 
 
 def checkpoint_roundtrip(spark: SparkSession, d: str) -> DataFrame:

@@ -42,6 +42,12 @@ def keyword_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mark_unreliable(spark: SparkSession, d: str) -> DataFrame:
+    """Bare lists only, as its SQL has it; mark_unreliable_all takes call chains in every form."""
+    out = store.mark_unreliable(table(spark, d, "knowledge_base"), table(spark, d, "feedback"), table(spark, d, "analysis_results"), store.result_nodes)
+    return out.groupBy("repo_name", "symbol", "unreliable").agg(F.count(F.lit(1)).alias("n"))
+
+
+def mark_unreliable_all(spark: SparkSession, d: str) -> DataFrame:
     out = store.mark_unreliable(table(spark, d, "knowledge_base"), table(spark, d, "feedback"), table(spark, d, "analysis_results"))
     return out.groupBy("repo_name", "symbol", "unreliable").agg(F.count(F.lit(1)).alias("n"))
 
@@ -141,7 +147,7 @@ def repo_paths(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        order_lookup, new_task_fields, recent_tasks, status_fold, insert_if_absent, keyword_search, mark_unreliable, latest_result, tasks_with_result, feedback_list, feedback_rejects,
+        order_lookup, new_task_fields, recent_tasks, status_fold, insert_if_absent, keyword_search, mark_unreliable, mark_unreliable_all, latest_result, tasks_with_result, feedback_list, feedback_rejects,
         enum_violations, cascade_delete, status_counter, token_histogram, step_histogram, false_positive_rate, cache_probe, cache_hit_ratio, cache_current, daily_metrics, repo_heads, result_fields, progress, repo_paths,
     )
 }
