@@ -106,3 +106,23 @@ def test_table(spark):
     assert splitting.pieces(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         splitting.pieces(df, limit=2)
+
+
+def test_three_lines_are_shared_when_lines_are_long():
+    r = random.Random(2)
+    for low, high, least in ((1000, 1490, 3), (1600, 1800, 2)):  # three lines of 1,600 bytes and a fourth don't fit
+        text = "".join("x" * r.randint(low, high) + "\n" for _ in range(60))
+        parts = check(text, splitting.LIMIT)
+        for o, n, _, p in parts[1:]:
+            assert p[:o].endswith("\n") and text.split("\n")[n - 1] == p.split("\n")[0] and p[:o].count("\n") == least
+
+
+def test_line_is_broken_only_if_it_does_not_fit_with_its_overlap():
+    text = "".join("+a\n+b\n+c\n" + "w" * 4000 + "\n" + "+z\n" * 300 for _ in range(4))
+    for o, n, last, p in check(text, splitting.LIMIT)[1:]:
+        assert p[:o].count("\n") == 3 and text.split("\n")[n - 1] == p.split("\n")[0] and (p.endswith("\n") or last == text.count("\n"))
+
+
+@pytest.mark.parametrize("limit", [4, 5, 7, 20])
+def test_tiny_limits(limit):
+    check("ab\n中é\n" * 9 + "x" * 50, limit)

@@ -1,7 +1,7 @@
 """Splitting oversized items at natural boundaries (problem 2).
 
-A text above the limit is seen as units: its lines, and for lines that alone are
-too long, runs of words. Dynamic programming over the unit ends picks the cuts
+A text above the limit is seen as units: its lines, and for lines that don't fit
+with their overlap, runs of words. Dynamic programming over the unit ends picks the cuts
 that minimise the sum of cut penalties (file start 0, hunk start 1, line end 4,
 inside a line 20) and of squared deviation from the even size, such that no
 piece, its overlap included, exceeds the limit. Each piece after the first
@@ -9,15 +9,14 @@ begins with the last OVERLAP lines of the one before.
 
 Nulls and edge cases: a null text or id gives no piece, an empty text one empty
 piece; a cut inside an over-long line overlaps by units of that line instead of
-lines; if the overlap alone would take more than half the limit, as many whole
-units as fit are shared; a redelivered id counts once. Pieces without their
+lines, up to half the limit; if three lines don't fit with the next unit, as many
+whole ones as do are shared, and if none does, units of the last; a redelivered id counts once. Pieces without their
 overlap add up to the text exactly.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,30 +58,40 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
     line_of: list[int] = []
     penalty: list[float] = []  # of a cut before the unit
     room = max(4, limit // 4)
-    for no, line in enumerate(re.findall(rb"[^\n]*\n|[^\n]+\Z", data), 1):
+    lines = re.findall(rb"[^\n]*\n|[^\n]+\Z", data)
+    first: list[int] = []  # first unit of each line
+    sizes = np.concatenate(([0], np.cumsum([len(x) for x in lines]))).tolist()
+    for no, line in enumerate(lines, 1):
+        before_it = sizes[no - 1] - sizes[max(0, no - 1 - overlap)]
+        fits = len(line) + (before_it if before_it <= limit - room else limit // 2) <= limit
+        first.append(len(units))
         before = PENALTY_FILE if line[:10].lower() == b"diff --git" else PENALTY_HUNK if line.startswith(b"@@") else PENALTY_LINE
-        for k, part in enumerate(_inside(line, room) if len(line) > room else [line]):
+        for k, part in enumerate([line] if fits else _inside(line, room)):
             units.append(part)
             line_of.append(no)
             penalty.append(PENALTY_INSIDE if k else before)
     n = len(units)
     end = np.concatenate(([0], np.cumsum([len(u) for u in units]))).astype(np.int64)
     shared = np.zeros(n, dtype=np.int64)  # first unit of the piece that begins its own part at unit i
+    ends = end.tolist()
     for i in range(n):
-        s = max(0, i - overlap)
-        while s < i and end[i] - end[s] > limit // 2:
-            s += 1
+        line = line_of[i] - 1
+        whole = [first[max(0, line - k)] for k in range(overlap, 0, -1)] if first[line] == i else []
+        s = next((s for s in whole if ends[i + 1] - ends[s] <= limit), None)
+        if s is None:
+            s = max(0, i - overlap)
+            while s < i and (ends[i] - ends[s] > limit // 2 or ends[i + 1] - ends[s] > limit):
+                s += 1
         shared[i] = s
-    start = end[shared]  # byte at which the piece from i begins; never falls
+    start = end[shared]  # byte at which the piece from i begins
     even = len(data) / -(-len(data) // limit)
     cost = np.full(n + 1, np.inf)
     cost[0] = 0.0
     back = np.zeros(n + 1, dtype=np.int64)
-    begins = start.tolist()
     for j in range(1, n + 1):
-        lo = bisect_left(begins, int(end[j]) - limit)
+        lo = int(end.searchsorted(end[j] - limit))
         own = end[j] - end[lo:j]
-        total = cost[lo:j] + IMBALANCE * ((own / even - 1.0) ** 2)
+        total = np.where(end[j] - start[lo:j] <= limit, cost[lo:j] + IMBALANCE * ((own / even - 1.0) ** 2), np.inf)
         k = int(total.argmin())
         back[j], cost[j] = lo + k, total[k] + (penalty[j] if j < n else 0.0)
     cuts = [n]
