@@ -187,3 +187,9 @@ def test_reports_take_wrapped_results(spark, tmp_path):
     spark.createDataFrame(rows, "id string, call_chain string").selectExpr("*", "timestamp'2025-01-01' AS loaded_at").write.parquet(f"{tmp_path}/analysis_results.parquet")
     assert {r.task_id for r in flow_queries._all_results(spark, str(tmp_path)).select("r.*").collect()} == {"t1", "t2", "t3"}
     assert flow_queries.report_markdown(spark, str(tmp_path)).count() == 3
+
+
+def test_chains_deeper_than_a_hundred_hops(spark):
+    e = spark.createDataFrame([(str(k), str(k + 1)) for k in range(103)], "src string, dst string")
+    got = graph.reachable(e, spark.createDataFrame([("0",)], "node string"))
+    assert got.count() == 104 and got.agg({"depth": "max"}).first()[0] == 103

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count, islice
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewake.session import cut
 
-ROUND_CAP = 100
-
 
 def callers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges into the nodes. edges: src, dst; nodes: node."""
@@ -19,19 +19,20 @@ def callees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int = ROUND_CAP, every: int = 2) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int | None = None, every: int = 2) -> DataFrame:
     """node, depth: breadth-first from the roots, each node once at its least depth.
 
     Every round joins the frontier with the edges, drops what was seen and cuts the
     lineage by a checkpoint, so a round's plan never grows. Cycles and self-loops end
-    because roots count as seen. Null ends of edges are no nodes.
+    because roots count as seen. All that can be reached is, unless max_rounds asks
+    for the nodes within so many hops. Null ends of edges are no nodes.
     """
     # written once, partitioned by the join key, so no round computes or shuffles the edges again
     e = cut(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct().repartition("src"))
     frontier = cut(roots.select("node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
     parts = [frontier]
     seen = frontier
-    for depth in range(1, max_rounds + 1):
+    for depth in islice(count(1), max_rounds):
         step = e.join(frontier, e["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct()
         nxt = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if nxt.isEmpty():
