@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracewake.llm import credentials, formdups, leakage, mixing, pii, splitting
 from tracewake.sources.tables import table
@@ -51,8 +52,24 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mixture(table(spark, d, "documents"), targets), targets)
 
 
+_KEY = b"a key of the caller"
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.find(table(spark, d, "documents"), table(spark, d, "name_lexicon"))
+    return pii.replacements(table(spark, d, "documents"), table(spark, d, "name_lexicon"), _KEY).select("doc_id", "kind", "value")
+
+
+def p9_redacted_back(spark: SparkSession, d: str) -> DataFrame:
+    """The digest of each text after its values are put back for the placeholders, in order; equal to that of the text."""
+    out = pii.redacted(table(spark, d, "documents"), table(spark, d, "name_lexicon"))
+    return out.select("doc_id", F.sha2(pii.put_back(F.col("redacted"), F.col("values")), 256).alias("digest"))
+
+
+def p9_surrogates_back(spark: SparkSession, d: str) -> DataFrame:
+    """The digest of each text after its values are put back for the surrogates, and how many surrogates equal their value."""
+    out = pii.with_surrogates(table(spark, d, "documents"), table(spark, d, "name_lexicon"), _KEY)
+    same = F.size(F.filter("replaced", lambda x: x["value"] == x["surrogate"])).cast("long")
+    return out.select("doc_id", F.sha2(pii.swapped_back(F.col("text"), F.col("replaced")), 256).alias("digest"), same.alias("unchanged"))
 
 
 def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
@@ -60,10 +77,10 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_surrogates(spark: SparkSession, d: str) -> DataFrame:
-    return pii.with_surrogates(table(spark, d, "documents"), table(spark, d, "name_lexicon"), b"a key of the caller")
+    return pii.with_surrogates(table(spark, d, "documents"), table(spark, d, "name_lexicon"), _KEY)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_records, p6_found, p6_redacted, p7_found, p7_leaks, p8_chosen, p8_shares, p9_found, p9_redacted, p9_surrogates)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_records, p6_found, p6_redacted, p7_found, p7_leaks, p8_chosen, p8_shares, p9_found, p9_redacted, p9_redacted_back, p9_surrogates, p9_surrogates_back)}
 
 _FOLD = "replace(translate(lower({x}), 'ſς', 'sσ'), 'ß', 'ss')"
 _BARE = r"regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', '', 'g')"
@@ -91,5 +108,7 @@ SQL = {
     "p2_found": "SELECT DISTINCT id AS task_id FROM analysis_tasks WHERE id IS NOT NULL AND strlen(input_diff) > 6000",
     "p3_found": f"{_RECORDS} SELECT a.id AS id_a, b.id AS id_b FROM k a JOIN k b ON a.dk = b.dk AND a.xk = b.xk AND a.id < b.id",
     "p3_records": f"{_RECORDS} SELECT min(id) AS record_id, count(*) AS copies FROM k GROUP BY dk, xk",
+    "p9_redacted_back": "SELECT doc_id, sha256(text) AS digest FROM documents WHERE doc_id IS NOT NULL",
+    "p9_surrogates_back": "SELECT doc_id, sha256(text) AS digest, 0::BIGINT AS unchanged FROM documents WHERE doc_id IS NOT NULL",
     "p7_found": f"SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(i='doc_id', t='documents')}) d JOIN ({_GRAMS.format(i='item_id', t='eval_items')}) i USING (g)",
 }
