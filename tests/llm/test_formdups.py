@@ -1,3 +1,4 @@
+import datetime
 import itertools
 import json
 import random
@@ -5,11 +6,11 @@ import re
 
 from tracewake.llm import formdups
 
-SCHEMA = "id string, input_diff string, input_desc string, key string, hot boolean, salt int"
+SCHEMA = "id string, input_diff string, input_desc string, loaded_at timestamp, key string, hot boolean, salt int"
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(*r, "clash", True, 3) for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, *([None] if len(r) == 3 else []), "clash", True, 3) for r in rows], SCHEMA)
 
 
 def pairs(spark, rows):
@@ -47,6 +48,13 @@ def test_records_and_copies(spark):
     assert formdups.distinct_records(frame(spark, [])).count() == 0 and pairs(spark, []) == []
 
 
+def test_the_first_delivery_of_an_id_counts(spark):
+    t = [datetime.datetime(2024, 1, k) for k in (1, 2)]
+    rows = [("a", "one", None, t[0]), ("a", "two", None, t[1]), ("b", "one", None, t[1]), ("c", "two", None, t[0])]
+    assert pairs(spark, rows) == [("a", "b")]
+    assert {r.id: r.record_id for r in formdups.membership(frame(spark, rows)).collect()} == {"a": "a", "b": "a"}
+
+
 def test_hot_key_in_two_levels_equals_one(spark, monkeypatch):
     monkeypatch.setattr(formdups, "MIN_HOT", 5)
     monkeypatch.setattr(formdups, "HOT_KEYS", 10)

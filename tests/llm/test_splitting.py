@@ -126,3 +126,19 @@ def test_line_is_broken_only_if_it_does_not_fit_with_its_overlap():
 @pytest.mark.parametrize("limit", [4, 5, 7, 20])
 def test_tiny_limits(limit):
     check("ab\n中é\n" * 9 + "x" * 50, limit)
+
+
+def test_one_delivery_of_an_id_is_cut(spark):
+    import datetime
+
+    t = [datetime.datetime(2024, 1, k) for k in (1, 2)]
+    big = "some words on a line\n" * 650
+    rows = [("a", "short text", t[0]), ("a", big, t[1]), ("b", big, t[0]), ("b", "short text", t[1]), ("c", big, t[0]), ("c", big, t[0]), ("n", None, t[0])]
+    df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], SCHEMA)
+    parts = splitting.pieces(df).collect()
+    assert {(r.id, r.n_pieces) for r in parts} == {("a", 1), ("b", 3), ("c", 3)} and len(parts) == 7
+    assert {(r.id, r.n_pieces) for r in splitting.pieces(df, keep_small=False).collect()} == {("b", 3), ("c", 3)}
+    import hashlib
+
+    whole = {r.id: r.digest for r in splitting.joined(splitting.pieces(df)).collect()}
+    assert whole == {"a": hashlib.sha256(b"short text").hexdigest(), **dict.fromkeys("bc", hashlib.sha256(big.encode()).hexdigest())}

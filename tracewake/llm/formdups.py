@@ -7,7 +7,7 @@ all rows are found exactly from partial counts and aggregated in two levels over
 SALTS; all others take one shuffle. The representative is the smallest id.
 
 Nulls and edge cases: null and blank texts are equal; a null id is no record; a
-redelivered id counts once; records without any text are one class; a broken
+redelivered id counts once, as it was loaded first; records without any text are one class; a broken
 JSON description is plain text; empty tables give no rows.
 """
 
@@ -51,26 +51,32 @@ def canonical_description(c: Column) -> Column:
     return F.when(F.size(pairs) > 0, from_object).when(has_fields, from_fields).otherwise(bare(text))
 
 
-def keyed_records(df: DataFrame, id_col: str = "id", diff: str = "input_diff", desc: str = "input_desc") -> DataFrame:
-    """id and key, one row per id; only the digest is shuffled."""
+def keyed_records(df: DataFrame, id_col: str = "id", diff: str = "input_diff", desc: str = "input_desc", loaded: str = "loaded_at") -> DataFrame:
+    """id and key of the delivery loaded first, one row per id; only the digest is shuffled."""
     key = F.unhex(F.sha2(F.concat(canonical_diff(F.col(diff)), F.lit("\u0000"), canonical_description(F.col(desc))), 256))
-    texts = spread(df.where(F.col(id_col).isNotNull()).select(id_col, diff, desc))
-    return texts.select(F.col(id_col).alias("id"), key.alias("key")).groupBy("id").agg(F.min("key").alias("key"))
+    texts = spread(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), diff, desc, F.coalesce(F.col(loaded), F.lit("9999-12-31").cast("timestamp")).alias("at")))
+    return texts.select("id", F.struct("at", key.alias("key")).alias("first")).groupBy("id").agg(F.min("first").alias("first")).select("id", F.col("first.key").alias("key"))
 
 
 def classes(records: DataFrame) -> DataFrame:
-    """key, record_id, copies, hot for every class of equal records."""
-    counts = records.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    total = records.count()
-    hot = counts.where(F.col("n") > max(total // HOT_KEYS, MIN_HOT)).select("key", F.lit(True).alias("hot"))
-    marked = records.join(F.broadcast(hot), "key", "left")
+    """key, record_id, copies, hot for every class of equal records.
+
+    One shuffle of partial counts and minima gives all keys that aren't hot; the hot
+    ones, at most HOT_KEYS by their share, go through two levels over SALTS.
+    """
+    counts = cut(records.groupBy("key").agg(F.min("id").alias("record_id"), F.count(F.lit(1)).alias("copies")))
+    total = counts.agg(F.sum("copies")).first()[0] or 0
+    is_hot = F.col("copies") > max(total // HOT_KEYS, MIN_HOT)
+    rest = counts.where(~is_hot).withColumn("hot", F.lit(False))
+    hot = counts.where(is_hot).select("key")
+    if hot.isEmpty():
+        return rest
     level1 = (
-        marked.where("hot")
+        records.join(F.broadcast(hot), "key", "left_semi")
         .groupBy("key", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
         .agg(F.min("id").alias("record_id"), F.count(F.lit(1)).alias("copies"))
     )
     level2 = level1.groupBy("key").agg(F.min("record_id").alias("record_id"), F.sum("copies").alias("copies")).withColumn("hot", F.lit(True))
-    rest = marked.where("hot IS NULL").groupBy("key").agg(F.min("id").alias("record_id"), F.count(F.lit(1)).alias("copies")).withColumn("hot", F.lit(False))
     return rest.unionByName(level2)
 
 

@@ -17,10 +17,20 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "analysis_tasks"))
 
 
+def p2_pieces_joined(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of each item give together: their number and size are within bounds, and the text is the item's."""
+    out = splitting.joined(p2_pieces(spark, d))
+    return out.select("id", (F.col("longest") <= splitting.LIMIT).alias("within"), (F.col("n_pieces") > 1).alias("cut"), "digest")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return formdups.same_pairs(table(spark, d, "analysis_tasks"))
 
 
+def p3_membership(spark: SparkSession, d: str) -> DataFrame:
+    return formdups.membership(table(spark, d, "analysis_tasks")).select("id", "record_id")
+
+
 def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return formdups.distinct_records(table(spark, d, "analysis_tasks"))
 
@@ -80,7 +90,7 @@ def p9_surrogates(spark: SparkSession, d: str) -> DataFrame:
     return pii.with_surrogates(table(spark, d, "documents"), table(spark, d, "name_lexicon"), _KEY)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_records, p6_found, p6_redacted, p7_found, p7_leaks, p8_chosen, p8_shares, p9_found, p9_redacted, p9_redacted_back, p9_surrogates, p9_surrogates_back)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_pieces_joined, p3_found, p3_membership, p3_records, p6_found, p6_redacted, p7_found, p7_leaks, p8_chosen, p8_shares, p9_found, p9_redacted, p9_redacted_back, p9_surrogates, p9_surrogates_back)}
 
 _FOLD = "replace(translate(lower({x}), 'ſς', 'sσ'), 'ß', 'ss')"
 _BARE = r"regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', '', 'g')"
@@ -106,6 +116,8 @@ _GRAMS = "SELECT DISTINCT {i}, array_to_string(w[n : n + 19], ' ') AS g FROM (SE
 
 SQL = {
     "p2_found": "SELECT DISTINCT id AS task_id FROM analysis_tasks WHERE id IS NOT NULL AND strlen(input_diff) > 6000",
+    "p2_pieces_joined": "SELECT id, true AS \"within\", strlen(input_diff) > 6000 AS cut, sha256(input_diff) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at) AS r FROM analysis_tasks WHERE id IS NOT NULL AND input_diff IS NOT NULL) WHERE r = 1",
+    "p3_membership": f"{_RECORDS} SELECT k.id, m.record_id FROM k JOIN (SELECT dk, xk, min(id) AS record_id FROM k GROUP BY dk, xk HAVING count(*) > 1) m ON k.dk = m.dk AND k.xk = m.xk",
     "p3_found": f"{_RECORDS} SELECT a.id AS id_a, b.id AS id_b FROM k a JOIN k b ON a.dk = b.dk AND a.xk = b.xk AND a.id < b.id",
     "p3_records": f"{_RECORDS} SELECT min(id) AS record_id, count(*) AS copies FROM k GROUP BY dk, xk",
     "p9_redacted_back": "SELECT doc_id, sha256(text) AS digest FROM documents WHERE doc_id IS NOT NULL",

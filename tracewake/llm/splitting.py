@@ -10,7 +10,8 @@ begins with the last OVERLAP lines of the one before.
 Nulls and edge cases: a null text or id gives no piece, an empty text one empty
 piece; a cut inside an over-long line overlaps by units of that line instead of
 lines, up to half the limit; if three lines don't fit with the next unit, as many
-whole ones as do are shared, and if none does, units of the last; a redelivered id counts once. Pieces without their
+whole ones as do are shared, and if none does, units of the last; of a redelivered id the delivery loaded first
+counts, ties by a hash of the text. Pieces without their
 overlap add up to the text exactly.
 """
 
@@ -24,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewake.session import cut
 from tracewake.sources.tables import first_per_id
 
 LIMIT = 6000
@@ -118,12 +120,24 @@ def pieces(df: DataFrame, text: str = "input_diff", id_col: str = "id", limit: i
                 rows += [(rid, k, len(parts), *p) for k, p in enumerate(parts)]
             yield pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in PIECES.split(", ")])
 
-    base = df.select(F.col(id_col).alias("id"), F.col(text).alias("t"), "loaded_at").where(F.col("t").isNotNull())
-    large = first_per_id(base.where(F.octet_length("t") > limit), "t").mapInPandas(run, PIECES)
+    # one delivery an id decides, whatever its size; texts that give no row needn't travel
+    sized = df.select(F.col(id_col).alias("id"), F.col(text).alias("t"), "loaded_at").where(F.col("t").isNotNull()).withColumn("n", F.octet_length("t"))
+    kept = F.col("t") if keep_small else F.when(F.col("n") > limit, F.col("t"))
+    base = first_per_id(sized.select("id", "loaded_at", F.xxhash64("t").alias("h"), "n", kept.alias("t")), "h", "n", "t").where("t IS NOT NULL")
+    if keep_small:
+        base = cut(base)  # read by both branches
+    large = base.where(F.octet_length("t") > limit).mapInPandas(run, PIECES)
     if not keep_small:
         return large
     lines = F.length("t") - F.length(F.replace("t", F.lit("\n"))) + F.when(F.col("t").endswith("\n"), 0).otherwise(1)
-    small = first_per_id(base.where(F.octet_length("t") <= limit), "t").select(
+    small = base.where(F.octet_length("t") <= limit).select(
         "id", F.lit(0).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("overlap_bytes"), F.lit(1).alias("first_line"), lines.cast("int").alias("last_line"), F.col("t").alias("piece")
     )
     return large.unionByName(small)
+
+
+def joined(parts: DataFrame) -> DataFrame:
+    """id, n_pieces, longest (bytes), digest of the pieces put together without their overlaps; an item's pieces are one text by definition."""
+    own = F.substring(F.col("piece").cast("binary"), F.col("overlap_bytes") + 1, F.octet_length("piece"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", F.hex(own).alias("h")))), lambda x: x["h"]), "")
+    return parts.groupBy("id").agg(F.count(F.lit(1)).alias("n_pieces"), F.max(F.octet_length("piece")).alias("longest"), F.sha2(F.unhex(whole), 256).alias("digest"))
