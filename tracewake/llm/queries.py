@@ -46,7 +46,7 @@ def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where(F.col("run_tokens") >= leakage.MIN_RUN).select("doc_id", "item_id")
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
