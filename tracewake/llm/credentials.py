@@ -1,25 +1,28 @@
 """Credentials embedded in source code (problem 6).
 
 Lines yield candidates: a value with the identifier or words that introduce it,
-how it was introduced and the file it stands in. Words of an account beside a
-user and a value, or beside a value of random shape, introduce one too. Lines
-without a word or prefix of any form are passed over unparsed, as no form fits
-them; of file headers only real ones are. A logistic
-regression scores each candidate from the likelihood ratio of its characters
-under two Markov chains (secret values against ordinary code words), from the
-introducing words, the form of the value and the path. It is trained on weak
-labels: patterns that are nearly always credentials or nearly never. Scores are
-calibrated by Platt scaling on a held-out part; values at or above THRESHOLD are
+how it was introduced and the file it stands in. Values come from literals and
+assignments beside account words, from URLs, headers, commands and prose, and,
+wherever they stand, from tokens of random shape. A logistic regression scores each
+candidate from the likelihood ratio of its characters under two Markov chains
+(secret values against ordinary code words), from its shape, the words around it,
+the words inside it and the path. It is trained on weak labels: patterns that are
+nearly always credentials or nearly never. A pattern's own evidence is hidden from
+the features of the rows that it labels (an issued prefix is cut off, the words of an
+identifier are left out of every other copy), so the model learns the rest. Scores
+are calibrated by Platt scaling on a held-out part; values at or above THRESHOLD are
 redacted in place, so quotes, users, hosts and the code around stay as they are.
 
 The fit uses about TRAIN_TASKS tasks (those whose id hashes lowest) and at most
-TRAIN_CANDIDATES of their candidates, with a small fixed set of made-up examples
-so that tiny tables train too. Scoring covers every line of every text.
+TRAIN_CANDIDATES of their candidates and TRAIN_WORDS ordinary words, with a fixed set
+of made-up examples so that tiny tables train too. Scoring covers every line of
+every text and values of any length.
 
 Nulls and edge cases: null ids and texts give nothing; lines are split at line
-feeds only and counted from 1; a redelivered id counts once per line; the body
-of a private key is redacted with its first line, up to its END line or to the
-first line that can't belong to it; empty tables give no rows.
+feeds only and counted from 1; of a redelivered id the list takes the lines of all
+deliveries and the redacted table the first one; the body of a private key is redacted with its
+first line, up to its END line or to the first line that can't belong to it; empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -35,13 +38,15 @@ from dataclasses import dataclass
 import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewake.session import spread
+from tracewake.llm import sparse
+from tracewake.session import cut, spread
 
 TRAIN_TASKS = 3000
 TRAIN_CANDIDATES = 20_000
+TRAIN_WORDS = 5000
 THRESHOLD = 0.5
 SEED = 7
 
@@ -56,7 +61,7 @@ ACCOUNT_WORDS = ("login", "logon", "log-in", "log in", "signin", "sign-in", "sig
 ACCOUNT = r"(?P<c>(?<![A-Za-z])(?:" + "|".join(ACCOUNT_WORDS) + r")(?:s|name|names)?(?![A-Za-z0-9_]))"
 # a value that no identifier looks like: small letters, digits and capitals or signs
 SHAPED = r"(?<![^\s'\"`(=:,])(?!(?i:sha\d|md5|urn:))(?!_?(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[vV]?\d{1,4}|[_-])+(?![\w!#$%^&*+=~-]))(?=[^\s'\"`]*[a-z])(?=[^\s'\"`]*\d)(?=[^\s'\"`]*[A-Z!#$%^&*])(?P<v>[\w!#$%^&*+=~-]{8,64})(?![^\s'\"`),;.])"
-IDENT = r"(?<![\w.$-])[\w.$-]*?(?:pass(?:word|wd|phrase|code|wort)?|pwd|pw|secrets?|tokens?|keys?|credentials?|creds?|auth|kennwort|contraseña|密码|口令|密钥)[\w.$-]*"
+IDENT = r"(?<![\w.$-])(?=[\w.$-]*?(?:pass(?:word|wd|phrase|code|wort)?|pwd|pw|secrets?|tokens?|keys?|credentials?|creds?|auth|kennwort|contraseña|密码|口令|密钥))[\w.$-]++"
 
 PEM = re.compile(r"-----\s*BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?\s*-----", re.I)
 PEM_END = re.compile(r"-----\s*END (?:[A-Z0-9]+ )*PRIVATE KEY", re.I)
@@ -67,7 +72,7 @@ PEM_HEADER = re.compile(r"[+\- ]?[ \t]*[\"']?(?:Proc-Type|DEK-Info|Version|Comme
 FORMS: tuple[tuple[str, re.Pattern[str]], ...] = (
     ("url", re.compile(r"(?P<c>\b[a-z][a-z0-9+.-]*)\s?:\s?//[^\s:/@'\"]*:(?P<v>[^\s@/'\"]+)@", re.I)),
     ("header", re.compile(r"(?P<c>authorization['\"]?\s*[:=,]\s*['\"]?(?:bearer|basic|token)|x-[\w-]*(?:key|token|secret|auth)[\w-]*['\"]?\s*[:=,])\s*['\"]?(?P<v>[^\s'\",;]+)", re.I)),
-    ("command", re.compile(r"(?P<c>\b\w*PASSWORD\s*=|\bsshpass\s+-p|\s--(?:password|token|secret|api-key)[ =]|\bcurl\b.*?\s(?:-u|--user)[\s=]+['\"]?[^\s:'\"]+:|\bmysql\w*\b.*?\s-p(?=\S))\s*['\"]?(?P<v>[^\s'\"]+)")),
+    ("command", re.compile(r"(?P<c>\b\w*PASSWORD\s*=|\bsshpass\s+-p|\s--(?:password|token|secret|api-key)[ =]|\bcurl\b(?:(?!\bcurl\b).)*?\s(?:-u|--user)[\s=]+['\"]?[^\s:'\"]+:|\bmysql\w*\b(?:(?!\bmysql).)*?\s-p(?=\S))\s*['\"]?(?P<v>[^\s'\"]+)")),
     ("sql", re.compile(r"(?P<c>\b(?:identified\s+by|with\s+password|encrypted\s+password|password))\s+'(?P<v>[^']+)'", re.I)),
     ("prose", re.compile(r"(?P<c>\b(?:password|passwd|passphrase|pwd|token|secret|api key|passwort|kennwort|contraseña)\s+(?:is|was|ist|es|war)|密码[是为：:]|口令[是为：:])\s*:?\s*['\"`]?(?P<v>[^\s'\"`]+)", re.I)),
     ("encoded", re.compile(r"(?P<c>\b(?:\w*decode\w*|b64\w*|from_?base64)\s*)\(\s*['\"](?P<v>[A-Za-z0-9+/_-]{6,}={0,2})['\"]", re.I)),
@@ -75,11 +80,23 @@ FORMS: tuple[tuple[str, re.Pattern[str]], ...] = (
     ("pair", re.compile(r"['\"](?P<c>" + IDENT + r")['\"]\s*,\s*(?P<q>['\"`])(?P<v>[^'\"`]+)(?P=q)", re.I)),
     ("quoted", re.compile(r"(?P<c>" + IDENT + r")['\"]?\]?(?:\s*:\s*\w+)?\s*(?::\s?=|=\s?>|=|:)\s*(?P<q>['\"`])(?P<v>[^'\"`]+)(?P=q)", re.I)),
     ("bare", re.compile(r"(?P<c>" + IDENT + r")\s*(?::\s?=|=|:)\s*(?P<v>[^\s'\"`,;(){}\[\]]+)\s*;?\s*(?:[#/].*)?$", re.I)),
+    ("field", re.compile(r"(?<![\w.$-])(?P<c>" + IDENT + r")=(?P<v>[^\s'\"`;&,<>(){}\[\]]{6,})", re.I)),
+    ("phrase", re.compile(r"^[+\- ]?\s*[\"']?(?P<c>" + IDENT + r")[\"']?\s*[:=]\s+(?P<v>[^\W\d_]{3,}(?: [^\W\d_]{3,}){2,})\s*$", re.I)),
     ("prefixed", re.compile(r"(?P<c>)(?<![A-Za-z0-9])(?P<v>" + PREFIXED + ")")),
-    ("login", re.compile(ACCOUNT + r".{0,400}?(?:\s(?:was|is|were|are|ist|war|es|era|with|as)\s*:?|[:=：]|[是为])\s*['\"`(]?(?![\d/])[\w.@+-]{1,64}['\"`]?\s+[/|]\s+['\"`]?(?P<v>[^\s'\"`]+)", re.I)),
-    ("login", re.compile(ACCOUNT.replace("(?P<c>", "(?P<c>(?i:") + r")(?:(?!\b(?i:u?u?ids?|hash|commit|checksum|digest|sha\d*|md5|etag|fingerprint|public)\b).){0,400}?" + SHAPED)),
 )
-KINDS = ("pem", *dict.fromkeys(k for k, _ in FORMS))
+#: the part of a login line behind the account's words
+LOGIN_TAIL = re.compile(r"(?:\s(?:was|is|were|are|ist|war|es|era|with|as)\s*:?|[:=：]|[是为])\s*['\"`(]?(?![\d/])[\w.@+-]{1,64}['\"`]?\s+[/|]\s+['\"`]?(?P<v>[^\s'\"`]+)", re.I)
+LOGIN_SHAPED = re.compile(SHAPED)
+NO_LOGIN = re.compile(r"\b(?:u?u?ids?|hash|commit|checksum|digest|sha\d*|md5|etag|fingerprint|public)\b", re.I)
+ACCOUNT_WORD = re.compile(ACCOUNT, re.I)
+#: tokens anywhere that may be random, and the runs inside them
+TOKEN = re.compile(r"(?<![A-Za-z0-9_~+/=.-])[A-Za-z0-9_~+/=.-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9+]{14,}")
+TURNS = re.compile(r"[A-Za-z](?=\d)|\d(?=[A-Za-z])")
+WORD_IN_RUN = re.compile(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}")
+HEX = re.compile(r"[0-9a-fA-F]+")
+INTRODUCED = re.compile(r"[^\W_]+")
+KINDS = ("pem", *dict.fromkeys(k for k, _ in FORMS), "login", "token")
 #: form: words of which each line that it fits holds one; ident stands for the forms with an identifier
 WORDS_OF = {
     "pem": ("private key",),
@@ -96,6 +113,9 @@ WORDS_OF = {
 TRIGGERS = tuple(sorted({w for words in WORDS_OF.values() for w in words}))
 
 PREFIX = re.compile(PREFIXED)
+ISSUED = re.compile("|".join(re.escape(p) for p, _ in PREFIXES) + r"|[A-Za-z]{2,6}[_.-](?=[A-Za-z0-9_.-]{16})")
+NOT_SECRET = re.compile(r"sha\d+|integrity|checksum|etag|md5|digest|commit|fingerprint|ssh-|public|uuid|\bid\b|hash|index|revision|signature", re.I)
+FUNCTION_WORD = re.compile(r"\b(?:the|an?|is|are|be|must|not|to|of|in|for|and|or|with|from|should|may|can|your|this|that|it|if|when|see|use|no|der|die|das|und|nicht|el|la|los|de|no|que)\b", re.I)
 PLACEHOLDER = re.compile(
     r"^(?:[*x.•_-]{3,}|<.*>?|\.\.\.|\[.*\]?|(?:your|my|some|the)[-_ ].*|.*(?:change[-_ ]?me|placeholder|redacted|replace[-_ ]?me|to[-_ ]?do|-here>?|dummy|example[-_ ]?(?:key|token|secret|pass)).*|null|none|nil|undefined|true|false|string|test|todo|required|optional|0+|1+)$",
     re.I,
@@ -114,8 +134,9 @@ CONFIG_PATH = re.compile(r"\.(?:ya?ml|json|env|properties|toml|ini|conf|cfg|xml)
 TEST_PATH = re.compile(r"(?:^|/)(?:tests?|spec|fixtures?|examples?|docs?|samples?)/|_test\.|\.md$", re.I)
 JOINED = re.compile(r"(['\"])\s*\+\s*\1")
 FILE_LINE = re.compile(r"^(?:\+\+\+ (?:b/)?|diff --git a/)(\S+)", re.I | re.M)
-AT = re.compile(r"[^\s@/'\"]{0,400}@")
+AT = re.compile(r"[^\s@/'\"]*+@")
 PLAIN = re.compile(r"[A-Za-z_][\w./-]{3,}")
+ENCODED = re.compile("b64|base64|decode", re.I)
 B64 = re.compile(r"^[A-Za-z0-9+/_-]{6,}={0,2}$")
 
 
@@ -135,14 +156,28 @@ def _automaton() -> ahocorasick.Automaton:
     return a
 
 
+def random_tokens(text: str) -> list[int]:
+    """Positions of tokens with a run of letters and digits that alternate, unless it is all hexadecimal."""
+    return [m.start() for m in TOKEN.finditer(text) if _random_run(m.group())]
+
+
+def _random_run(token: str) -> str | None:
+    best = None
+    for r in RUN.findall(token):
+        if len(TURNS.findall(r)) > 2 and not HEX.fullmatch(r) and sum(map(len, WORD_IN_RUN.findall(r))) < 0.4 * len(r) and (best is None or len(r) > len(best)):
+            best = r
+    return best
+
+
 def trigger_lines(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
-    """(line number, start, end) of the lines that hold a trigger word."""
+    """(line number, start, end) of the lines that hold a trigger word or a token of random shape."""
     low = text.lower()
     if len(low) != len(text):  # a few letters change their length
         low = "".join(c if len(k := c.lower()) != 1 else k for c in text)
+    places = [pos for pos, word in automaton.iter(low) if not (word == 3 and low[pos - 2 : pos + 1] == "://" and not AT.match(low, pos + 1))]
     out, no, at, end = [], 1, 0, -1
-    for pos, word in automaton.iter(low):
-        if pos < end or (word == 3 and low[pos - 2 : pos + 1] == "://" and not AT.match(low, pos + 1)):
+    for pos in sorted(places + random_tokens(text)):
+        if pos < end:
             continue
         begin = text.rfind("\n", 0, pos) + 1
         no += text.count("\n", at, begin)
@@ -167,17 +202,38 @@ def candidates(line: str) -> list[tuple[str, str, str]]:
     if PEM.search(line):
         return [("pem", "private key", "BEGIN PRIVATE KEY")]
     whole = JOINED.sub("", line)
-    tail = (m.group(0) if (m := re.search(r"(?://|#|--)\s.*$", whole)) else "")[:60]
-    out, seen = [], set()
+    tail = m.group(0) if (m := re.search(r"(?://|#|--)\s.*$", whole)) else ""
+    out: list[tuple[str, str, str]] = []
+    seen: set[str] = set()
+
+    def add(kind: str, context: str, v: str) -> None:
+        v = v.rstrip("\r;,")
+        if kind in ("prose", "login"):
+            v = v.rstrip(".,)")
+        if v not in seen and any(x.isalnum() or x in "*•" for x in v):
+            seen.add(v)
+            out.append((kind, context, v))
+
     for kind, form in FORMS:
         for m in form.finditer(whole):
-            v = m.group("v").rstrip("\r;,")
-            if kind in ("prose", "login"):
-                v = v.rstrip(".,)")
-            if not v or v in seen or len(v) > 4000:
-                continue
-            seen.add(v)
-            out.append((kind, m.group("c") + (" " + tail if kind == "encoded" else ""), v))
+            add(kind, m.group("c") + (" " + tail if kind == "encoded" else ""), m.group("v"))
+    accounts = [m.start() for m in ACCOUNT_WORD.finditer(whole)]
+    if accounts:
+        for m in LOGIN_TAIL.finditer(whole):
+            if accounts[0] < m.start():
+                add("login", "login", m.group("v"))
+        barred = [m.start() for m in NO_LOGIN.finditer(whole)]
+        for m in LOGIN_SHAPED.finditer(whole):
+            k = bisect_right(accounts, m.start("v")) - 1
+            if k >= 0 and bisect_right(barred, m.start("v")) == bisect_right(barred, accounts[k]):
+                add("login", "login", m.group("v"))
+    if not OF_BODY.fullmatch(line):  # lines of keys and certificates hold nothing but themselves
+        for m in TOKEN.finditer(whole):
+            if (v := _random_run(m.group())) and not any(v in x or x in m.group() for x in seen):
+                before = INTRODUCED.findall(whole[: m.start()])[-4:]
+                inside = [w for w in INTRODUCED.findall(m.group()[: m.group().index(v)]) if w.isalpha() and len(w) < 13 and (w.islower() or w.isupper() or w.istitle())]
+                in_path = "/" in m.group() and ("." in m.group() or "//" in m.group()) or "=" in m.group().rstrip("=")
+                add("token", " ".join(before + inside), v if in_path else m.group())
     return out
 
 
@@ -202,7 +258,7 @@ class Markov:
 
     @classmethod
     def _codes(cls, s: str) -> np.ndarray:
-        b = np.frombuffer(s[:200].encode("latin-1", "replace"), np.uint8).astype(np.int64)
+        b = np.frombuffer(s.encode("latin-1", "replace"), np.uint8).astype(np.int64)
         return np.where((b >= 32) & (b < 127), b - 31, 0)
 
     @classmethod
@@ -218,34 +274,43 @@ class Markov:
         return float(self.ratio[np.concatenate(([0], c[:-1])), c].mean()) if len(c) else 0.0
 
 
-def features(c: Candidate, chain: Markov) -> list[float]:
+_SPLIT = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zß-ÿ]+|[\u4e00-\u9fff]+")
+
+
+def words_of(s: str) -> list[str]:
+    """The words of an identifier or phrase, in small letters."""
+    return [w.lower() for w in _SPLIT.findall(s)]
+
+
+def features(c: Candidate, chain: Markov, context: bool = True) -> list[str]:
+    """Shape, likelihood, words around and inside, path. An issued prefix is no evidence: it labels rows."""
     v = c.value
-    n = len(v)
-    kinds = [any(x.islower() for x in v), any(x.isupper() for x in v), any(x.isdigit() for x in v), any(not x.isalnum() for x in v)]
-    return [
-        1.0,
-        chain.score(v),
-        chain.score(_clear(v)) if c.kind in ("header", "encoded") else chain.score(v),
-        min(n, 64) / 16,
-        float(n < 6),
-        float(sum(kinds)),
-        len(set(v)) / max(n, 1),
-        sum(x.isdigit() for x in v) / max(n, 1),
-        float(bool(PREFIX.match(v))),
-        float(bool(PLACEHOLDER.match(v))),
-        float(bool(VARIABLE.search(v))),
-        float(bool(WORDS.match(v))),
-        float(v.replace(".", "").isdigit()),
-        float(bool(CALLS.match(v)) and c.kind in ("bare", "quoted")),
-        float(" " in v),
-        float(bool(STRONG.search(c.context))),
-        float(bool(WEAK.search(c.context))),
-        float(bool(COUNTER.search(c.context))),
-        float(bool(CODE_PATH.search(c.path))),
-        float(bool(CONFIG_PATH.search(c.path))),
-        float(bool(TEST_PATH.search(c.path))),
-        *[float(c.kind == k) for k in KINDS],
-    ]
+    bare = ISSUED.sub("", v, count=1) if ISSUED.match(v) else v
+    clear = _clear(v) if c.kind in ("header", "encoded") or v[-1] == "=" or ENCODED.search(c.context) else bare
+    n = len(bare)
+    classes = "".join(k for k, hit in zip("aA0", (any(x.islower() for x in bare), any(x.isupper() for x in bare), any(x.isdigit() for x in bare)), strict=True) if hit)
+    signs = sorted({x for x in v if not x.isalnum()})
+    inner = [w for w in words_of(bare) if len(w) > 2]
+    covered = sum(map(len, inner)) / max(n, 1)
+    score = chain.score(bare)
+    out = [
+        "bias", f"kind:{c.kind}", f"chain:{max(-6, min(6, round(score * 3)))}", f"chain:{c.kind}:{max(-3, min(3, round(score)))}", f"clear:{max(-4, min(4, round(chain.score(clear) * 2)))}",
+        f"length:{min(n, 48) // 4}", f"classes:{classes}", f"variety:{round(8 * len(set(bare)) / max(n, 1))}", f"digits:{round(6 * sum(x.isdigit() for x in bare) / max(n, 1))}",
+        f"covered:{round(4 * covered)}", f"first:{v[0] if not v[0].isalnum() else 'x'}", f"last:{v[-1] if not v[-1].isalnum() else 'x'}", *(f"sign:{x}" for x in signs[:8]),
+        *(f"inside:{w}" for w in inner[:8]), f"number:{v.isdigit()}", f"one:{len(set(v.lower()) - set('-_ .')) <= 2}", f"words:{min(v.count(' '), 4)}", f"stop:{bool(FUNCTION_WORD.search(v)) and ' ' in v}",
+    ]
+    if clear != bare:
+        out.append("decodes")
+    if HEX.fullmatch(bare):
+        out.append(f"hex:{n if n in (7, 8, 32, 40, 64) else 'other'}")
+    ext = c.path.rsplit(".", 1)[-1].lower() if "." in c.path else ""
+    out += [f"ext:{ext}", f"test:{bool(TEST_PATH.search(c.path))}"]
+    if context:
+        around = [w for w in words_of(c.context) if len(w) > 1]
+        out += [f"around:{w}" for w in around] + [f"holds:{w}" for w in WORDS_OF["ident"] if w in c.context.lower()] + [f"last_word:{around[-1] if around else ''}", *(f"pair:{a} {b}" for a, b in zip(around, around[1:], strict=False))]
+    else:
+        out.append("no context")
+    return out
 
 
 def weak_label(c: Candidate) -> int | None:
@@ -253,80 +318,83 @@ def weak_label(c: Candidate) -> int | None:
     v = c.value
     if c.kind == "pem" or PREFIX.match(v):
         return 1
+    if c.kind == "phrase":
+        return int(not FUNCTION_WORD.search(v)) if re.search("pass|kennwort|contraseña|密码", c.context, re.I) else None
     if PLACEHOLDER.match(v) or VARIABLE.search(v) or COUNTER.search(c.context) or " " in v or CALLS.match(v) or v.replace(".", "").isdigit() or WORDS.match(v):
         return 0
+    if c.kind == "token":
+        return 0 if NOT_SECRET.search(c.context) else None
     if len(v) >= 6 and c.kind in ("url", "header", "command", "sql", "prose", "login"):
         return 1
-    if len(v) >= 6 and c.kind in ("quoted", "call", "pair", "bare", "encoded") and STRONG.search(c.context):
+    if len(v) >= 6 and c.kind in ("quoted", "call", "pair", "bare", "encoded", "field") and STRONG.search(c.context):
         return 1
     return None
 
 
-def made_up_examples() -> list[Candidate]:
-    """A fixed small set from a seeded generator, so that every form has both labels."""
+def made_up_examples() -> list[tuple[Candidate, int]]:
+    """A fixed set with labels from a seeded generator, so that every form has both labels."""
     r = random.Random(SEED)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-    words = ("north", "river", "amber", "stone", "cloud", "maple", "ember", "quiet")
-    out = []
-    for k in range(240):
+    words = ("north", "river", "amber", "stone", "cloud", "maple", "ember", "quiet", "velvet", "copper", "walnut", "harvest")
+    usual = "read write open close admin root user name value default field input check valid empty local main test prod stage order items count index start stop list view edit done error".split()
+    plain = lambda: r.choice(usual) if r.random() < 0.5 else "".join(r.choice("bdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 3)))
+    contexts = {"url": ("postgres", "amqp", "redis"), "header": ("Authorization: Bearer", "X-Api-Key:"), "command": ("PGPASSWORD=", "sshpass -p", "--token"), "sql": ("identified by", "with password"), "prose": ("password is", "token was"), "login": ("login",)}
+    idents = ("password", "api_key", "authToken", "SECRET", "db_pw", "clientSecret", "ADMIN_PASS", "signing.key", "accessToken", "credential")
+    harmless = ("tokenLimit", "passwordMinLength", "cacheKey", "keyTimeout", "secretName", "primaryKey", "tokenType", "passwordHint", "keyPath", "authEnabled")
+    out: list[tuple[Candidate, int]] = []
+    for k in range(840):
         kind = KINDS[k % len(KINDS)]
-        random_value = "".join(r.choice(letters) for _ in range(r.choice((10, 14, 20, 32, 40))))
+        path = r.choice(("svc/app.go", "conf/app.yaml", "job/run.py", "web/app.ts", "src/App.java", "db/init.sql", "app.properties", ".env", ""))
+        token = "".join(r.choice(letters) for _ in range(r.choice((20, 24, 32, 43))))
+        value = "".join(r.choice(letters if k % 3 else letters[:52]) for _ in range(r.choice((10, 12, 14, 20, 32, 40))))
         phrase = f"{r.choice(words)}-{r.choice(words)}-{r.randint(10, 99)}"
         title = f"{r.choice(words).title()}{r.randint(100, 9999)}{r.choice('!#*%$')}"
-        path = r.choice(("svc/app.go", "conf/app.yaml", "job/run.py", "web/app.ts", ".env"))
-        context = {"url": "postgres", "header": "Authorization: Bearer", "command": "PGPASSWORD=", "sql": "identified by", "prose": "password is", "login": "login"}.get(kind, r.choice(("password", "api_key", "authToken", "SECRET", "db_pw")))
+        context = r.choice(contexts.get(kind, idents))
+        empty = r.choice(("${APP_VALUE}", f"${{{plain().upper()}_{plain().upper()}}}", "$TOKEN", "********", "<your-token-here>", "xxxxxxxxxxxxxxxx", "{{ vault.app }}", "%s", "null", "changeme", f'os.environ["{plain().upper()}"]', f"cfg.{plain().title()}()"))
         if kind == "pem":
-            out.append(Candidate(kind, "private key", "BEGIN PRIVATE KEY", path))
-            continue
-        if kind == "encoded":
-            out.append(Candidate(kind, "decode // password", base64.b64encode(phrase.encode()).decode(), path))
-        out.append(Candidate(kind, context, r.choice((random_value, phrase, title)), path))
-        out.append(Candidate(kind, context, r.choice(("${APP_VALUE}", "$TOKEN", "********", "<your-token-here>", "xxxxxxxxxxxxxxxx", "{{ vault.app }}")), path))
-        out.append(Candidate(kind if kind in ("quoted", "bare") else "bare", r.choice(("tokenLimit", "passwordMinLength", "cacheKey", "keyTimeout", "secretName")), r.choice(("12", "4096", "shard", "user_id")), path))
+            out.append((Candidate(kind, "private key", "BEGIN PRIVATE KEY", path), 1))
+        elif kind == "token":
+            for _ in range(6):
+                token = "".join(r.choice(letters) for _ in range(r.choice((16, 20, 24, 32, 43))))
+                issued = r.choice(("ghp_", "glpat-", "sk_live_", "xoxb-", "npm_", "SG.", "pk-", "rk_", "dop_v1_", "", ""))
+                around = " ".join(r.choice((plain(), "hooks", "services", "export", "const", "client", "url", "old", "config", "k", "x", "send", "T", "uses")) for _ in range(r.randint(0, 4)))
+                out.append((Candidate(kind, around, issued + (token if r.random() < 0.7 else f"{token[:9]}{r.choice('.-_')}{token[9:]}x"), path), 1))
+                digest = " ".join(r.sample(("sha1", "sha256", "sha512", "integrity", "ssh", "rsa", "ed25519", "public key", "etag", "commit", "checksum", "hash", "digest", "fingerprint", "build id", "request id", "revision", "signature"), 2))
+                out.append((Candidate(kind, f"{plain()} {digest}" if r.random() < 0.5 else digest, token + r.choice(("", "=", "==")), path), 0))
+        elif kind == "phrase":
+            for _ in range(3):
+                out.append((Candidate(kind, r.choice(("password", "passphrase", "db_pass")), " ".join(r.choice((r.choice(words), plain())) for _ in range(r.choice((3, 4, 5)))), path), 1))
+            out.append((Candidate(kind, r.choice(("password", "passphrase", "db_pass", "token")), r.choice(("must not be empty", "see the vault for this", "is read from the environment", "the password of the user", f"the {plain()} to use for {plain()}")), path), 0))
+        else:
+            out.append((Candidate(kind, context, r.choice((value, value, phrase, title)), path), 1))
+            out.append((Candidate(kind, context, empty, path), 0))
+            out.append((Candidate(kind, r.choice((context, *harmless)), plain() if r.random() < 0.5 else f"{plain()}{plain().title()}", path), 0))
+            out.append((Candidate(r.choice(("bare", "field", "quoted", "call", kind)), r.choice(harmless), r.choice((str(r.randint(0, 10 ** r.randint(1, 5))), "user_id", f"{plain()}_{plain()}")), path), 0))
+            if kind in ("pair", "quoted", "call", "bare", "encoded"):
+                coded = base64.b64encode(r.choice((phrase, value, title)).encode()).decode()
+                out.append((Candidate(kind, "decode // password" if kind == "encoded" else r.choice(("app.password.b64", "tokenBase64", "secret_b64")), coded, path), 1))
     return out
 
 
 @dataclass
 class Model:
     chain: Markov
-    weights: np.ndarray
-    mean: np.ndarray
-    scale: np.ndarray
+    weights: dict[str, float]
     platt: tuple[float, float]
 
-    def probability(self, c: list[Candidate]) -> np.ndarray:
-        x = (np.array([features(k, self.chain) for k in c]) - self.mean) / self.scale
-        return 1 / (1 + np.exp(-(self.platt[0] * (x @ self.weights) + self.platt[1])))
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Newton steps for a ridge-penalised logistic regression."""
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+    def probability(self, candidates: list[Candidate]) -> list[float]:
+        return [sparse.probability(self.platt[0] * sum(self.weights.get(f, 0.0) for f in features(c, self.chain)) + self.platt[1]) for c in candidates]
 
 
 def train(rows: list[Candidate], plain: list[str]) -> Model:
-    """Fits chains, weights and calibration from weakly labelled candidates."""
-    known = sorted({(*_tuple(c), weak_label(c)) for c in [*rows, *made_up_examples()] if weak_label(c) is not None})
+    """Fits chains, weights and calibration from weakly labelled candidates, each with and without its context."""
+    known = sorted({(*_tuple(c), y) for c, y in [*((c, weak_label(c)) for c in rows), *made_up_examples()] if y is not None})
     labelled = [(Candidate(*k[:4]), k[4]) for k in known]
-    secret = [c.value for c, y in labelled if y and c.kind != "pem"]
-    chain = Markov(secret, plain + [c.value for c, y in labelled if not y])
-    x, y = np.array([features(c, chain) for c, _ in labelled]), np.array([k for _, k in labelled], float)
-    mean, scale = x.mean(axis=0), x.std(axis=0)
-    mean[0], scale[0] = 0.0, 1.0
-    scale[scale < 1e-9] = 1.0
-    z = (x - mean) / scale
-    held = np.arange(len(y)) % 5 == 0
-    part = _logistic(z[~held], y[~held])
-    s = z[held] @ part
-    a, b = _logistic(np.stack([s, np.ones_like(s)], axis=1), y[held], ridge=0.1)
-    return Model(chain, _logistic(z, y), mean, scale, (float(max(a, 0.1)), float(b)))
+    secret = [ISSUED.sub("", c.value, count=1) for c, y in labelled if y and c.kind not in ("pem", "phrase")]
+    chain = Markov(secret, plain + [c.value for c, y in labelled if not y and c.kind != "token"])
+    data = [(features(c, chain, context), y) for c, y in labelled for context in (True, False) if context or c.kind not in ("pem", "token")]
+    weights, platt = sparse.fit(data)
+    return Model(chain, weights, platt)
 
 
 def _tuple(c: Candidate) -> tuple[str, str, str, str]:
@@ -368,9 +436,10 @@ def fit(df: DataFrame, text: str = "input_diff", id_col: str = "id") -> Model:
                 rows += [("plain", "", w, "") for w in PLAIN.findall(t)[:: max(1, t.count("\n") // 8)]]
             yield pd.DataFrame(rows, columns=["kind", "context", "value", "path"])
 
-    rows = spread(sample).mapInPandas(extract, "kind string, context string, value string, path string").distinct()
-    rows = rows.orderBy(F.xxhash64("kind", "context", "value", "path")).limit(TRAIN_CANDIDATES).collect()
-    return train([Candidate(*r) for r in rows if r[0] != "plain"], [r[2] for r in rows if r[0] == "plain"])
+    rows = cut(spread(sample).mapInPandas(extract, "kind string, context string, value string, path string").distinct())
+    some = rows.orderBy(F.xxhash64("kind", "context", "value", "path"))  # candidates and plain words have bounds of their own
+    found = some.where("kind <> 'plain'").limit(TRAIN_CANDIDATES).collect()
+    return train([Candidate(*r) for r in found], [r[2] for r in some.where("kind = 'plain'").limit(TRAIN_WORDS).collect()])
 
 
 def found_in(text: str, model: Model, automaton: ahocorasick.Automaton) -> list[tuple[int, int, int, list[Candidate]]]:
@@ -449,7 +518,7 @@ def credential_lines(df: DataFrame, model: Model, text: str = "input_diff", id_c
 
 
 def redacted(df: DataFrame, model: Model, text: str = "input_diff", id_col: str = "id") -> DataFrame:
-    """task_id, lines (number of lines with credentials), redacted for every text; one row per id."""
+    """task_id, lines (number of lines with credentials), redacted, and the changed lines as they were; one row per id."""
     from tracewake.sources.tables import first_per_id
 
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -460,7 +529,16 @@ def redacted(df: DataFrame, model: Model, text: str = "input_diff", id_col: str
             rows = []
             for i, t in zip(batch["id"], batch["t"], strict=True):
                 hits = found_in(t, shared.value, a) if t is not None else []
-                rows.append((i, len(hits), redact(t, hits) if hits else t))
-            yield pd.DataFrame(rows, columns=["task_id", "lines", "redacted"])
+                out = redact(t, hits) if hits else t
+                changed = [{"line_no": k, "line": x} for k, (x, y) in enumerate(zip(t.split("\n"), out.split("\n"), strict=True), 1) if x != y] if hits else []
+                rows.append((i, len(hits), out, changed))
+            yield pd.DataFrame(rows, columns=["task_id", "lines", "redacted", "changed"])
+
+    return first_per_id(df.select(F.col(id_col).alias("id"), F.col(text).alias("t"), "loaded_at"), "t").mapInPandas(run, "task_id string, lines int, redacted string, changed array<struct<line_no:int,line:string>>")
+
 
-    return first_per_id(df.select(F.col(id_col).alias("id"), F.col(text).alias("t"), "loaded_at"), "t").mapInPandas(run, "task_id string, lines int, redacted string")
+def put_back(text: Column, changed: Column) -> Column:
+    """Redacted texts with their changed lines as they were; the round trip that shows that nothing else changed."""
+    at = F.map_from_entries(changed)
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.coalesce(F.element_at(at, i + 1), x))
+    return F.when(F.size(changed) > 0, F.array_join(lines, "\n")).otherwise(text)

@@ -45,6 +45,13 @@ def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.redacted(tasks, credentials.fit(tasks))
 
 
+def p6_redacted_back(spark: SparkSession, d: str) -> DataFrame:
+    """The digest of each diff after its changed lines are put back."""
+    tasks = table(spark, d, "analysis_tasks")
+    out = credentials.redacted(tasks, credentials.fit(tasks))
+    return out.where("redacted IS NOT NULL").select("task_id", F.sha2(credentials.put_back(F.col("redacted"), F.col("changed")), 256).alias("digest"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).where(F.col("run_tokens") >= leakage.MIN_RUN).select("doc_id", "item_id")
 
@@ -90,7 +97,7 @@ def p9_surrogates(spark: SparkSession, d: str) -> DataFrame:
     return pii.with_surrogates(table(spark, d, "documents"), table(spark, d, "name_lexicon"), _KEY)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_pieces_joined, p3_found, p3_membership, p3_records, p6_found, p6_redacted, p7_found, p7_leaks, p8_chosen, p8_shares, p9_found, p9_redacted, p9_redacted_back, p9_surrogates, p9_surrogates_back)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_pieces_joined, p3_found, p3_membership, p3_records, p6_found, p6_redacted, p6_redacted_back, p7_found, p7_leaks, p8_chosen, p8_shares, p9_found, p9_redacted, p9_redacted_back, p9_surrogates, p9_surrogates_back)}
 
 _FOLD = "replace(translate(lower({x}), 'ſς', 'sσ'), 'ß', 'ss')"
 _BARE = r"regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', '', 'g')"
@@ -120,6 +127,7 @@ SQL = {
     "p3_membership": f"{_RECORDS} SELECT k.id, m.record_id FROM k JOIN (SELECT dk, xk, min(id) AS record_id FROM k GROUP BY dk, xk HAVING count(*) > 1) m ON k.dk = m.dk AND k.xk = m.xk",
     "p3_found": f"{_RECORDS} SELECT a.id AS id_a, b.id AS id_b FROM k a JOIN k b ON a.dk = b.dk AND a.xk = b.xk AND a.id < b.id",
     "p3_records": f"{_RECORDS} SELECT min(id) AS record_id, count(*) AS copies FROM k GROUP BY dk, xk",
+    "p6_redacted_back": "SELECT id AS task_id, sha256(input_diff) AS digest FROM (SELECT id, arg_min(struct_pack(d := input_diff), loaded_at).d AS input_diff FROM analysis_tasks WHERE id IS NOT NULL GROUP BY id) WHERE input_diff IS NOT NULL",
     "p9_redacted_back": "SELECT doc_id, sha256(text) AS digest FROM documents WHERE doc_id IS NOT NULL",
     "p9_surrogates_back": "SELECT doc_id, sha256(text) AS digest, 0::BIGINT AS unchanged FROM documents WHERE doc_id IS NOT NULL",
     "p7_found": f"SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(i='doc_id', t='documents')}) d JOIN ({_GRAMS.format(i='item_id', t='eval_items')}) i USING (g)",
