@@ -74,6 +74,68 @@ def test_flow_is_the_largest_exact_mixture():
     assert all(n <= patterns[i][1] * repeats[s] for (i, s), n in flow.items())
 
 
+def least_cost(patterns, quota, repeats):
+    """Cost of every way to meet the quotas, one token at a time; the least."""
+    names = sorted(quota)
+    best = None
+    options = [[x for x in itertools.product(*[range(size * repeats[s] + 1) for s in sources])] for sources, size in patterns]
+    for pick in itertools.product(*options):
+        got = dict.fromkeys(names, 0)
+        for (sources, _), x in zip(patterns, pick, strict=True):
+            for s, n in zip(sources, x, strict=True):
+                got[s] += n
+        if got == quota:
+            cost = sum(sum(t // size for t in range(sum(x))) for (_, size), x in zip(patterns, pick, strict=True))
+            best = cost if best is None else min(best, cost)
+    return best
+
+
+def test_flow_has_the_least_cost():
+    import random
+
+    r = random.Random(3)
+    for _ in range(40):
+        names = ["a", "b", "c"]
+        patterns = [(tuple(sorted(r.sample(names, r.randint(1, 2)))), r.randint(1, 2)) for _ in range(3)]
+        share = dict(zip(names, (0.5, 0.25, 0.25), strict=True))
+        repeats = {s: r.randint(1, 2) for s in names}
+        total, flow = mixing.plan_flow(patterns, share, repeats)
+        got = {s: sum(n for (_, x), n in flow.items() if x == s) for s in {s for sources, _ in patterns for s in sources}}
+        cost = sum(sum(t // size for t in range(sum(n for (i, _), n in flow.items() if i == k))) for k, (_, size) in enumerate(patterns))
+        assert cost == least_cost(patterns, got, repeats)
+
+
+def test_many_patterns_are_planned_in_seconds():
+    import random
+    import time
+
+    r = random.Random(1)
+    names = [f"s{k:02}" for k in range(16)]
+    patterns = {}
+    while len(patterns) < 60_000:
+        patterns[tuple(sorted(r.sample(names, min(16, 1 + int(r.expovariate(0.25))))))] = int(r.paretovariate(1.1) * 1000)
+    share = {s: 1 / 16 for s in names}
+    t = time.time()
+    for n in (1000, 60_000):
+        some = list(patterns.items())[:n]
+        total, flow = mixing.plan_flow(some, share, {s: k % 5 + 1 for k, s in enumerate(names)})
+        for s in names:
+            assert sum(n for (_, x), n in flow.items() if x == s) == int(total / 16)
+    assert time.time() - t < 30
+
+
+def test_patterns_beyond_the_bound_keep_shares_and_caps(spark, monkeypatch):
+    docs = [(10 * i + k, text(i), s) for i in range(120) for k, s in enumerate(("a", "b", "c")) if (i % 7 + 1) >> k & 1]
+    targets = [("a", 0.5, 2), ("b", 0.3, 1), ("c", 0.2, 3)]
+    _, whole = mix(spark, docs, targets)
+    monkeypatch.setattr(mixing, "MAX_PATTERNS", 3)
+    chosen, part = mix(spark, docs, targets)
+    assert all(abs(part[s].tokens - whole[s].tokens) < 150 and r.most_repeats <= {"a": 2, "b": 1, "c": 3}[s] for s, r in part.items() for r in [part[s]])
+    t = spark.createDataFrame(targets, TARGET)
+    d = spark.createDataFrame([(*r, 1, "c", "c") for r in docs], DOC)
+    assert {tuple(r) for r in mixing.kept(mixing.mixture(d, t), t).collect()} == {(s, True, True, True) for s in "abc"}
+
+
 def test_repeats_are_used_last():
     total, flow = mixing.plan_flow([(("a",), 100), (("a", "b"), 100), (("b",), 100)], {"a": 0.5, "b": 0.5}, {"a": 1, "b": 1})
     assert total == 400 and flow[1, "a"] == flow[1, "b"] == 100  # the shared text serves each source once

@@ -69,6 +69,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mixture(table(spark, d, "documents"), targets), targets)
 
 
+def p8_shares_kept(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    return mixing.kept(mixing.mixture(table(spark, d, "documents"), targets), targets)
+
+
 _KEY = b"a key of the caller"
 
 
@@ -97,7 +102,7 @@ def p9_surrogates(spark: SparkSession, d: str) -> DataFrame:
     return pii.with_surrogates(table(spark, d, "documents"), table(spark, d, "name_lexicon"), _KEY)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_pieces_joined, p3_found, p3_membership, p3_records, p6_found, p6_redacted, p6_redacted_back, p7_found, p7_leaks, p8_chosen, p8_shares, p9_found, p9_redacted, p9_redacted_back, p9_surrogates, p9_surrogates_back)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_pieces_joined, p3_found, p3_membership, p3_records, p6_found, p6_redacted, p6_redacted_back, p7_found, p7_leaks, p8_chosen, p8_shares, p8_shares_kept, p9_found, p9_redacted, p9_redacted_back, p9_surrogates, p9_surrogates_back)}
 
 _FOLD = "replace(translate(lower({x}), 'ſς', 'sσ'), 'ß', 'ss')"
 _BARE = r"regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', '', 'g')"
@@ -120,6 +125,7 @@ WITH t AS (SELECT id, coalesce(input_diff, '') AS d, coalesce(input_desc, '') AS
 )
 _TOKENS = "regexp_extract_all(lower(text), '[a-z0-9ß-öø-ɏ]+|[㐀-䶿一-鿿豈-﫿]')"
 _GRAMS = "SELECT DISTINCT {i}, array_to_string(w[n : n + 19], ' ') AS g FROM (SELECT {i}, w, unnest(range(1, len(w) - 18)) AS n FROM (SELECT {i}, " + _TOKENS + " AS w FROM {t} WHERE text IS NOT NULL AND {i} IS NOT NULL))"
+_SOURCE = "regexp_replace(lower(trim(source)), '[\\s_]+', '-', 'g')"
 
 SQL = {
     "p2_found": "SELECT DISTINCT id AS task_id FROM analysis_tasks WHERE id IS NOT NULL AND strlen(input_diff) > 6000",
@@ -128,6 +134,7 @@ SQL = {
     "p3_found": f"{_RECORDS} SELECT a.id AS id_a, b.id AS id_b FROM k a JOIN k b ON a.dk = b.dk AND a.xk = b.xk AND a.id < b.id",
     "p3_records": f"{_RECORDS} SELECT min(id) AS record_id, count(*) AS copies FROM k GROUP BY dk, xk",
     "p6_redacted_back": "SELECT id AS task_id, sha256(input_diff) AS digest FROM (SELECT id, arg_min(struct_pack(d := input_diff), loaded_at).d AS input_diff FROM analysis_tasks WHERE id IS NOT NULL GROUP BY id) WHERE input_diff IS NOT NULL",
+    "p8_shares_kept": f"SELECT {_SOURCE} AS source, true AS share_kept, true AS cap_kept, {_SOURCE} IN (SELECT {_SOURCE} FROM documents WHERE text <> '' AND source IS NOT NULL) AS used FROM mix_targets GROUP BY 1, 4",
     "p9_redacted_back": "SELECT doc_id, sha256(text) AS digest FROM documents WHERE doc_id IS NOT NULL",
     "p9_surrogates_back": "SELECT doc_id, sha256(text) AS digest, 0::BIGINT AS unchanged FROM documents WHERE doc_id IS NOT NULL",
     "p7_found": f"SELECT DISTINCT doc_id, item_id FROM ({_GRAMS.format(i='doc_id', t='documents')}) d JOIN ({_GRAMS.format(i='item_id', t='eval_items')}) i USING (g)",
