@@ -79,3 +79,16 @@ def test_hot_entity_in_slices_equals_replay(spark):
     rows = random_rows(900, ["hot", "hot", "hot", "t"], 5)
     assert run(spark, rows, ("summary",), min_hot=100) == brute(rows, ("summary",))
     assert run(spark, rows, ("summary", "file_path"), min_hot=100) == brute(rows, ("summary", "file_path"))
+
+
+def test_hot_entity_at_one_instant_is_split(spark):
+    t = D(2024, 1, 1)
+    r = random.Random(2)
+    rows = [(f"{i:05}", "r", "hot", r.choice("ab"), "f", f"c{i}", t, t + timedelta(seconds=r.randint(0, 3))) for i in range(900)]
+    df = spark.createDataFrame([(*x, 7, "clash", "clash") for x in rows], SCHEMA)
+    obs = history.first_of_commit(df, ["repo_name", "symbol"], ["summary"], "commit_hash", "created_at", "loaded_at", "id")
+    sliced, hot = history._slices(df, obs, ["repo_name", "symbol"], 100)
+    sizes = [x["count"] for x in sliced.groupBy("slice").count().collect()]
+    assert hot and len(sizes) > 30 and max(sizes) < 100
+    plain, split = (run(spark, rows, ("summary",), min_hot=n) for n in (10_000, 100))
+    assert plain == split and len(run(spark, rows, ("summary", "file_path"), min_hot=100)) == 1

@@ -8,10 +8,12 @@ CHILD = "id string, task_id string, created_at timestamp, loaded_at timestamp, r
 GONE = "task_id string, deleted_at timestamp, restored_at timestamp"
 
 
+def sides(spark, tasks, gone, children):
+    return orphans.parents_of(spark.createDataFrame(tasks, TASK), spark.createDataFrame(gone, GONE)), orphans.children_of({"feedback": spark.createDataFrame(children, CHILD)})
+
+
 def rows(spark, tasks, gone, children):
-    kids = orphans.children_of({"feedback": spark.createDataFrame(children, CHILD)})
-    out = orphans.orphan_rows(spark.createDataFrame(tasks, TASK), spark.createDataFrame(gone, GONE), kids)
-    return sorted((r.row_id, r.reason) for r in out.collect())
+    return sorted((r.row_id, r.reason) for r in orphans.orphan_rows(*sides(spark, tasks, gone, children)).collect())
 
 
 def test_reasons_spellings_and_nulls(spark):
@@ -44,8 +46,35 @@ def test_empty_tables(spark):
 
 def test_hot_key_is_salted_and_counted_whole(spark):
     children = [(f"r{i}", B, D(2024, 1 + i % 3, 1), D(2024, 1, 1), None, None) for i in range(3000)] + [("x", C, None, D(2024, 1, 1), None, None)]
-    kids = orphans.children_of({"feedback": spark.createDataFrame(children, CHILD)})
-    found = orphans.orphan_rows(spark.createDataFrame([], TASK), spark.createDataFrame([], GONE), kids)
-    assert found.count() == 3001
-    counts = {(r.period, r.orphans) for r in orphans.orphan_counts(found).collect()}
+    both = sides(spark, [], [], children)
+    assert orphans.orphan_rows(*both).count() == 3001
+    counts = {(r.period, r.orphans) for r in orphans.orphan_counts(*both).collect()}
     assert counts == {("2024-01", 1000), ("2024-02", 1000), ("2024-03", 1000), (None, 1)}
+
+
+def test_counts_equal_the_rows(spark):
+    """Parents loaded before, among and after their children, of several child tables and periods."""
+    import random
+    from collections import Counter
+
+    r = random.Random(5)
+    keys = [f"{i:08x}-2222-3333-4444-555555555555" for i in range(12)]
+    day = lambda: D(2024, r.randint(1, 3), r.randint(1, 28))
+    tasks = [(k, r.choice((day(), day(), None)), None, None) for k in keys[:9] for _ in range(r.randint(1, 2))]
+    gone = [(keys[3], day(), None), (keys[4], day(), day())]
+    children = [(f"c{i}", r.choice(keys), r.choice((day(), None)), r.choice((day(), day(), None)), None, None) for i in range(400)]
+    parents, one = sides(spark, tasks, gone, children)
+    two = orphans.children_of({"other": spark.createDataFrame(children[:150], CHILD)}, parent="tasks")
+    elsewhere = orphans.children_of({"third": spark.createDataFrame(children[:50], CHILD)}, parent="no such table")
+    kids = one.unionByName(two).unionByName(elsewhere)
+    want = Counter((x.source_table, x.period, x.reason) for x in orphans.orphan_rows(parents, kids).collect())
+    got = {(x.source_table, x.period, x.reason): x.orphans for x in orphans.orphan_counts(parents, kids).collect()}
+    assert got == want and sum(n for (t, _, reason), n in got.items() if t == "third" and reason == "missing") == 50
+    assert {reason for _, _, reason in got} == {"missing", "deleted", "late"}
+
+
+def test_the_first_delivery_decides(spark):
+    t, u = D(2024, 1, 2), D(2024, 2, 2)
+    children = [("a", A, u, u, None, None), ("a", C, t, t, None, None), ("b", C, u, u, None, None), ("b", A, t, t, None, None), ("tie", C, u, t, None, None), ("tie", A, t, t, None, None)]
+    both = sides(spark, [(A, t, None, None)], [], children)
+    assert sorted((x.row_id, x.period) for x in orphans.orphan_rows(*both).collect()) == [("a", "2024-01")]

@@ -3,17 +3,20 @@
 Observations become a change log per attribute: an event whenever the attribute
 differs from its previous observed value. Each attribute has its own intervals;
 the entity's history is made by splitting at the union of all boundaries,
-filling every attribute forward and coalescing neighbours that are equal.
+filling every attribute forward and coalescing neighbours that are equal. One
+attribute goes the same way as many.
 
-Hot entities (more than 1/HOT_KEYS of all rows) are cut into time slices at
-their own quantiles, so that no task sorts one entity whole; the neighbours
-across slices come from a small table of slice ends (at most HOT_KEYS x SLICES
-rows, hence a safe broadcast).
+Hot entities (more than 1/HOT_KEYS of all rows) are cut into slices at the quantiles
+of their own order, which is time, load time and row id, so that no task sorts one
+entity whole, be all its rows at one time; the neighbours across slices come from a
+small table of slice ends (at most HOT_KEYS x SLICES rows, hence a safe broadcast).
 
 Nulls and edge cases: a null entity key is a key of its own; a null or blank
 commit identifies only its own row id; rows without a time are left out; a null
 or blank attribute is no observation; ties in time go to the earlier load, then
-to the smaller row id; empty input gives no rows; extra columns are ignored.
+to the smaller row id; changes at one instant give versions of no length if there is
+one attribute, and are one boundary, at which the last values hold, if there are
+several; empty input gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,29 +55,39 @@ def first_of_commit(df: DataFrame, keys: list[str], attributes: list[str], commi
     )
 
 
-def _slices(raw: DataFrame, df: DataFrame, keys: list[str], at: str, min_hot: int) -> tuple[DataFrame, bool]:
-    """Adds slice: 0 for ordinary entities, 1.. by time for hot ones, counted on the raw rows."""
+def _slices(raw: DataFrame, df: DataFrame, keys: list[str], min_hot: int) -> tuple[DataFrame, bool]:
+    """Adds slice: 0 for ordinary entities, 1.. in order for hot ones, counted on the raw rows."""
     counts = raw.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     top = counts.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
     floor = max((top["total"] or 0) // HOT_KEYS, min_hot)
     if (top["most"] or 0) <= floor:
         return df.withColumn("slice", F.lit(0)), False
     hot = counts.where(F.col("n") > floor).select(*keys, F.lit(True).alias("hot"))
-    micros = F.unix_micros("at")
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     cond = same[0]
     for s in same[1:]:
         cond = cond & s
-    own = raw.select(*keys, F.col(at).alias("at")).alias("l").join(F.broadcast(hot.alias("r")), cond, "left_semi")
-    edges = own.groupBy(*keys).agg(F.percentile_approx(F.unix_micros("at"), [i / SLICES for i in range(1, SLICES)], 10_000).alias("edges"))
+    df = cut(df)  # read for the quantiles and for the slices
+    own = df.alias("l").join(F.broadcast(hot.alias("r")), cond, "left_semi")
+    edges = _edges(own, keys)
+    key = F.struct("at", "loaded", "row_id")
     out = (
         df.alias("l")
         .join(F.broadcast(edges.alias("r")), cond, "left")
-        .select("l.*", F.when(F.col("r.edges").isNull(), 0).otherwise(F.size(F.filter("r.edges", lambda e: e < micros)) + 1).alias("slice"))
+        .select("l.*", F.when(F.col("r.edges").isNull(), 0).otherwise(F.size(F.filter("r.edges", lambda e: e < key)) + 1).alias("slice"))
     )
     return out, True
 
 
+def _edges(own: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, edges: rows of each hot entity that cut its order into even slices, from a sample of bounded size by the rows' hash."""
+    row = F.struct("at", "loaded", "row_id")
+    picked = own.groupBy(*keys, F.pmod(F.xxhash64("row_id", "at", "loaded"), F.lit(SLICES * 16)).alias("b")).agg(F.min_by(row, F.xxhash64("row_id", F.lit(1))).alias("e"))
+    ordered = F.sort_array(F.collect_list("e"))
+    step = F.greatest(F.floor(F.size("s") / SLICES), F.lit(1)).cast("int")
+    return picked.groupBy(*keys).agg(ordered.alias("s")).select(*keys, F.array_distinct(F.filter("s", lambda e, i: (i + 1) % step == 0)).alias("edges"))
+
+
 def _neighbour(df: DataFrame, keys: list[str], values: list[str], forward: bool, hot: bool, prefix: str) -> DataFrame:
     """Adds prefix+value of the previous (or next) row of the entity, across slices."""
     order = ["at", "loaded", "row_id"]
@@ -104,6 +117,10 @@ def change_log(obs: DataFrame, keys: list[str], attribute: str, normal: Column,
     return _neighbour(seen, keys, ["_n"], False, hot, "prev").where(~F.col("_n").eqNullSafe(F.col("prev_n"))).drop("prev_n")
 
 
+def _none(obs: DataFrame, attribute: str) -> Column:
+    return F.lit(None).cast(f"struct<value:{obs.schema[attribute].dataType.simpleString()},n:string>")
+
+
 def history(
     df: DataFrame,
     keys: list[str],
@@ -119,37 +136,34 @@ def history(
     attributes: name to normal form; a change is a change of the normal form.
     """
     names = list(attributes)
-    obs, hot = _slices(df, first_of_commit(df, keys, names, commit, at, loaded, row_id), keys, at, min_hot)
+    obs, hot = _slices(df, first_of_commit(df, keys, names, commit, at, loaded, row_id), keys, min_hot)
     if hot or len(names) > 1:  # read by every attribute's log and by the slices' ends
         obs = cut(obs)
-    if len(names) == 1:
-        joined = change_log(obs, keys, names[0], attributes[names[0]], hot).withColumnRenamed("value", names[0])
-    else:
-        # union of boundaries: one event row per change, one column per attribute
-        events = None
-        for a in names:
-            log = change_log(obs, keys, a, attributes[a], hot)
-            part = log.select(*keys, "slice", "at", "loaded", "row_id", *[F.struct(F.col("value").cast("string").alias("value"), F.col("_n").alias("n")).alias(f"e_{x}") if x == a else F.lit(None).cast("struct<value:string,n:string>").alias(f"e_{x}") for x in names])
-            events = part if events is None else events.unionByName(part)
-        merged = events.groupBy(*keys, "slice", "at", "loaded", "row_id").agg(*[F.first(f"e_{a}", ignorenulls=True).alias(f"e_{a}") for a in names])
-        w = Window.partitionBy(*keys, "slice").orderBy("at", "loaded", "row_id").rowsBetween(Window.unboundedPreceding, 0)
-        filled = merged.select(*keys, "slice", "at", "loaded", "row_id", *[F.last(f"e_{a}", ignorenulls=True).over(w).alias(f"e_{a}") for a in names])
-        if hot:  # values in force when a slice begins
-            last = filled.where("slice > 0").groupBy(*keys, "slice").agg(*[F.max_by(f"e_{a}", F.struct("at", "loaded", "row_id")).alias(f"c_{a}") for a in names])
-            before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-            carry = last.select(*keys, "slice", *[F.last(f"c_{a}", ignorenulls=True).over(before).alias(f"c_{a}") for a in names])
-            cond = F.col("l.slice") == F.col("r.slice")
-            for k in keys:
-                cond = cond & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-            filled = filled.alias("l").join(F.broadcast(carry.alias("r")), cond, "left").select(
-                *[F.col(f"l.{c}") for c in (*keys, "slice", "at", "loaded", "row_id")], *[F.coalesce(f"l.e_{a}", f"r.c_{a}").alias(f"e_{a}") for a in names]
-            )
-        # rows of the same instant: the last one holds
-        w_at = Window.partitionBy(*keys, "slice", "at").orderBy(F.col("loaded").desc(), F.col("row_id").desc())
-        filled = filled.withColumn("_k", F.row_number().over(w_at)).where("_k = 1").drop("_k")
-        filled = filled.withColumn("_n", F.to_json(F.struct(*[F.col(f"e_{a}.n").alias(a) for a in names])))
-        joined = _neighbour(filled, keys, ["_n"], False, hot, "prev").where(~F.col("_n").eqNullSafe(F.col("prev_n"))).drop("prev_n")
-        joined = joined.select(*keys, "slice", "at", "loaded", "row_id", *[F.col(f"e_{a}.value").alias(a) for a in names])
+    order = ["at", "loaded", "row_id"]
+    # union of boundaries: one event row per change, one column per attribute
+    events = None
+    for a in names:
+        log = change_log(obs, keys, a, attributes[a], hot)
+        part = log.select(*keys, "slice", *order, *[F.struct(F.col("value").alias("value"), F.col("_n").alias("n")).alias(f"e_{x}") if x == a else _none(obs, x).alias(f"e_{x}") for x in names])
+        events = part if events is None else events.unionByName(part)
+    merged = events.groupBy(*keys, "slice", *order).agg(*[F.first(f"e_{a}", ignorenulls=True).alias(f"e_{a}") for a in names])
+    w = Window.partitionBy(*keys, "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = merged.select(*keys, "slice", *order, *[F.last(f"e_{a}", ignorenulls=True).over(w).alias(f"e_{a}") for a in names])
+    if hot:  # values in force when a slice begins
+        filled = cut(filled)
+        last = filled.where("slice > 0").groupBy(*keys, "slice").agg(*[F.max_by(f"e_{a}", F.struct(*order)).alias(f"c_{a}") for a in names])
+        before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        carry = last.select(*keys, "slice", *[F.last(f"c_{a}", ignorenulls=True).over(before).alias(f"c_{a}") for a in names])
+        cond = F.col("l.slice") == F.col("r.slice")
+        for k in keys:
+            cond = cond & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+        filled = filled.alias("l").join(F.broadcast(carry.alias("r")), cond, "left").select(*[F.col(f"l.{c}") for c in (*keys, "slice", *order)], *[F.coalesce(f"l.e_{a}", f"r.c_{a}").alias(f"e_{a}") for a in names])
+    if len(names) > 1:  # boundaries of the same instant are one, at which the last values hold
+        filled = _neighbour(filled.withColumn("_at", F.col("at")), keys, ["_at"], True, hot, "after").where(~F.col("_at").eqNullSafe(F.col("after_at"))).drop("_at", "after_at")
+    # coalescing: a boundary at which nothing differs is none
+    filled = filled.withColumn("_n", F.to_json(F.struct(*[F.col(f"e_{a}.n").alias(a) for a in names])))
+    joined = _neighbour(filled, keys, ["_n"], False, hot, "prev").where(~F.col("_n").eqNullSafe(F.col("prev_n")))
+    joined = joined.select(*keys, "slice", *order, *[F.col(f"e_{a}.value").cast("string").alias(a) for a in names])
     if hot:
         joined = cut(joined)
     closed = _neighbour(joined.withColumn("_at", F.col("at")), keys, ["_at"], True, hot, "next")

@@ -1,20 +1,25 @@
 """References to records that do not exist (problem 1).
 
-Parent keys, deletions and child references are put into one long form of
-tagged keys and grouped once by (parent table, key). A key stays when it has no
-parent, when its parent is deleted, or when some child was loaded before the
-parent. The counts come from the long form; single rows come from a join of the
-children with the suspect keys only, in which hot keys are salted.
+Parent keys, deletions and child references are put into one long form of tagged
+keys and grouped once by (parent table, key). Child references enter it already
+counted per (child table, period), with the span of their load times, so a group has
+at most one entry a child table and period however hot its key is. A group stays
+when it has no parent, when its parent is deleted, or when some child was loaded
+before the parent. Counts are sums over the groups' entries; only entries whose
+span straddles the parent's load time are counted row by row. The single rows come
+from a join of the children with the groups that stayed, in which hot keys are salted.
 
 Nulls and edge cases: a null or blank reference is no reference; text that is no
-UUID is an orphan of its own; a null id is no row; rows delivered again count
-once, with their earliest load time; a null load time counts as never loaded
-(a child without one is not "before" its parent); empty tables give no rows.
+UUID is an orphan of its own; a null id is no row; of a row delivered again the
+delivery loaded first counts, ties by the smaller reference, none first; a null load time
+counts as never loaded (a child without one is not "before" its parent); a null
+date counts under a null period; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +30,9 @@ UUID_FORM = r"^(?:urn:uuid:)?\{?([0-9a-f]{8})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0
 #: At most so many keys are treated as hot; with a share above 1/HOT_KEYS each there can be no more.
 HOT_KEYS = 512
 SALTS = 32
+#: References of one key below this are joined in one task whatever their share.
+MIN_HOT = 1000
+NEVER = "9999-12-31"
 
 
 def reference_key(c: Column) -> Column:
@@ -34,80 +42,83 @@ def reference_key(c: Column) -> Column:
     return F.when(flat.isNull() | (flat == ""), None).when(flat.rlike(UUID_FORM), hexes).otherwise(F.concat(F.lit("!"), flat))
 
 
-def _children(name: str, df: DataFrame, ref: str, row_id: str, loaded: str, period: str) -> DataFrame:
+def _children(name: str, df: DataFrame, parent: str, ref: str, row_id: str, loaded: str, period: str) -> DataFrame:
     """One row per row id with its key, its earliest load and its month."""
+    at = F.coalesce(F.col(loaded), F.lit(NEVER).cast("timestamp"))
+    first = F.min(F.struct(at.alias("at"), reference_key(F.col(ref)).alias("key"), F.col(period).alias("period"))).alias("first")
     return (
-        df.select(F.col(row_id).alias("row_id"), F.col(ref).alias("ref"), F.col(loaded).alias("at"), F.col(period).alias("period"))
-        .where(F.col("row_id").isNotNull())
-        .groupBy("row_id")
-        .agg(F.min("at").alias("at"), F.min_by("ref", F.coalesce("at", F.lit("9999-12-31").cast("timestamp"))).alias("ref"), F.min("period").alias("period"))
+        df.where(F.col(row_id).isNotNull())
+        .groupBy(F.col(row_id).alias("row_id"))
+        .agg(first)
+        .where("first.key IS NOT NULL")
         .select(
-            F.lit(name).alias("source_table"),
-            "row_id",
-            reference_key(F.col("ref")).alias("key"),
-            "at",
-            F.date_format(F.date_trunc("month", "period"), "yyyy-MM").alias("period"),
+            F.lit(name).alias("source_table"), F.lit(parent).alias("parent_table"), "row_id", F.col("first.key").alias("key"),
+            F.when(F.col("first.at") < F.lit(NEVER).cast("timestamp"), F.col("first.at")).alias("at"), F.date_format("first.period", "yyyy-MM").alias("period"),
         )
-        .where(F.col("key").isNotNull())
-    )
+    )
 
 
-def children_of(tables: Mapping[str, DataFrame], ref: str = "task_id", row_id: str = "id", loaded: str = "loaded_at", period: str = "created_at") -> DataFrame:
-    out = None
-    for name, df in tables.items():
-        part = _children(name, df, ref, row_id, loaded, period)
-        out = part if out is None else out.unionByName(part)
-    return out
+def children_of(tables: Mapping[str, DataFrame], parent: str = "tasks", ref: str = "task_id", row_id: str = "id", loaded: str = "loaded_at", period: str = "created_at") -> DataFrame:
+    """References of several tables to one parent table; unions of these serve several parents. Written once, as both uses read it."""
+    parts = [_children(name, df, parent, ref, row_id, loaded, period) for name, df in tables.items()]
+    return cut(reduce(DataFrame.unionByName, parts))
 
 
-def suspect_keys(parent: DataFrame, deletions: DataFrame, children: DataFrame, parent_id: str = "id", deletion_id: str = "task_id") -> DataFrame:
-    """Keys that some child refers to and that lack a live, already loaded parent."""
-    none_ts = F.lit(None).cast("timestamp")
-    zero = F.lit(0).cast("long")
-    p = parent.select(reference_key(F.col(parent_id)).alias("key"), F.col("loaded_at").alias("parent_at"), F.lit(1).alias("is_parent"), F.lit(0).alias("is_deleted"), none_ts.alias("child_at"), zero.alias("n"))
-    d = deletions.where(F.col("restored_at").isNull()).select(reference_key(F.col(deletion_id)).alias("key"), none_ts.alias("parent_at"), F.lit(0).alias("is_parent"), F.lit(1).alias("is_deleted"), none_ts.alias("child_at"), zero.alias("n"))
-    c = children.select("key", none_ts.alias("parent_at"), F.lit(0).alias("is_parent"), F.lit(0).alias("is_deleted"), F.col("at").alias("child_at"), F.lit(1).cast("long").alias("n"))
-    return (
-        p.unionByName(d)
-        .unionByName(c)
-        .where(F.col("key").isNotNull())
-        .groupBy("key")
-        .agg(
-            F.min("parent_at").alias("parent_at"),
-            F.max("is_parent").alias("is_parent"),
-            F.max("is_deleted").alias("is_deleted"),
-            F.min("child_at").alias("child_at"),
-            F.sum("n").alias("n"),
-        )
-        .where((F.col("n") > 0) & ((F.col("is_parent") == 0) | (F.col("is_deleted") == 1) | (F.col("parent_at") > F.col("child_at"))))
-    )
+def parents_of(parent: DataFrame, deletions: DataFrame, name: str = "tasks", parent_id: str = "id", loaded: str = "loaded_at", deletion_id: str = "task_id", restored: str = "restored_at") -> DataFrame:
+    """parent_table, key, parent_at, is_parent, is_deleted: the parents' side of the long form."""
+    tag = lambda live: (F.lit(int(live)).alias("is_parent"), F.lit(int(not live)).alias("is_deleted"))
+    live = parent.select(F.lit(name).alias("parent_table"), reference_key(F.col(parent_id)).alias("key"), F.col(loaded).alias("parent_at"), *tag(True))
+    gone = deletions.where(F.col(restored).isNull()).select(F.lit(name).alias("parent_table"), reference_key(F.col(deletion_id)).alias("key"), F.lit(None).cast("timestamp").alias("parent_at"), *tag(False))
+    return live.unionByName(gone).where(F.col("key").isNotNull())
 
 
-def orphan_rows(parent: DataFrame, deletions: DataFrame, children: DataFrame) -> DataFrame:
-    """source_table, row_id, key, period, reason for every orphan reference.
+def orphan_groups(parents: DataFrame, children: DataFrame) -> DataFrame:
+    """parent_table, key, is_parent, is_deleted, parent_at, entries of every group with an orphan.
 
-    The suspect keys are written once. Keys above 1/HOT_KEYS of all suspect
-    references (so at most HOT_KEYS of them) are spread over SALTS partitions.
+    entries: source_table, period, n, timed (with a load time), lo and hi load time.
     """
-    suspects = cut(suspect_keys(parent, deletions, children))
-    total = suspects.agg(F.sum("n")).first()[0] or 0
-    hot = suspects.where(F.col("n") > F.lit(max(total // HOT_KEYS, 1000))).select("key", F.lit(True).alias("hot"))
-    keyed = suspects.join(F.broadcast(hot), "key", "left").withColumn(
-        "salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    )
-    salted = children.join(F.broadcast(hot), "key", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int")).otherwise(0))
-    reason = (
-        F.when(F.col("is_parent") == 0, "missing").when(F.col("is_deleted") == 1, "deleted").when(F.col("parent_at") > F.col("at"), "late")
-    )
-    return (
-        salted.drop("hot")
-        .join(keyed.select("key", "salt", "is_parent", "is_deleted", "parent_at"), ["key", "salt"])
-        .withColumn("reason", reason)
-        .where(F.col("reason").isNotNull())
-        .select("source_table", "row_id", "key", "period", "reason")
+    counted = children.groupBy("parent_table", "key", "source_table", "period").agg(F.count(F.lit(1)).alias("n"), F.count("at").alias("timed"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    entry = F.struct("source_table", "period", "n", "timed", "lo", "hi")
+    tagged = counted.select("parent_table", "key", F.lit(None).cast("timestamp").alias("parent_at"), F.lit(0).alias("is_parent"), F.lit(0).alias("is_deleted"), entry.alias("entry"))
+    long = parents.withColumn("entry", F.lit(None).cast(tagged.schema["entry"].dataType)).unionByName(tagged)
+    grouped = long.groupBy("parent_table", "key").agg(
+        F.min("parent_at").alias("parent_at"), F.max("is_parent").alias("is_parent"), F.max("is_deleted").alias("is_deleted"), F.collect_list("entry").alias("entries")
     )
+    late = F.exists("entries", lambda e: e["lo"] < F.col("parent_at"))
+    return grouped.where((F.size("entries") > 0) & ((F.col("is_parent") == 0) | (F.col("is_deleted") == 1) | F.coalesce(late, F.lit(False))))
 
 
-def orphan_counts(rows: DataFrame) -> DataFrame:
-    """Orphans per table and month; rows without a date count under a null period."""
-    return rows.groupBy("source_table", "period", "reason").agg(F.count(F.lit(1)).alias("orphans"))
+def _reason(at: Column) -> Column:
+    return F.when(F.col("is_parent") == 0, "missing").when(F.col("is_deleted") == 1, "deleted").when(F.col("parent_at") > at, "late")
+
+
+def orphan_counts(parents: DataFrame, children: DataFrame) -> DataFrame:
+    """source_table, period, reason, orphans, summed from the groups' entries."""
+    groups = cut(orphan_groups(parents, children))
+    each = groups.select("parent_table", "key", "parent_at", "is_parent", "is_deleted", F.inline("entries"))
+    whole = each.withColumn("reason", _reason(F.col("hi"))).where("reason IS NOT NULL")
+    sums = whole.select("source_table", "period", "reason", F.when(F.col("reason") == "late", F.col("timed")).otherwise(F.col("n")).alias("n"))
+    # loads on both sides of the parent's: the rows decide
+    mixed = each.where((F.col("is_parent") == 1) & (F.col("is_deleted") == 0) & (F.col("lo") < F.col("parent_at")) & (F.col("hi") >= F.col("parent_at"))).select("parent_table", "key", "source_table", "period", "parent_at")
+    c, m = children.alias("c"), mixed.alias("m")
+    same = [F.col(f"c.{k}") == F.col(f"m.{k}") for k in ("parent_table", "key", "source_table")] + [F.col("c.period").eqNullSafe(F.col("m.period")), F.col("c.at") < F.col("m.parent_at")]
+    rows = c.join(m, reduce(lambda a, b: a & b, same), "left_semi").groupBy("source_table", "period").agg(F.count(F.lit(1)).alias("n")).withColumn("reason", F.lit("late"))
+    return sums.unionByName(rows).groupBy("source_table", "period", "reason").agg(F.sum("n").alias("orphans"))
+
+
+def orphan_rows(parents: DataFrame, children: DataFrame) -> DataFrame:
+    """source_table, row_id, key, period, reason for every orphan reference.
+
+    Keys above 1/HOT_KEYS of all references of the groups (so at most HOT_KEYS of
+    them) are spread over SALTS partitions.
+    """
+    n = F.aggregate("entries", F.lit(0).cast("long"), lambda s, e: s + e["n"])
+    groups = cut(orphan_groups(parents, children).select("parent_table", "key", "parent_at", "is_parent", "is_deleted", n.alias("n")))
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    on = ["parent_table", "key"]
+    hot = groups.where(F.col("n") > F.lit(max(total // HOT_KEYS, MIN_HOT))).select(*on, F.lit(True).alias("hot"))
+    salts = F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    keyed = groups.join(F.broadcast(hot), on, "left").withColumn("salt", salts).select(*on, "salt", "is_parent", "is_deleted", "parent_at")
+    salted = children.join(F.broadcast(hot), on, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    out = salted.join(keyed, [*on, "salt"]).withColumn("reason", _reason(F.col("at")))
+    return out.where(F.col("reason").isNotNull()).select("source_table", "row_id", "key", "period", "reason")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -87,18 +86,10 @@ def search(knowledge: DataFrame, keywords: list[str], commit: str | None = None,
     return df.orderBy(F.col("created_at").desc(), "id", "loaded_at").limit(limit)
 
 
-def result_nodes(results: DataFrame) -> DataFrame:
-    """task_id, repo, symbol of the nodes of complete bare call chains, by any writer's names."""
-    ok = F.ltrim("call_chain").startswith("[") & F.try_parse_json("call_chain").isNotNull()
-    nodes = results.where(ok).select("task_id", F.explode(F.from_json("call_chain", "array<string>")).alias("n"))
-    pick = lambda *names: F.coalesce(*[F.get_json_object("n", f"$.{x}") for x in names])
-    return nodes.select("task_id", pick("repo", "Repo").alias("repo"), pick("func_name", "Function", "symbol").alias("symbol")).where("symbol IS NOT NULL AND repo IS NOT NULL")
-
-
-def mark_unreliable(knowledge: DataFrame, feedback: DataFrame, results: DataFrame, nodes: Callable[[DataFrame], DataFrame] = shred.chain_nodes) -> DataFrame:
-    """Knowledge rows; unreliable also where a false positive's call chain names the symbol, in any written form unless nodes says otherwise."""
+def mark_unreliable(knowledge: DataFrame, feedback: DataFrame, results: DataFrame) -> DataFrame:
+    """Knowledge rows; unreliable also where a false positive's call chain, in any written form, names the symbol."""
     wrong = feedback.where(F.col("type") == "false_positive").select("task_id").distinct()
-    named = nodes(results.join(wrong, "task_id", "left_semi")).select(F.col("repo").alias("_r"), F.col("symbol").alias("_s")).distinct()
+    named = shred.chain_nodes(results.join(wrong, "task_id", "left_semi")).select(F.col("repo").alias("_r"), F.col("symbol").alias("_s")).distinct()
     hit = named.withColumn("_hit", F.lit(True))
     out = knowledge.join(hit, (F.col("repo_name") == F.col("_r")) & (F.col("symbol") == F.col("_s")), "left")
     return out.withColumn("unreliable", F.coalesce("unreliable", F.lit(False)) | F.coalesce("_hit", F.lit(False))).drop("_r", "_s", "_hit")

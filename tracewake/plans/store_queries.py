@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewake import schemas
 from tracewake.operators import metrics, store
+from tracewake.plans.general import STEP
 from tracewake.sources import workspace
 from tracewake.sources.tables import first_per_id, table
 from tracewake.streaming import state
@@ -42,12 +43,6 @@ def keyword_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mark_unreliable(spark: SparkSession, d: str) -> DataFrame:
-    """Bare lists only, as its SQL has it; mark_unreliable_all takes call chains in every form."""
-    out = store.mark_unreliable(table(spark, d, "knowledge_base"), table(spark, d, "feedback"), table(spark, d, "analysis_results"), store.result_nodes)
-    return out.groupBy("repo_name", "symbol", "unreliable").agg(F.count(F.lit(1)).alias("n"))
-
-
-def mark_unreliable_all(spark: SparkSession, d: str) -> DataFrame:
     out = store.mark_unreliable(table(spark, d, "knowledge_base"), table(spark, d, "feedback"), table(spark, d, "analysis_results"))
     return out.groupBy("repo_name", "symbol", "unreliable").agg(F.count(F.lit(1)).alias("n"))
 
@@ -147,7 +142,7 @@ def repo_paths(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        order_lookup, new_task_fields, recent_tasks, status_fold, insert_if_absent, keyword_search, mark_unreliable, mark_unreliable_all, latest_result, tasks_with_result, feedback_list, feedback_rejects,
+        order_lookup, new_task_fields, recent_tasks, status_fold, insert_if_absent, keyword_search, mark_unreliable, latest_result, tasks_with_result, feedback_list, feedback_rejects,
         enum_violations, cascade_delete, status_counter, token_histogram, step_histogram, false_positive_rate, cache_probe, cache_hit_ratio, cache_current, daily_metrics, repo_heads, result_fields, progress, repo_paths,
     )
 }
@@ -175,7 +170,7 @@ SQL = {
     "keyword_search": "SELECT id, repo_name, symbol, summary, commit_hash, created_at, loaded_at FROM knowledge_base WHERE "
     + " OR ".join(f"symbol ILIKE '{w}%' OR summary ILIKE '%{w}%'" for w in ("parcel", "retries", "ledger%drain"))
     + " ORDER BY created_at DESC, id, loaded_at LIMIT 20",
-    "mark_unreliable": "WITH r AS (SELECT task_id, try_cast(call_chain AS JSON) AS j FROM analysis_results WHERE starts_with(ltrim(call_chain), '[') AND task_id IN (SELECT task_id FROM feedback WHERE type = 'false_positive')), n AS (SELECT unnest(json_extract(j, '$[*]')) AS e FROM r WHERE j IS NOT NULL), s AS (SELECT DISTINCT coalesce(e ->> '$.repo', e ->> '$.Repo') AS r, coalesce(e ->> '$.func_name', e ->> '$.Function', e ->> '$.symbol') AS s FROM n) SELECT repo_name, symbol, coalesce(unreliable, false) OR s.s IS NOT NULL AS unreliable, count(*) AS n FROM knowledge_base k LEFT JOIN s ON k.repo_name = s.r AND k.symbol = s.s GROUP BY ALL",
+    "mark_unreliable": f"WITH r AS (SELECT task_id, CASE WHEN json_valid(call_chain) THEN call_chain::JSON END AS c FROM analysis_results WHERE task_id IN (SELECT task_id FROM feedback WHERE type = 'false_positive')), r1 AS (SELECT {STEP.format(x='c')} AS c FROM r), r2 AS (SELECT {STEP.format(x='c')} AS c FROM r1), r3 AS (SELECT {STEP.format(x='c')} AS c FROM r2), n AS (SELECT unnest(CASE json_type(c) WHEN 'ARRAY' THEN json_extract(c, '$[*]') WHEN 'OBJECT' THEN json_extract(c, '$.downward_chain.nodes[*]') END) AS e FROM r3), s AS (SELECT DISTINCT coalesce(e ->> '$.repo', e ->> '$.Repo') AS r, coalesce(e ->> '$.func_name', e ->> '$.Function', e ->> '$.symbol') AS s FROM n) SELECT repo_name, symbol, coalesce(unreliable, false) OR s.s IS NOT NULL AS unreliable, count(*) AS n FROM knowledge_base k LEFT JOIN s ON k.repo_name = s.r AND k.symbol = s.s GROUP BY ALL",
     "latest_result": _LATEST,
     "tasks_with_result": f"SELECT t.id, t.status, l.id AS result_id, l.token_usage, l.step_count FROM (SELECT DISTINCT id, status FROM analysis_tasks) t LEFT JOIN ({_LATEST}) l ON t.id = l.task_id AND t.status = 'completed'",
     "feedback_list": "SELECT id, task_id, type, comment, created_at, loaded_at FROM feedback",
