@@ -95,6 +95,8 @@ def test_reports(spark):
     assert "\033" not in md["t"] and "unknown 内 0 个函数" in md["e"]
     plain = {r.task_id: r.report for r in report.reports(df, "terminal").collect()}["t"]
     assert "  ├─ g (b.go:4)\n  └─ h (底层: q)" in plain and "入口1 [HTTP] /x" in plain and "\033" not in plain
+    coloured = df.select("task_id", report.terminal({"downward": F.col("downward_chain"), "upward": F.col("upward_chains"), "entries": F.col("entry_points"), "scenarios": F.col("test_scenarios"), "impact": F.col("impact_summary"), "self_check": F.col("self_check_report")}, True).alias("r"))
+    assert "└─ \033[90mh (底层: q)\033[0m" in coloured.where("task_id = 't'").first().r
     again = report.reports(df, "json").select(F.from_json("report", schemas.ANALYSIS_RESULT).alias("r")).select("r.*")
     assert again.exceptAll(df).count() == 0
     with pytest.raises(ValueError, match="format"):
@@ -193,3 +195,76 @@ def test_chains_deeper_than_a_hundred_hops(spark):
     e = spark.createDataFrame([(str(k), str(k + 1)) for k in range(103)], "src string, dst string")
     got = graph.reachable(e, spark.createDataFrame([("0",)], "node string"))
     assert got.count() == 104 and got.agg({"depth": "max"}).first()[0] == 103
+
+
+def test_hubs_are_spread_and_stops_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(graph, "HUBS", 4)
+    e = spark.createDataFrame([("hub", f"n{k}") for k in range(3000)] + [("a", "hub"), ("n7", "far"), ("far", "hub"), ("n8", "end"), ("end", "beyond")], "src string, dst string")
+    roots = spark.createDataFrame([("a",)], "node string")
+    got = {r.node: r.depth for r in graph.reachable(e, roots).collect()}
+    assert len(got) == 3005 and got["far"] == 3 and got["beyond"] == 4
+    stop = spark.createDataFrame([("end",), ("n7",), (None,)], "node string")
+    held = {r.node for r in graph.reachable(e, roots, stop=stop).collect()}
+    assert set(got) - held == {"far", "beyond"}
+
+
+def test_a_walk_says_whether_it_was_cut_short(spark):
+    e = spark.createDataFrame([(str(k), str(k + 1)) for k in range(6)], "src string, dst string")
+    roots = spark.createDataFrame([("0",)], "node string")
+    assert [(n.count(), cut) for n, cut in (graph.walked(e, roots, 3), graph.walked(e, roots, 6), graph.walked(e, roots))] == [(4, True), (7, False), (7, False)]
+
+
+def test_call_hierarchy_gives_places(spark):
+    sites = spark.createDataFrame([("f", "g", 12), ("f", "g", 9), ("h", "g", None), ("g", "k", 3)], "src string, dst string, line int")
+    defs = spark.createDataFrame([(n, n.upper(), f"{n}.go", i, "r") for i, n in enumerate("fghk", 1)], "node string, func_name string, file_path string, line int, repo string")
+    at = spark.createDataFrame([("g",)], "node string")
+    assert {(r.func_name, r.file_path, r.line) for r in graph.call_hierarchy(sites, defs, at).collect()} == {("F", "f.go", 9), ("H", "h.go", 1)}
+    assert {(r.func_name, r.file_path, r.line) for r in graph.call_hierarchy(sites, defs, at, False).collect()} == {("K", "k.go", 4)}
+
+
+def test_hot_cache_key_in_slices(spark):
+    import random
+
+    r = random.Random(1)
+    t = D(2024, 1, 1)
+    w = [("hot", t + timedelta(minutes=r.randint(0, 20_000))) for _ in range(40)] + [("b", t)]
+    p = [("hot", t + timedelta(minutes=r.choice((r.randint(0, 20_000), 5000))), i) for i in range(2000)] + [("b", t, 5000)]
+    got = {x.probe_id: x.hit for x in state.cache_hits(spark.createDataFrame(w, "k string, at timestamp"), spark.createDataFrame(p, "k string, at timestamp, probe_id long"), "k", 10, min_hot=100).collect()}
+    assert got == {i: any(k == kw and at - timedelta(hours=10) < aw <= at for kw, aw in w) for k, at, i in p}
+
+
+def test_corrupt_states_start_fresh(spark):
+    ok, bad = '{"type":"user","payload":{"content":"c"}}', '{"type":"alien","payload":{"content":"c"}}'
+    states = spark.createDataFrame([(1, [ok, ok]), (2, [ok, bad]), (3, ["{broken"]), (4, [None]), (5, [])], "conv_id int, envelopes array<string>")
+    seeds = spark.createDataFrame([(k, f"task {k}") for k in range(1, 7)], "conv_id int, content string")
+    got = sorted((r.conv_id, r.pos, r.content, r.fresh) for r in state.resumed(states, seeds).collect())
+    assert got == [(1, 0, "c", False), (1, 1, "c", False), *[(k, 0, f"task {k}", True) for k in (2, 3, 4, 6)]]
+
+
+def test_streamed_deltas_equal_the_batch_form(spark, tmp_path):
+    import json
+
+    t = D(2024, 1, 1)
+    rows = [("s", 0, "he", None, None, None, None, None), ("s", 1, "llo", 1, "id", "read", '{"a"', None), ("u", 0, None, 0, None, "glob", "x", None), ("s", 2, None, 1, None, None, ":1}", "stop"), ("u", 1, "end", 0, "late", None, "y", "")]
+    schema = "stream_id string, seq long, content string, call_index int, call_id string, call_name string, arguments string, finish string, at timestamp"
+    src = str(tmp_path / "in")
+    for k, part in enumerate((rows[:3], rows[3:])):
+        spark.createDataFrame([(*x, t + timedelta(seconds=x[1])) for x in part], schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src).withWatermark("at", "1 hour")
+    q = state.stream_accumulated(stream).writeStream.outputMode("update").format("memory").queryName("accumulated").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    last = {}
+    for r in spark.table("accumulated").collect():
+        last[r.stream_id] = r if r.stream_id not in last or len(r.content) + len(r.calls) >= len(last[r.stream_id].content) + len(last[r.stream_id].calls) else last[r.stream_id]
+    batch = {r.stream_id: r for r in state.accumulated(spark.createDataFrame([(*x, t) for x in rows], schema)).collect()}
+    for k, r in batch.items():
+        assert last[k].content == r.content and last[k].finish == r.finish and json.loads(last[k].calls) == [c.asDict() for c in r.calls]
+
+
+def test_prompt_and_outcomes(spark):
+    repos = spark.createDataFrame([(2, "b", "/b", "entry", None), (1, "a", "/a", "library", "u")], "ord int, repo_name string, repo_path string, repo_role string, url string")
+    text = context.system_prompt(repos, "/w", "goal", ["t1"], "role", "steps").first().prompt
+    assert text.startswith("role\n\n## Workspace\nDirectory: /w\n") and text.index("- Name: a") < text.index("- Name: b") and text.count("URL:") == 1 and text.endswith("- t1\n\n## Analysis Strategy\nsteps\n")
+    assert "## Repositories\n\n## Analysis Goal" in context.system_prompt(repos.limit(0), "/w", "g", [], "r", "s").first().prompt
+    m = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "assistant", "b"), (2, 0, "user", "q")], "conv_id int, pos int, role string, content string")
+    assert {(r.conv_id, r.steps, r.truncated, r.content) for r in context.run_outcomes(m, 2).collect()} == {(1, 2, True, "b"), (2, 0, False, "")}

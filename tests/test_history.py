@@ -4,7 +4,7 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from tracewake.operators import history
+from tracewake.operators import history, slices
 
 SCHEMA = "id string, repo_name string, symbol string, summary string, file_path string, commit_hash string, created_at timestamp, loaded_at timestamp, slice int, at string, value string"
 
@@ -87,7 +87,7 @@ def test_hot_entity_at_one_instant_is_split(spark):
     rows = [(f"{i:05}", "r", "hot", r.choice("ab"), "f", f"c{i}", t, t + timedelta(seconds=r.randint(0, 3))) for i in range(900)]
     df = spark.createDataFrame([(*x, 7, "clash", "clash") for x in rows], SCHEMA)
     obs = history.first_of_commit(df, ["repo_name", "symbol"], ["summary"], "commit_hash", "created_at", "loaded_at", "id")
-    sliced, hot = history._slices(df, obs, ["repo_name", "symbol"], 100)
+    sliced, hot = slices.sliced(obs, ["repo_name", "symbol"], ["at", "loaded", "row_id"], 100)
     sizes = [x["count"] for x in sliced.groupBy("slice").count().collect()]
     assert hot and len(sizes) > 30 and max(sizes) < 100
     plain, split = (run(spark, rows, ("summary",), min_hot=n) for n in (10_000, 100))

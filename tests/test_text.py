@@ -69,10 +69,28 @@ def test_matches_and_cap(spark):
 
 
 def test_verified_nodes(spark):
-    nodes = spark.createDataFrame([("r", "a.go", "Pay"), ("r", "a.go", "Nope"), ("r", None, "Pay"), ("r", "", "Gone"), ("q", "a.go", "Pay")], "repo string, file_path string, func_name string")
-    files = spark.createDataFrame([("r", "a.go", "func Pay()"), ("r", "b.go", None)], "repo string, path string, content string")
-    got = {(r.repo, r.file_path, r.func_name): r.verified for r in search.verified(nodes, files).collect()}
-    assert got == {("r", "a.go", "Pay"): True, ("r", "a.go", "Nope"): False, ("r", None, "Pay"): True, ("r", "", "Gone"): False, ("q", "a.go", "Pay"): False}
+    nodes = [("r", "a.go", "Pay"), ("r", "a.go", "Nope"), ("r", None, "Pay"), ("r", "", "Gone"), ("q", "a.go", "Pay"), ("q", None, "Pay"), (None, None, "nc P"), ("q", None, "c"), ("q", None, ""), ("q", None, None), ("q", None, "y()\nx"), ("q", None, "(*Store).Run"), ("q", None, "Runs")]
+    df = spark.createDataFrame(nodes, "repo string, file_path string, func_name string")
+    files = spark.createDataFrame([("r", "a.go", "func Pay()\nx"), ("r", "b.go", None), ("s", "c.go", "go (*Store).Run now")], "repo string, path string, content string")
+    want = {("r", "a.go", "Pay"), ("r", None, "Pay"), ("q", None, "Pay"), (None, None, "nc P"), ("q", None, "c"), ("q", None, "(*Store).Run")}
+    for name_bytes in (search.NAME_BYTES, 0):
+        got = {(r.repo, r.file_path, r.func_name): r.verified for r in search.verified(df, files, name_bytes).collect()}
+        assert got == {n: n in want for n in nodes}
+    assert search.verified(df, files.limit(0)).where("verified").count() == 0
+
+
+def test_declarations_in_a_long_hunk_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        text = "diff --git a/x.go b/x.go\n--- a/x.go\n+++ b/x.go\n@@ -0,0 +1,9 @@\n" + "".join(f"+func F{k}() {{\n-old\n+}}\n" for k in range(n))
+        t = time.time()
+        rows = diffs.changed_functions(spark.createDataFrame([("a", text)], "id string, input_diff string")).agg({"line": "max", "func_name": "count"}).first()
+        assert rows[0] == 2 * n - 1 and rows[1] == n or rows[1] == 2 * n - 1 and rows[0] == n
+        return time.time() - t
+
+    seconds(100)
+    assert seconds(8000) < 4
 
 
 def test_symbols_by_language(spark):

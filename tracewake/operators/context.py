@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 TIERS = ((0.92, "compact"), (0.80, "clear"), (0.70, "restrict"), (0.60, "remind"))
 CLEARED = "[code block cleared – analysis already completed]"
 CODE_MARKS = ("func ", "class ", "def ", "import ", "package ", "{", "```")
-LARGE_BYTES, KEPT, REMINDER_BYTES, REMINDER_RECORDS = 2000, 10, 8000, 5
+LARGE_BYTES, KEPT, REMINDER_BYTES, REMINDER_RECORDS, STEP_LIMIT = 2000, 10, 8000, 5, 100
 
 
 def message_text(role: Column, content: Column, calls: Column | None = None) -> Column:
@@ -145,3 +145,25 @@ def reminders(records: DataFrame, progress: DataFrame, most: int = REMINDER_BYTE
     step = F.concat(F.lit("- 当前步骤："), F.col("step").cast("string"), F.lit("\n"))
     d = F.when(room(c, step), F.concat(c, step)).otherwise(c)
     return both.select("task_id", F.coalesce(d, a).alias("reminder"))
+
+
+def run_outcomes(messages: DataFrame, limit: int = STEP_LIMIT) -> DataFrame:
+    """conv_id, steps, tools, truncated, content of each run: an assistant message is a step; a run that uses up its steps is
+    truncated and ends with its last content."""
+    assistant = F.col("role") == "assistant"
+    return messages.groupBy("conv_id").agg(
+        F.count_if(assistant).alias("steps"), F.count_if(F.col("role") == "tool").alias("tools"), (F.count_if(assistant) >= limit).alias("truncated"), F.coalesce(F.max_by("content", F.when(assistant, F.col("pos"))), F.lit("")).alias("content")
+    )
+
+
+def system_prompt(repos: DataFrame, workspace: str, goal: str, tools: list[str], role: str, strategy: str) -> DataFrame:
+    """One row, prompt: role, workspace, repositories in the order of ord, goal, tools and strategy. repos: ord, repo_name, repo_path, repo_role, url.
+
+    The list of repositories is one text by definition; a repository without a URL has no such line.
+    """
+    url = F.when(F.coalesce("url", F.lit("")) != "", F.concat(F.lit("\n  URL:  "), "url")).otherwise("")
+    line = F.concat(F.lit("\n- Name: "), F.coalesce("repo_name", F.lit("")), F.lit("\n  Path: "), F.coalesce("repo_path", F.lit("")), F.lit("\n  Role: "), F.coalesce("repo_role", F.lit("")), url)
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"]), "")
+    head = f"{role}\n\n## Workspace\nDirectory: {workspace}\n\n## Repositories"
+    tail = f"\n\n## Analysis Goal\n{goal}\n\n## Available Tools" + "".join(f"\n- {t}" for t in tools) + f"\n\n## Analysis Strategy\n{strategy}\n"
+    return repos.agg(F.concat(F.lit(head), lines, F.lit(tail)).alias("prompt"))

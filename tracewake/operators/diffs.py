@@ -45,11 +45,10 @@ def changed_functions(df: DataFrame, id_col: str = "id", diff: str = "input_diff
     body = F.regexp_replace("s", r"^[^\n]*\n?", "")
     parts = files.select("id", path.alias("file"), F.explode(F.split(body, HUNK)).alias("h")).where((F.col("file") != "/dev/null") & (F.col("file") != ""))
     base = F.greatest(hunk_start(F.regexp_extract("h", r"^[^\n]*", 0)) - 1, F.lit(0))
-    lines = parts.select("id", "file", base.alias("base"), F.split("h", "\n").alias("lines"))
-    rows = lines.select("id", "file", "base", "lines", F.posexplode("lines").alias("at", "text")).where(F.col("text").startswith("+"))
+    # only the lines that advance the counter are kept, so a line's place among them is its number
+    rows = parts.select("id", "file", base.alias("base"), F.posexplode(F.filter(F.split("h", "\n"), _advances)).alias("at", "text")).where(F.col("text").startswith("+"))
     named = rows.withColumn("func_name", function_name(F.col("text"))).where(F.col("func_name").isNotNull())
-    number = F.col("base") + F.size(F.filter(F.slice("lines", F.lit(1), F.col("at") + 1), _advances))
-    return named.select("id", "file", number.alias("line"), "func_name", F.lit("added").alias("change_type"))
+    return named.select("id", "file", (F.col("base") + F.col("at") + 1).alias("line"), "func_name", F.lit("added").alias("change_type"))
 
 
 def infer_repo(functions: DataFrame, repos: DataFrame, name: str = "func_name") -> DataFrame:

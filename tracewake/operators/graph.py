@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import count, islice
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tracewake.session import cut
 
 
+#: Sources with more than 1/HUBS of all edges are hubs, at most HUBS of them; their edges lie in SALTS partitions.
+HUBS, SALTS = 512, 32
+
+
 def callers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges into the nodes. edges: src, dst; nodes: node."""
     return edges.join(nodes.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
@@ -19,31 +23,60 @@ def callees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int | None = None, every: int = 2) -> DataFrame:
+def call_hierarchy(sites: DataFrame, definitions: DataFrame, nodes: DataFrame, incoming: bool = True) -> DataFrame:
+    """node, func_name, file_path, line, repo: who calls each node and from where, or whom it calls and where that is defined.
+
+    sites: src, dst, line of each call; definitions: node, func_name, file_path, line, repo.
+    Of several calls between two functions the first line counts; without one it is 1.
+    """
+    one, other = ("dst", "src") if incoming else ("src", "dst")
+    calls = sites.join(nodes.select(F.col("node").alias(one)).distinct(), one, "left_semi").groupBy("src", "dst").agg(F.min("line").alias("call_line"))
+    d = definitions.select(F.col("node").alias(other), "func_name", "file_path", F.col("line").alias("def_line"), "repo")
+    line = F.coalesce("call_line" if incoming else "def_line", F.lit(1))
+    return calls.join(d, other).select(F.col(one).alias("node"), "func_name", "file_path", line.alias("line"), "repo")
+
+
+def reachable(edges: DataFrame, roots: DataFrame, max_rounds: int | None = None, every: int = 4, stop: DataFrame | None = None) -> DataFrame:
     """node, depth: breadth-first from the roots, each node once at its least depth.
 
     Every round joins the frontier with the edges, drops what was seen and cuts the
     lineage by a checkpoint, so a round's plan never grows. Cycles and self-loops end
-    because roots count as seen. All that can be reached is, unless max_rounds asks
-    for the nodes within so many hops. Null ends of edges are no nodes.
+    because roots count as seen. Edges of hubs are spread over partitions, and the
+    frontier's hubs go to each of them. All that can be reached is, unless max_rounds
+    asks for the nodes within so many hops. Nodes of stop are reached but not left.
+    Null ends of edges are no nodes.
     """
-    # written once, partitioned by the join key, so no round computes or shuffles the edges again
-    e = cut(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct().repartition("src"))
+    return walked(edges, roots, max_rounds, every, stop)[0]
+
+
+def walked(edges: DataFrame, roots: DataFrame, max_rounds: int | None = None, every: int = 4, stop: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """(as reachable, whether max_rounds ended the walk before all was reached)."""
+    plain = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
+    e = cut(plain)
+    degree = e.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    total = degree.agg(F.sum("n")).first()[0] or 0
+    hubs = cut(degree.where(F.col("n") > max(total // HUBS, 1000)).select("src", F.lit(True).alias("hub")))
+    salt = F.when(F.col("hub"), F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")).otherwise(0)
+    # written once, partitioned by the join key, so no round shuffles the edges again
+    e = cut(e.join(F.broadcast(hubs), "src", "left").select("src", salt.alias("salt"), "dst").repartition("src", "salt"))
+    salts = F.explode(F.when(F.col("hub"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
+    ends = stop.select("node").distinct() if stop is not None else None
     frontier = cut(roots.select("node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
-    parts = [frontier]
     seen = frontier
-    for depth in islice(count(1), max_rounds):
-        step = e.join(frontier, e["src"] == frontier["node"]).select(F.col("dst").alias("node")).distinct()
+    for depth in count(1):
+        open_ = frontier if ends is None else frontier.join(ends, "node", "left_anti")
+        spread = open_.select(F.col("node").alias("src")).join(F.broadcast(hubs), "src", "left").select("src", salts.alias("salt"))
+        step = e.join(spread, ["src", "salt"]).select(F.col("dst").alias("node")).distinct()
         nxt = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if nxt.isEmpty():
-            break
-        parts.append(nxt)
+            return seen, False
+        if max_rounds is not None and depth > max_rounds:
+            return seen, True
         seen = seen.unionByName(nxt)
         if depth % every == 0:
             seen = cut(seen)
-            parts = [seen]
         frontier = nxt
-    return seen
+    raise AssertionError("unreachable")
 
 
 def reached_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:

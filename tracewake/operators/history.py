@@ -25,13 +25,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracewake.operators.slices import MIN_HOT, same_keys, sliced
 from tracewake.session import cut
 
-HOT_KEYS = 512
-SLICES = 64
-#: Rows of one entity below this are sorted in one task whatever their share.
-MIN_HOT = 200_000
-
 
 def normal_text(c: Column) -> Column:
     """Case and amount of white space don't matter; null if blank."""
@@ -55,39 +51,6 @@ def first_of_commit(df: DataFrame, keys: list[str], attributes: list[str], commi
     )
 
 
-def _slices(raw: DataFrame, df: DataFrame, keys: list[str], min_hot: int) -> tuple[DataFrame, bool]:
-    """Adds slice: 0 for ordinary entities, 1.. in order for hot ones, counted on the raw rows."""
-    counts = raw.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    top = counts.agg(F.sum("n").alias("total"), F.max("n").alias("most")).first()
-    floor = max((top["total"] or 0) // HOT_KEYS, min_hot)
-    if (top["most"] or 0) <= floor:
-        return df.withColumn("slice", F.lit(0)), False
-    hot = counts.where(F.col("n") > floor).select(*keys, F.lit(True).alias("hot"))
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
-    df = cut(df)  # read for the quantiles and for the slices
-    own = df.alias("l").join(F.broadcast(hot.alias("r")), cond, "left_semi")
-    edges = _edges(own, keys)
-    key = F.struct("at", "loaded", "row_id")
-    out = (
-        df.alias("l")
-        .join(F.broadcast(edges.alias("r")), cond, "left")
-        .select("l.*", F.when(F.col("r.edges").isNull(), 0).otherwise(F.size(F.filter("r.edges", lambda e: e < key)) + 1).alias("slice"))
-    )
-    return out, True
-
-
-def _edges(own: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, edges: rows of each hot entity that cut its order into even slices, from a sample of bounded size by the rows' hash."""
-    row = F.struct("at", "loaded", "row_id")
-    picked = own.groupBy(*keys, F.pmod(F.xxhash64("row_id", "at", "loaded"), F.lit(SLICES * 16)).alias("b")).agg(F.min_by(row, F.xxhash64("row_id", F.lit(1))).alias("e"))
-    ordered = F.sort_array(F.collect_list("e"))
-    step = F.greatest(F.floor(F.size("s") / SLICES), F.lit(1)).cast("int")
-    return picked.groupBy(*keys).agg(ordered.alias("s")).select(*keys, F.array_distinct(F.filter("s", lambda e, i: (i + 1) % step == 0)).alias("edges"))
-
-
 def _neighbour(df: DataFrame, keys: list[str], values: list[str], forward: bool, hot: bool, prefix: str) -> DataFrame:
     """Adds prefix+value of the previous (or next) row of the entity, across slices."""
     order = ["at", "loaded", "row_id"]
@@ -101,9 +64,7 @@ def _neighbour(df: DataFrame, keys: list[str], values: list[str], forward: bool,
     border = df.where("slice > 0").groupBy(*keys, "slice").agg(pick.alias("e"))
     ws = Window.partitionBy(*keys).orderBy("slice")
     border = border.select(*keys, "slice", step("e").over(ws).alias("e"))
-    cond = (F.col("l.slice") == F.col("r.slice")) & F.col("l._inside").isNull()
-    for k in keys:
-        cond = cond & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    cond = (F.col("l.slice") == F.col("r.slice")) & F.col("l._inside").isNull() & same_keys(keys)
     kept = [c for c in df.columns]
     return out.alias("l").join(F.broadcast(border.alias("r")), cond, "left").select(
         *[F.col(f"l.{c}") for c in kept],
@@ -136,10 +97,10 @@ def history(
     attributes: name to normal form; a change is a change of the normal form.
     """
     names = list(attributes)
-    obs, hot = _slices(df, first_of_commit(df, keys, names, commit, at, loaded, row_id), keys, min_hot)
+    order = ["at", "loaded", "row_id"]
+    obs, hot = sliced(first_of_commit(df, keys, names, commit, at, loaded, row_id), keys, order, min_hot, df)
     if hot or len(names) > 1:  # read by every attribute's log and by the slices' ends
         obs = cut(obs)
-    order = ["at", "loaded", "row_id"]
     # union of boundaries: one event row per change, one column per attribute
     events = None
     for a in names:
@@ -154,9 +115,7 @@ def history(
         last = filled.where("slice > 0").groupBy(*keys, "slice").agg(*[F.max_by(f"e_{a}", F.struct(*order)).alias(f"c_{a}") for a in names])
         before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
         carry = last.select(*keys, "slice", *[F.last(f"c_{a}", ignorenulls=True).over(before).alias(f"c_{a}") for a in names])
-        cond = F.col("l.slice") == F.col("r.slice")
-        for k in keys:
-            cond = cond & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+        cond = (F.col("l.slice") == F.col("r.slice")) & same_keys(keys)
         filled = filled.alias("l").join(F.broadcast(carry.alias("r")), cond, "left").select(*[F.col(f"l.{c}") for c in (*keys, "slice", *order)], *[F.coalesce(f"l.e_{a}", f"r.c_{a}").alias(f"e_{a}") for a in names])
     if len(names) > 1:  # boundaries of the same instant are one, at which the last values hold
         filled = _neighbour(filled.withColumn("_at", F.col("at")), keys, ["_at"], True, hot, "after").where(~F.col("_at").eqNullSafe(F.col("after_at"))).drop("_at", "after_at")

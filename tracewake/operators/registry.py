@@ -42,7 +42,7 @@ def standard() -> Registry:
     r.register(Tool("search", "lines that match a pattern", {"pattern": "regex", "glob": "optional path pattern"}, search.matching_lines))
     r.register(Tool("glob", "paths that match a pattern", {"pattern": "path pattern"}, search.glob_paths))
     r.register(Tool("read", "numbered lines of files", {"offset": "first line", "limit": "number of lines"}, search.slices))
-    r.register(Tool("calls", "edges into or out of nodes", {"nodes": "table of nodes"}, graph.callers))
+    r.register(Tool("calls", "calls into or out of nodes, with their places", {"nodes": "table of nodes", "incoming": "or outgoing"}, graph.call_hierarchy))
     r.register(Tool("changed_functions", "declarations on added lines of diffs", {"diff": "text column"}, diffs.changed_functions))
     r.register(Tool("symbols", "declared symbols of source text", {"code": "text column", "language": "optional"}, symbols.symbols))
     return r

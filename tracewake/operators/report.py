@@ -24,9 +24,9 @@ def chain_path(nodes: Column) -> Column:
     return F.when(F.size(nodes) > 0, F.concat(F.array_join(parts, " → "), _S(" → [变更点]"))).otherwise("")
 
 
-def tree(nodes: Column, indent: bool) -> Column:
-    """One line a node; leaves show their repository. indent: by position, else branches at one depth."""
-    text = lambda n: F.when(n["node_type"] == "leaf", F.concat(_z(n["func_name"]), _S(" (底层: "), _z(n["repo"]), _S(")"))).otherwise(
+def tree(nodes: Column, indent: bool, leaf: tuple[str, str] = ("", "")) -> Column:
+    """One line a node; leaves show their repository, between the texts of leaf. indent: by position, else branches at one depth."""
+    text = lambda n: F.when(n["node_type"] == "leaf", F.concat(_S(leaf[0]), _z(n["func_name"]), _S(" (底层: "), _z(n["repo"]), _S(f"){leaf[1]}"))).otherwise(
         F.concat(_z(n["func_name"]), _S(" ("), _z(n["file_path"]), _S(":"), _line(n["line"]), _S(")"))
     )
     if indent:
@@ -80,7 +80,7 @@ def terminal(r: dict[str, Column], colours: bool = False) -> Column:
     nodes = r["downward"]["nodes"]
     first = F.get(nodes, 0)
     head = F.when(F.size(nodes) > 0, F.concat(_S(f"{c['bold']}{c['cyan']}变更函数:{c['off']} {c['yellow']}["), _z(first["repo"]), _S("] "), _z(first["func_name"]), _S(" ("), _z(first["file_path"]), _S(":"), _line(first["line"]), _S(f"){c['off']}\n"))).otherwise("")
-    down = F.when(F.size(nodes) > 1, F.concat(_S(f"\n{c['bold']}向下追踪（实现路径）:{c['off']}\n"), tree(F.slice(nodes, 2, 1_000_000), False))).otherwise("")
+    down = F.when(F.size(nodes) > 1, F.concat(_S(f"\n{c['bold']}向下追踪（实现路径）:{c['off']}\n"), tree(F.slice(nodes, 2, 1_000_000), False, (c["gray"], c["off"])))).otherwise("")
     chain = lambda x, i: F.concat(_S(f"  {c['green']}"), _marked(_S(""), i, r["entries"], ""), _S(f"{c['off']}\n"), F.when(F.size(x["nodes"]) > 0, F.concat(_S(f"    └─ {c['gray']}"), chain_path(x["nodes"]), _S(f"{c['off']}\n"))).otherwise(""))
     up = F.when(F.size(r["upward"]) > 0, F.concat(_S(f"\n{c['bold']}向上追踪 → 集成测试入口:{c['off']}\n"), F.array_join(F.transform(r["upward"], chain), ""))).otherwise("")
     cases = F.when(F.size(r["scenarios"]) > 0, F.concat(_S(f"\n{c['bold']}集成测试场景:{c['off']}\n"), F.array_join(F.transform(r["scenarios"], lambda s: F.concat(_S(f"  {c['blue']}["), _z(s["entry_protocol"]), _S(" "), _z(s["entry_path"]), _S(f"]{c['off']} "), _z(s["description"]), _S("\n"))), ""))).otherwise("")

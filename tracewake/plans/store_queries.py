@@ -42,6 +42,30 @@ def keyword_search(spark: SparkSession, d: str) -> DataFrame:
     return store.search(kb, ["parcel", " retries ", "", "ledger%drain"], None, 20)
 
 
+def keyword_search_commit(spark: SparkSession, d: str) -> DataFrame:
+    """As of one commit: the most frequent one, the smaller of equals."""
+    kb = table(spark, d, "knowledge_base").select("id", "repo_name", "symbol", "summary", "commit_hash", "created_at", "loaded_at")
+    commit = kb.where("commit_hash IS NOT NULL").groupBy("commit_hash").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "commit_hash").first()[0]
+    return store.search(kb, ["e", "a"], commit, 20)
+
+
+def cli_input_types(spark: SparkSession, d: str) -> DataFrame:
+    t = first_per_id(table(spark, d, "analysis_tasks"), "input_diff", "input_desc")
+    return t.select("id", store.given_input_type(F.col("input_diff"), F.col("input_desc")).alias("input_type"))
+
+
+def feedback_inserts(spark: SparkSession, d: str) -> DataFrame:
+    """What is appended, and how many knowledge rows it leaves unreliable."""
+    rows, knowledge = store.new_feedback(table(spark, d, "feedback"), table(spark, d, "analysis_tasks"), table(spark, d, "knowledge_base"), table(spark, d, "analysis_results"))
+    kinds = rows.groupBy("type").agg(F.count("id").alias("n"))
+    return kinds.unionByName(knowledge.agg(F.count_if("unreliable").alias("n")).withColumn("type", F.lit("unreliable symbols' rows")))
+
+
+def cache_deleted(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select(F.col("user_id").alias("k"), F.col("ts").alias("at"), "event_id", (F.col("event_type") == "error").alias("gone"))
+    return state.current(state.written(e), "k", F.lit("2024-01-25 00:00:00").cast("timestamp_ntz"), deleted="gone").select("k", "event_id")
+
+
 def mark_unreliable(spark: SparkSession, d: str) -> DataFrame:
     out = store.mark_unreliable(table(spark, d, "knowledge_base"), table(spark, d, "feedback"), table(spark, d, "analysis_results"))
     return out.groupBy("repo_name", "symbol", "unreliable").agg(F.count(F.lit(1)).alias("n"))
@@ -142,7 +166,7 @@ def repo_paths(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        order_lookup, new_task_fields, recent_tasks, status_fold, insert_if_absent, keyword_search, mark_unreliable, latest_result, tasks_with_result, feedback_list, feedback_rejects,
+        order_lookup, new_task_fields, recent_tasks, status_fold, insert_if_absent, keyword_search, keyword_search_commit, cli_input_types, feedback_inserts, cache_deleted, mark_unreliable, latest_result, tasks_with_result, feedback_list, feedback_rejects,
         enum_violations, cascade_delete, status_counter, token_histogram, step_histogram, false_positive_rate, cache_probe, cache_hit_ratio, cache_current, daily_metrics, repo_heads, result_fields, progress, repo_paths,
     )
 }
@@ -157,6 +181,7 @@ _HITS = "SELECT v.event_id AS probe_id, cast(v.user_id AS VARCHAR) AS k, EXISTS
 _LATEST = "SELECT task_id, created_at, id, token_usage, step_count FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY created_at DESC NULLS LAST, id DESC, token_usage DESC NULLS LAST, step_count DESC NULLS LAST) AS r FROM analysis_results) WHERE r = 1"
 _CK = "substr(sha256(concat_ws(chr(31), coalesce(input_diff, ''), coalesce(input_desc, ''))), 1)"
 _FIRST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at) AS r FROM {t} WHERE id IS NOT NULL) WHERE r = 1)"
+_MARKED = """r AS (SELECT task_id, CASE WHEN json_valid(call_chain) THEN call_chain::JSON END AS c FROM analysis_results WHERE task_id IN (SELECT task_id FROM {fp} WHERE type = 'false_positive')), r1 AS (SELECT STEP AS c FROM r), r2 AS (SELECT STEP AS c FROM r1), r3 AS (SELECT STEP AS c FROM r2), n AS (SELECT unnest(CASE json_type(c) WHEN 'ARRAY' THEN json_extract(c, '$[*]') WHEN 'OBJECT' THEN json_extract(c, '$.downward_chain.nodes[*]') END) AS e FROM r3), s AS (SELECT DISTINCT coalesce(e ->> '$.repo', e ->> '$.Repo') AS r, coalesce(e ->> '$.func_name', e ->> '$.Function', e ->> '$.symbol') AS s FROM n)""".replace("STEP", STEP.format(x="c"))
 
 SQL = {
     "result_fields": "SELECT task_id, sum(coalesce(token_usage, 0))::BIGINT AS tokens, sum(coalesce(step_count, 0))::BIGINT AS steps, count(*) AS n FROM analysis_results GROUP BY task_id",
@@ -170,7 +195,11 @@ SQL = {
     "keyword_search": "SELECT id, repo_name, symbol, summary, commit_hash, created_at, loaded_at FROM knowledge_base WHERE "
     + " OR ".join(f"symbol ILIKE '{w}%' OR summary ILIKE '%{w}%'" for w in ("parcel", "retries", "ledger%drain"))
     + " ORDER BY created_at DESC, id, loaded_at LIMIT 20",
-    "mark_unreliable": f"WITH r AS (SELECT task_id, CASE WHEN json_valid(call_chain) THEN call_chain::JSON END AS c FROM analysis_results WHERE task_id IN (SELECT task_id FROM feedback WHERE type = 'false_positive')), r1 AS (SELECT {STEP.format(x='c')} AS c FROM r), r2 AS (SELECT {STEP.format(x='c')} AS c FROM r1), r3 AS (SELECT {STEP.format(x='c')} AS c FROM r2), n AS (SELECT unnest(CASE json_type(c) WHEN 'ARRAY' THEN json_extract(c, '$[*]') WHEN 'OBJECT' THEN json_extract(c, '$.downward_chain.nodes[*]') END) AS e FROM r3), s AS (SELECT DISTINCT coalesce(e ->> '$.repo', e ->> '$.Repo') AS r, coalesce(e ->> '$.func_name', e ->> '$.Function', e ->> '$.symbol') AS s FROM n) SELECT repo_name, symbol, coalesce(unreliable, false) OR s.s IS NOT NULL AS unreliable, count(*) AS n FROM knowledge_base k LEFT JOIN s ON k.repo_name = s.r AND k.symbol = s.s GROUP BY ALL",
+    "keyword_search_commit": "WITH c AS (SELECT commit_hash AS h FROM knowledge_base WHERE commit_hash IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT id, repo_name, symbol, summary, commit_hash, created_at, loaded_at FROM knowledge_base WHERE commit_hash = (SELECT h FROM c) AND (symbol ILIKE 'e%' OR symbol ILIKE 'a%' OR summary ILIKE '%e%' OR summary ILIKE '%a%') ORDER BY created_at DESC, id, loaded_at LIMIT 20",
+    "cli_input_types": f"SELECT id, CASE WHEN coalesce(input_diff, '') = '' THEN 'description' WHEN coalesce(input_desc, '') = '' THEN 'diff' ELSE 'combined' END AS input_type FROM {_FIRST.format(t='analysis_tasks')}",
+    "cache_deleted": "SELECT k, event_id FROM (SELECT user_id AS k, event_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE ts <= TIMESTAMP '2024-01-25 00:00:00') WHERE r = 1 AND ts + INTERVAL 72 HOUR > TIMESTAMP '2024-01-25 00:00:00' AND event_type <> 'error'",
+    "feedback_inserts": f"WITH a AS (SELECT * FROM feedback WHERE type IN ('false_positive', 'false_negative', 'correct') AND task_id IN (SELECT id FROM analysis_tasks)), {_MARKED.format(fp='a')} SELECT type, count(*) AS n FROM a GROUP BY type UNION ALL SELECT 'unreliable symbols'' rows', count(*) FROM knowledge_base k LEFT JOIN s ON k.repo_name = s.r AND k.symbol = s.s WHERE coalesce(unreliable, false) OR s.s IS NOT NULL",
+    "mark_unreliable": f"WITH {_MARKED.format(fp='feedback')} SELECT repo_name, symbol, coalesce(unreliable, false) OR s.s IS NOT NULL AS unreliable, count(*) AS n FROM knowledge_base k LEFT JOIN s ON k.repo_name = s.r AND k.symbol = s.s GROUP BY ALL",
     "latest_result": _LATEST,
     "tasks_with_result": f"SELECT t.id, t.status, l.id AS result_id, l.token_usage, l.step_count FROM (SELECT DISTINCT id, status FROM analysis_tasks) t LEFT JOIN ({_LATEST}) l ON t.id = l.task_id AND t.status = 'completed'",
     "feedback_list": "SELECT id, task_id, type, comment, created_at, loaded_at FROM feedback",

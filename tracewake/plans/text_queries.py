@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracewake.functions import text as T
-from tracewake.operators import diffs, search, symbols
+from tracewake.operators import context, diffs, search, symbols
 from tracewake.sources.tables import first_per_id, table
 
 
@@ -45,6 +45,28 @@ def layered_read(spark: SparkSession, d: str) -> DataFrame:
     return search.layered(docs, "doc_id", "text", "at", 2)
 
 
+def layered_place(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").withColumn("at", (F.col("doc_id") % 40 + 1).cast("int"))
+    return search.layered(docs, "doc_id", "text", "at", 1)
+
+
+def layered_top(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").withColumn("at", F.lit(1))
+    return search.layered(docs, "doc_id", "text", "at", 3)
+
+
+def large_code(spark: SparkSession, d: str) -> DataFrame:
+    diffs_ = _tasks(spark, d)
+    return diffs_.select("id", context.is_large_code(F.col("input_diff")).alias("large"))
+
+
+def symbols_given(spark: SparkSession, d: str) -> DataFrame:
+    """Languages under other names, in any case, and an unknown one."""
+    n = F.col("doc_id") % 6
+    given = F.when(n == 0, "Golang").when(n == 1, "py").when(n == 2, "TSX").when(n == 3, "kotlin").when(n == 4, "cobol").otherwise("js")
+    return symbols.symbols(table(spark, d, "documents").withColumn("given", given), "doc_id", "text", "given").withColumnRenamed("id", "doc_id")
+
+
 def glob_paths(spark: SparkSession, d: str) -> DataFrame:
     return search.glob_paths(table(spark, d, "knowledge_base"), "file_path", "**/[i-p]*/*_audit.?[oy]")
 
@@ -77,15 +99,18 @@ def symbols_of_docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def verify_nodes(spark: SparkSession, d: str) -> DataFrame:
-    path = F.regexp_extract("input_diff", r"(?m)^\+\+\+ b/([^\r\n]*)", 1)
-    files = _tasks(spark, d).select(F.lit("any").alias("repo"), path.alias("path"), F.col("input_diff").alias("content")).where("path <> ''")
-    nodes = table(spark, d, "knowledge_base").select(F.lit("any").alias("repo"), "file_path", F.regexp_extract("symbol", r"(\w+)$", 1).alias("func_name")).distinct()
+    """The file sections of all diffs as the workspace's files; every third node comes without its file."""
+    section = F.explode(F.split("input_diff", r"(?m)^(?=\+\+\+ )")).alias("content")
+    files = _tasks(spark, d).select(F.lit("any").alias("repo"), section).where(F.col("content").startswith("+++ "))
+    files = files.select("repo", F.regexp_replace(F.regexp_extract("content", r"^\+\+\+ ([^\r\n]*)", 1), "^b/", "").alias("path"), "content")
+    name = F.regexp_extract("symbol", r"(\w+)$", 1)
+    nodes = table(spark, d, "knowledge_base").select(F.lit("any").alias("repo"), F.when(F.length(name) % 3 > 0, F.col("file_path")).alias("file_path"), name.alias("func_name")).distinct()
     return search.verified(nodes, files).select("file_path", "func_name", "verified")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (search_regex, search_fixed, search_capped, search_in_glob, match_format, slice_lines, layered_read, glob_paths, relative_paths, list_items, diff_functions, functions_by_repo, symbols_of_docs, verify_nodes)
+    for f in (search_regex, search_fixed, search_capped, search_in_glob, match_format, slice_lines, layered_place, layered_read, layered_top, glob_paths, relative_paths, list_items, diff_functions, functions_by_repo, symbols_of_docs, symbols_given, large_code, verify_nodes)
 }
 
 
@@ -119,6 +144,7 @@ def _symbol_case(language: str, part: int) -> str:
 
 
 _BY_LANGUAGE = ["CASE language" + "".join(f" WHEN '{g}' THEN {_symbol_case(g, k)}" for g in symbols.SYMBOLS) + " END" for k in (0, 1)]
+_ANY_LANGUAGE = ["CASE WHEN language = 'cobol' THEN coalesce({go}, {js}) ELSE {known} END".format(go=_symbol_case("go", k), js=_symbol_case("js", k), known=_BY_LANGUAGE[k]) for k in (0, 1)]
 
 SQL = {
     "search_regex": f"SELECT * FROM {_DOCS} WHERE regexp_matches(text, 'retr(y|ies) (storm|after)|[Tt]imeout')",
@@ -134,5 +160,9 @@ SQL = {
     "diff_functions": f"WITH {_FUNCTIONS} SELECT id, file, line, func_name, 'added' AS change_type FROM fn WHERE func_name IS NOT NULL",
     "functions_by_repo": f"WITH {_FUNCTIONS}, r AS (SELECT repo_name, row_number() OVER (ORDER BY repo_name) AS ord FROM repos), u AS (SELECT DISTINCT regexp_extract(file, '^([^/]+)', 1) || '/' || func_name AS f FROM fn WHERE func_name IS NOT NULL), o AS (SELECT f, coalesce((SELECT arg_min(repo_name, ord) FROM r WHERE starts_with(f, repo_name || '/') OR starts_with(f, repo_name || '.')), (SELECT arg_min(repo_name, ord) FROM r), 'unknown') AS repo FROM u) SELECT repo, cast(count(*) AS INT) AS functions, sha256(string_agg(f, ',' ORDER BY f)) AS digest FROM o GROUP BY repo",
     "symbols_of_docs": f"WITH d AS (SELECT doc_id, text AS code, CASE WHEN regexp_matches(text, '\\bpackage\\s+\\w+') THEN 'go' WHEN regexp_matches(text, '\\bdef\\s+\\w+\\s*\\(') THEN 'python' WHEN regexp_matches(text, '\\bpublic\\s+(static\\s+)?(?:void|class|interface)\\b') THEN 'java' WHEN regexp_matches(text, '(?:import|export|const|let|var|=>)') THEN 'js' ELSE 'go' END AS language FROM documents WHERE text <> ''), l AS (SELECT doc_id, language, cast(i AS INT) AS line, regexp_replace(s[i], '^\\s*\\d+\\t', '') AS text FROM (SELECT doc_id, language, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, language, string_split(code, chr(10)) AS s FROM d))) SELECT doc_id, language, {_BY_LANGUAGE[0]} AS name, {_BY_LANGUAGE[1]} AS kind, line FROM l WHERE {_BY_LANGUAGE[1]} IS NOT NULL",
-    "verify_nodes": f"WITH f AS (SELECT regexp_extract(input_diff, '(?m)^\\+\\+\\+ b/([^\\r\\n]*)', 1) AS path, input_diff FROM {_TASKS}), n AS (SELECT DISTINCT file_path, regexp_extract(symbol, '(\\w+)$', 1) AS func_name FROM knowledge_base) SELECT file_path, func_name, coalesce(bool_or(contains(input_diff, func_name)), false) AS verified FROM n LEFT JOIN f ON path = file_path AND path <> '' GROUP BY ALL",
+    "verify_nodes": f"WITH c AS (SELECT unnest(string_split(chr(10) || input_diff, chr(10) || '+++ ')[2:]) AS t FROM {_TASKS}), f AS (SELECT regexp_replace(regexp_extract(t, '^[^\\r\\n]*'), '^b/', '') AS path, '+++ ' || t AS content FROM c), n AS (SELECT DISTINCT CASE WHEN length(s) % 3 > 0 THEN file_path END AS file_path, s AS func_name FROM (SELECT file_path, regexp_extract(symbol, '(\\w+)$', 1) AS s FROM knowledge_base)), w AS (SELECT string_agg(content, chr(10)) AS all_text FROM f), v AS (SELECT n.file_path, func_name, coalesce(bool_or(contains(content, func_name)), false) AS verified FROM n LEFT JOIN f ON path = file_path WHERE coalesce(n.file_path, '') <> '' GROUP BY ALL) SELECT file_path, func_name, verified AND func_name <> '' AS verified FROM v UNION ALL SELECT file_path, func_name, func_name <> '' AND contains((SELECT all_text FROM w), func_name) FROM n WHERE coalesce(file_path, '') = ''",
+    "layered_place": "SELECT doc_id AS path, doc_id || ':' || (doc_id % 40 + 1) AS slice FROM documents",
+    "layered_top": f"WITH l AS (SELECT path, string_agg(format('{{:6d}}', line_no) || chr(9) || text, chr(10) ORDER BY line_no) AS s FROM {_DOCS} WHERE line_no <= 200 GROUP BY path) SELECT doc_id AS path, CASE WHEN s IS NULL THEN CASE WHEN text IS NOT NULL THEN '(file has fewer than 1 lines)' END ELSE s || chr(10) END AS slice FROM documents LEFT JOIN l ON doc_id = path",
+    "large_code": "SELECT id, strlen(input_diff) >= 2000 AND contains(input_diff, chr(10)) AND (" + " OR ".join(f"contains(input_diff, '{m}')" for m in context.CODE_MARKS) + f") AS large FROM {_TASKS}",
+    "symbols_given": f"WITH d AS (SELECT doc_id, text AS code, ['go', 'python', 'js', 'java', 'cobol', 'js'][doc_id % 6 + 1] AS language FROM documents WHERE text <> ''), l AS (SELECT doc_id, language, cast(i AS INT) AS line, regexp_replace(s[i], '^\\s*\\d+\\t', '') AS text FROM (SELECT doc_id, language, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, language, string_split(code, chr(10)) AS s FROM d))) SELECT doc_id, language, {_ANY_LANGUAGE[0]} AS name, {_ANY_LANGUAGE[1]} AS kind, line FROM l WHERE {_ANY_LANGUAGE[1]} IS NOT NULL",
 }

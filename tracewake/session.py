@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoint files go when nothing refers to them any more; a cluster sets this itself, as it counts at the start only
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

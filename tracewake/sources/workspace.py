@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +25,8 @@ def files(spark: SparkSession, root: str, hidden: bool = False) -> DataFrame:
 
 def diff_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """One row: the files' texts in the given order, a line feed after each."""
-    order = {p: i for i, p in enumerate(paths)}
-    raw = spark.read.text(list(paths), wholetext=True).select(_path_of(F.col("_metadata.file_path")).alias("p"), "value")
-    at = F.coalesce(*[F.when(F.col("p").endswith(p), i) for p, i in order.items()])
+    raw = spark.read.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("uri"), "value").withColumn("p", _path_of(F.col("uri")))
+    at = F.coalesce(*[F.when((F.col("uri") == p) | (F.col("p") == (os.path.abspath(p) if "://" not in p else p)), i) for i, p in enumerate(paths)])
     parts = F.array_sort(F.collect_list(F.struct(at.alias("i"), "value")))
     return raw.agg(F.concat(F.array_join(F.transform(parts, lambda x: x["value"]), "\n"), F.lit("\n")).alias("diff"))
 

@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
+
+from tracewake.operators.slices import MIN_HOT, same_keys, sliced
+from tracewake.session import cut
 
 # fixed values: default times to live in hours
 CACHE_HOURS, CHECKPOINT_HOURS, PROGRESS_HOURS = 72, 24, 24
@@ -31,23 +35,29 @@ def current(rows: DataFrame, key: str, as_of: Column, at: str = "at", deleted: s
     return live.where(~F.col(deleted)) if deleted else live
 
 
-def cache_hits(writes: DataFrame, probes: DataFrame, key: str, hours: int = CACHE_HOURS) -> DataFrame:
+def cache_hits(writes: DataFrame, probes: DataFrame, key: str, hours: int = CACHE_HOURS, min_hot: int = MIN_HOT) -> DataFrame:
     """Probes with hit: a write of the key lies at or before the probe, by less than the time to live.
 
-    Writes and probes of a key go through one running maximum; the key is split by
-    time slices of the time to live so that a hot key isn't one task: a write can
-    only matter within its own slice and the next.
+    Writes and probes of a key go through one running maximum. Hot keys are cut into
+    slices at their own quantiles; the last write before a slice comes from a small
+    table of the slices' last writes (bounded, hence a safe broadcast).
     """
-    width = hours * 3600
-    slot = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / width)
-    w = writes.select(F.col(key).alias("k"), F.col("at"), F.lit(None).cast("long").alias("probe_id"), F.explode(F.array(slot(F.col("at")), slot(F.col("at")) + 1)).alias("slot"))
-    p = probes.select(F.col(key).alias("k"), F.col("at"), F.col("probe_id"), slot(F.col("at")).alias("slot"))
-    from pyspark.sql.window import Window
-
-    before = Window.partitionBy("k", "slot").orderBy("at", F.col("probe_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.when(F.col("probe_id").isNull(), F.col("at"))).over(before)
-    both = w.unionByName(p).withColumn("last", last).where("probe_id IS NOT NULL")
-    return both.select("probe_id", F.col("k").alias(key), "at", F.coalesce(F.col("last") + F.make_dt_interval(secs=F.lit(width)) > F.col("at"), F.lit(False)).alias("hit"))
+    w = writes.select(F.col(key).alias("k"), "at", F.lit(0).alias("is_probe"), F.lit(None).cast("long").alias("probe_id"))
+    p = probes.select(F.col(key).alias("k"), "at", F.lit(1).alias("is_probe"), F.col("probe_id").cast("long").alias("probe_id"))
+    order = ["at", "is_probe", "probe_id"]
+    both, hot = sliced(w.unionByName(p), ["k"], order, min_hot)
+    written = F.when(F.col("is_probe") == 0, F.col("at"))
+    if hot:
+        both = cut(both)
+    before = Window.partitionBy("k", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = both.withColumn("last", F.max(written).over(before)).where("is_probe = 1")
+    if hot:
+        ends = both.where("slice > 0").groupBy("k", "slice").agg(F.max(written).alias("m"))
+        earlier = Window.partitionBy("k").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select("k", "slice", F.max("m").over(earlier).alias("carried"))
+        cond = (F.col("l.slice") == F.col("r.slice")) & same_keys(["k"])
+        out = out.alias("l").join(F.broadcast(carried.alias("r")), cond, "left").select("l.k", "l.at", "l.probe_id", F.coalesce("l.last", "r.carried").alias("last"))
+    return out.select("probe_id", F.col("k").alias(key), "at", F.coalesce(F.col("last") + F.make_dt_interval(hours=F.lit(hours)) > F.col("at"), F.lit(False)).alias("hit"))
 
 
 def checkpoint_rows(messages: DataFrame) -> DataFrame:
@@ -66,6 +76,19 @@ def restored(states: DataFrame) -> DataFrame:
     return out.select("conv_id", "pos", role.alias("role"), F.col("m.payload.content").alias("content"), F.col("m.payload.tool_call_id").alias("tool_call_id"))
 
 
+def resumed(states: DataFrame, seeds: DataFrame) -> DataFrame:
+    """conv_id, pos, role, content, tool_call_id, fresh: messages of saved states; a run without one, or whose state
+    can't be read, starts from its seed. seeds: conv_id, content; one row a run."""
+    e = F.from_json("e", "type string, payload struct<content:string,tool_call_id:string>")
+    known = F.coalesce(F.col("m.type").isin("user", "assistant", "tool") & F.col("m.payload").isNotNull(), F.lit(False))
+    whole = states.select("conv_id", "envelopes", F.coalesce(F.forall(F.transform("envelopes", lambda x: F.from_json(x, "type string, payload struct<content:string,tool_call_id:string>")), lambda m: F.coalesce(m["type"].isin("user", "assistant", "tool") & m["payload"].isNotNull(), F.lit(False))), F.lit(False)).alias("ok"))
+    good = whole.where("ok")
+    kept = good.select("conv_id", F.posexplode("envelopes").alias("pos", "e")).select("conv_id", "pos", e.alias("m")).where(known)
+    kept = kept.select("conv_id", "pos", F.col("m.type").alias("role"), F.col("m.payload.content").alias("content"), F.col("m.payload.tool_call_id").alias("tool_call_id"), F.lit(False).alias("fresh"))
+    new = seeds.join(good.select("conv_id"), "conv_id", "left_anti").select("conv_id", F.lit(0).alias("pos"), F.lit("user").alias("role"), "content", F.lit(None).cast("string").alias("tool_call_id"), F.lit(True).alias("fresh"))
+    return kept.unionByName(new)
+
+
 def accumulated(deltas: DataFrame) -> DataFrame:
     """stream_id, content, calls, finish. deltas: stream_id, seq, content, call_index, call_id, call_name, arguments, finish.
 
@@ -103,6 +126,37 @@ def stream_latest(rows: DataFrame, key: str, hours: int = CACHE_HOURS) -> DataFr
     return rows.groupBy(key).applyInPandasWithState(fn, out, "value string, at long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def stream_accumulated(deltas: DataFrame, hours: int = CHECKPOINT_HOURS) -> DataFrame:
+    """Streaming form of accumulated: emits stream_id, content, calls (JSON), finish after each batch that adds to a stream.
+
+    deltas: as for accumulated, with an event time at and a watermark; seq orders a stream's deltas
+    and is not repeated across batches. State expires after the time to live without deltas.
+    """
+
+    def fn(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        parts, at = (json.loads(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        for b in batches:
+            at = max([at, *(int(pd.Timestamp(x).timestamp() * 1000) for x in b["at"])])
+            for r in b.drop(columns=["at"]).astype(object).where(b.notna(), None).to_dict("records"):
+                parts.append([int(r["seq"]), r["content"], None if r["call_index"] is None else int(r["call_index"]), r["call_id"], r["call_name"], r["arguments"], r["finish"]])
+        parts.sort(key=lambda p: p[0])
+        calls: dict[int, dict[str, object]] = {}
+        for _, _, i, call_id, name, arguments, _ in parts:
+            if i is not None:
+                c = calls.setdefault(i, {"call_index": i, "id": None, "name": None, "arguments": ""})
+                c |= {"id": call_id or c["id"], "name": name or c["name"], "arguments": c["arguments"] + (arguments or "")}
+        state.update((json.dumps(parts), at))
+        state.setTimeoutTimestamp(max(at + hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
+        finish = next((p[6] for p in reversed(parts) if p[6]), None)
+        yield pd.DataFrame({"stream_id": [k[0]], "content": ["".join(p[1] or "" for p in parts)], "calls": [json.dumps([calls[i] for i in sorted(calls)])], "finish": [finish]})
+
+    out = f"stream_id {deltas.schema['stream_id'].dataType.simpleString()}, content string, calls string, finish string"
+    return deltas.groupBy("stream_id").applyInPandasWithState(fn, out, "parts string, at long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def stream_windows(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Extension: counts per event type in tumbling windows with a watermark for late rows."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
