@@ -29,6 +29,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +86,7 @@ FIELDS: dict[str, dict[str, tuple[str, ...]]] = {
 }
 
 ROWS = "result_id string, table_name string, row_id string, parent_table string, parent_id string, role string, many boolean, parent_no int, item_no int, label string, attributes map<string,string>"
+_ARROW = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "map<string,string>": pa.map_(pa.string(), pa.string())}
 ROOT = "analysis_result"
 #: Longer paths are shortened, so that deep nesting doesn't cost the square of its depth.
 PATH_LENGTH = 1000
@@ -117,8 +119,17 @@ def own_tables(graph: dict[str, tuple[Edge, ...]], root: str) -> set[str]:
     return out | {x for x in graph if x not in out and recursive(x)}
 
 
+_PLAIN: dict[str, str] = {}
+
+
 def _plain(key: str) -> str:
-    return key.lower().replace("_", "").replace("-", "")
+    """A field's name without case and separators; those seen last are kept."""
+    p = _PLAIN.get(key)
+    if p is None:
+        if len(_PLAIN) > 100_000:
+            _PLAIN.clear()
+        p = _PLAIN[key] = key.lower().replace("_", "").replace("-", "")
+    return p
 
 
 def _known(d: dict, element: str) -> bool:
@@ -178,7 +189,7 @@ class Shredder:
     def __init__(self, skip: tuple[str, ...] = ()):
         self.skip = set(skip)
         self.edges = {e: {_plain(x.field): x for x in edges} for e, edges in GRAPH.items()}
-        self.spelled = {e: {s: a for a, spellings in fields.items() for s in spellings} for e, fields in FIELDS.items()}
+        self.spelled = {e: {s: (a, rank) for a, spellings in fields.items() for rank, s in enumerate(spellings)} for e, fields in FIELDS.items()}
         self.rows: list[tuple] = []
 
     def record(self, rid: str, result: dict) -> None:
@@ -201,26 +212,34 @@ class Shredder:
                 for i, y in enumerate(x):
                     self._element(rid, element, y, f"{path}[{i}]", up, up_path, role, True, (pos[1], i))
                 return
-        names = FIELDS.get(element, {})
         own: dict[str, str] = {}
         inner: list[tuple[str, object]] = []
         if isinstance(x, dict):
-            have: dict[str, object] = {}
-            for k, v in x.items():
-                have.setdefault(_plain(k), v)
-            for a, spellings in names.items():  # the first spelling with a value gives the attribute
-                s = next((s for s in spellings if have.get(s) is not None and not isinstance(have[s], dict | list)), None)
-                if s is not None:
-                    own[a] = _text(have.pop(s))
-            for k, v in have.items():
-                if isinstance(v, dict | list) or k in self.edges.get(element, {}):
+            spelled, edges = self.spelled.get(element, {}), self.edges.get(element, {})
+            best: dict[str, tuple[int, str]] = {}  # attribute: rank and name of the spelling that gives it
+            seen = set()
+            for key, v in x.items():
+                k = _plain(key)
+                if v is None or k in seen:
+                    continue
+                seen.add(k)
+                if isinstance(v, dict | list) or k in edges:
                     inner.append((k, v))
-                elif v is not None:
-                    own.setdefault(self.spelled.get(element, {}).get(k, k) if k not in own else k, _text(v))
+                    continue
+                a, rank = spelled.get(k, (k, 0))
+                text = v if isinstance(v, str) else _text(v)
+                if a in best:  # the first spelling with a value gives the attribute, others keep their own name
+                    if rank < best[a][0]:
+                        own[best[a][1]] = own[a]
+                    else:
+                        own[k] = text
+                        continue
+                best[a] = (rank, k)
+                own[a] = text
         else:
-            own[next(iter(names), "value")] = _text(x)
+            own[next(iter(FIELDS.get(element, {})), "value")] = _text(x)
         label = next((own[a] for a in ("func_name", "description", "tag") if own.get(a, "").strip()), None)
-        self.rows.append((rid, element, path, up, up_path, role, many, *pos, label, own))
+        self.rows.append((rid, element, path, up, up_path, role, many, *pos, label, list(own.items())))
         for k, v in inner:
             e = self.edges.get(element, {}).get(k) or Edge(k, k, isinstance(v, list))
             if v is None or e.field in self.skip:
@@ -236,23 +255,26 @@ class Shredder:
 
 
 def _text(v: object) -> str:
-    return v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    if isinstance(v, str):
+        return v
+    return str(v) if type(v) is int else json.dumps(v, ensure_ascii=False)
 
 
 def shred(results: DataFrame, tables: tuple[str, ...] = ()) -> DataFrame:
     """The rows of all elements, or of the named ones, in long form; one delivery per result id."""
-    columns = [c.strip().split(" ")[0] for c in ROWS.split(", ")]
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(1_000_000)  # frames of Python functions take no C stack
+        types = pa.schema([(n, _ARROW[t]) for n, t in (c.split(" ") for c in ROWS.split(", "))])
         for batch in batches:
             s = Shredder()
-            for rid, chain, entries in zip(batch["id"], batch["call_chain"], batch["entry_points"], strict=True):
+            for rid, chain, entries in zip(*(batch.column(c).to_pylist() for c in ("id", "call_chain", "entry_points")), strict=True):
                 if (result := result_of(chain, entries)) is not None:
                     s.record(rid, result)
-            yield pd.DataFrame([r for r in s.rows if not tables or r[1] in tables], columns=columns)
+            kept = [r for r in s.rows if not tables or r[1] in tables]
+            columns = list(zip(*kept, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, types, strict=True)], schema=types)
 
-    return first_per_id(results, "call_chain", "entry_points").mapInPandas(rows, ROWS)
+    return first_per_id(results, "call_chain", "entry_points").mapInArrow(rows, ROWS)
 
 
 def schema_graph(rows: DataFrame) -> dict[str, tuple[Edge, ...]]:
@@ -327,7 +349,7 @@ def chain_nodes(results: DataFrame) -> DataFrame:
                 s = Shredder(skip=("upward_chains", "entry_points", "impact_summary", "edges", "note", "test_scenarios"))
                 if (result := result_of(chain, None)) is not None:
                     s.record("", result)
-                out += [(task, r[10].get("repo"), r[9]) for r in s.rows if r[1] == "call_node"]
+                out += [(task, dict(r[10]).get("repo"), r[9]) for r in s.rows if r[1] == "call_node"]
             yield pd.DataFrame(out, columns=["task_id", "repo", "symbol"])
 
     nodes = results.select("task_id", "call_chain").where("call_chain IS NOT NULL").mapInPandas(rows, "task_id string, repo string, symbol string")
