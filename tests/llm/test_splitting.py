@@ -142,3 +142,14 @@ def test_one_delivery_of_an_id_is_cut(spark):
 
     whole = {r.id: r.digest for r in splitting.joined(splitting.pieces(df)).collect()}
     assert whole == {"a": hashlib.sha256(b"short text").hexdigest(), **dict.fromkeys("bc", hashlib.sha256(big.encode()).hexdigest())}
+
+
+def test_cuts_go_where_the_whole_overlap_fits():
+    """Three long lines leave no room for the next one, so the cuts avoid the places behind them."""
+    r = random.Random(7)
+    for _ in range(20):
+        lines = [("x" * r.randint(10, 60)) + "\n" for _ in range(300)]
+        for k in range(20, 280, 37):
+            lines[k : k + 3] = ["y" * 1900 + "\n"] * 3
+        parts = check("".join(lines), splitting.LIMIT)
+        assert sum(p[:o].count("\n") == 3 for o, _, _, p in parts[1:]) >= 0.9 * (len(parts) - 1)

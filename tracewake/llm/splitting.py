@@ -3,7 +3,7 @@
 A text above the limit is seen as units: its lines, and for lines that don't fit
 with their overlap, runs of words. Dynamic programming over the unit ends picks the cuts
 that minimise the sum of cut penalties (file start 0, hunk start 1, line end 4,
-inside a line 20) and of squared deviation from the even size, such that no
+inside a line 20, and 15 more at a line end where the overlap doesn't fit) and of squared deviation from the even size, such that no
 piece, its overlap included, exceeds the limit. Each piece after the first
 begins with the last OVERLAP lines of the one before.
 
@@ -31,6 +31,8 @@ from tracewake.sources.tables import first_per_id
 LIMIT = 6000
 OVERLAP = 3
 PENALTY_FILE, PENALTY_HUNK, PENALTY_LINE, PENALTY_INSIDE = 0.0, 1.0, 4.0, 20.0
+#: More for a cut at a line end where the specified overlap doesn't fit.
+PENALTY_SHORT = 15.0
 IMBALANCE = 30.0
 PIECES = "id string, piece_no int, n_pieces int, overlap_bytes int, first_line int, last_line int, piece string"
 
@@ -80,6 +82,8 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
         line = line_of[i] - 1
         whole = [first[max(0, line - k)] for k in range(overlap, 0, -1)] if first[line] == i else []
         s = next((s for s in whole if ends[i + 1] - ends[s] <= limit), None)
+        if whole and s != whole[0]:
+            penalty[i] += PENALTY_SHORT
         if s is None:
             s = max(0, i - overlap)
             while s < i and (ends[i] - ends[s] > limit // 2 or ends[i + 1] - ends[s] > limit):
