@@ -55,6 +55,7 @@ SIMILARITY = 0.8
 INDEX_BYTES = 8 << 20
 TOKENS_AT_ONCE = 150_000
 PAIRS_AT_ONCE = 2_000_000
+SIEVE_BITS = 22
 TOKEN = re.compile("[a-z0-9ß-öø-ɏ]+|[㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff]")
 PAIRS = "doc_id long, item_id long, run_tokens int, similarity double"
 _U = np.uint64
@@ -209,6 +210,16 @@ class ItemIndex:
         self.offset = np.concatenate(([0], np.cumsum([len(x.tok) for x in self.items]))).astype(np.int64)
         self.sizes = sorted({size for size, _ in self.windows})
         self.all_shingles = np.unique(np.concatenate([x.shingles for x in self.items])) if self.items else np.empty(0, _U)
+        self.mass = np.array([x.weights.sum() for x in self.items])
+        self.sieve = np.zeros(1 << SIEVE_BITS, bool)  # low bits of the shingles of all items
+        self.sieve[self.all_shingles & _U((1 << SIEVE_BITS) - 1)] = True
+
+    def held(self, shingles: np.ndarray) -> np.ndarray:
+        """Whether some item holds each shingle."""
+        out = self.sieve[shingles & _U((1 << SIEVE_BITS) - 1)]
+        at = np.flatnonzero(out)
+        out[at] = np.isin(shingles[at], self.all_shingles)
+        return out
 
     def similarity(self, x: Item, passage: np.ndarray) -> float:
         """Weighted shingles of both over those of either, from the passage's shingles."""
@@ -234,8 +245,17 @@ def leaks_of(docs: list[np.ndarray], index: ItemIndex, similarity: float = SIMIL
         return []
     flat = np.concatenate(docs)
     first = np.concatenate(([0], np.cumsum([len(d) for d in docs]))).astype(np.int64)
+    # a passage that shares no shingle with any item has no similarity and no run: its windows aren't looked up
+    shingles = _shingles(flat)
+    known = np.concatenate(([0], np.cumsum(index.held(shingles)), [0] * SHINGLE))
+    known[len(shingles) + 1 :] = known[len(shingles)]
+    if not known[-1]:
+        return []
     found = []
     for size, at, prints in document_prints(flat, first, index.sizes):
+        # passages of the size's items, which are less than two windows long, lie within a window before and two behind
+        some = known[np.minimum(at + 2 * size, len(known) - 1)] > known[np.maximum(at - size, 0)]
+        at, prints = at[some], prints[some]
         for near in (False, True):
             if w := index.windows.get((size, near)):
                 d, i = w.candidates(prints)
@@ -261,10 +281,10 @@ def leaks_of(docs: list[np.ndarray], index: ItemIndex, similarity: float = SIMIL
     doc, x, begin = np.unique(np.stack([doc, x, p - q], axis=1), axis=0).T
     lo = np.maximum(begin, first[doc])
     hi = np.maximum(np.minimum(begin + np.diff(index.offset)[x], first[doc + 1]) - SHINGLE + 1, lo)
-    shingles = _shingles(flat)
-    known = np.concatenate(([0], np.cumsum(np.isin(shingles, index.all_shingles)), [0] * SHINGLE))
-    known[len(shingles) + 1 :] = known[len(shingles)]
-    some = known[hi] > known[lo]
+    # the common weight is at most that of the passage's held shingles; where it can't reach the similarity only runs matter
+    leaked = {pair for pair, n in run.items() if n >= MIN_RUN}
+    some = (known[hi] - known[lo]) * index.top >= similarity * index.mass[x] - 1e-9
+    some |= np.fromiter((pair in leaked for pair in zip(doc.tolist(), x.tolist(), strict=True)), bool, len(doc)) if leaked else False
     best: dict[tuple[int, int], float] = {}
     for n, k, a, b in zip(*(v[some].tolist() for v in (doc, x, lo, hi)), strict=True):
         best[n, k] = max(best.get((n, k), 0.0), index.similarity(index.items[k], shingles[a:b]))
@@ -328,6 +348,10 @@ def leaks(documents: DataFrame, items: DataFrame, similarity: float = SIMILARITY
     return spread(texts).mapInPandas(run, PAIRS)
 
 
+def _frame(parts: list[tuple[np.ndarray, ...]], columns: list[str]) -> pd.DataFrame:
+    return pd.DataFrame({c: np.concatenate([p[k] for p in parts]) if parts else [] for k, c in enumerate(columns)})
+
+
 def _block_values(print_: Column, near: bool) -> Column:
     return F.array(*[F.shiftrightunsigned(print_, lo).bitwiseAND(F.lit((1 << bits) - 1)) for lo, bits in block_edges(near)])
 
@@ -338,7 +362,7 @@ def _joined_leaks(texts: DataFrame, known: DataFrame, n: int, similarity: float,
     def of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = TokenHashes()
         for b in batches:
-            rows = []
+            parts: list[tuple[np.ndarray, ...]] = []
             for item_id, text in zip(b["item_id"], b["text"], strict=True):
                 h = tokens(text, hashes)
                 for size, starts, near in item_windows(len(h)) if len(h) >= MIN_RUN else ():
@@ -346,8 +370,9 @@ def _joined_leaks(texts: DataFrame, known: DataFrame, n: int, similarity: float,
                     edges = block_edges(near)
                     for no, (lo, bits) in enumerate(edges):
                         entry, value = neighbours((prints >> _U(lo)) & _U((1 << bits) - 1), bits, (near_radius if near else radius) // len(edges))
-                        rows.append(pd.DataFrame({"size": size, "near": near, "block": no, "value": value.view(np.int64), "i_print": prints[entry].view(np.int64), "item_id": item_id}))
-            yield pd.concat(rows) if rows else pd.DataFrame({c: [] for c in ("size", "near", "block", "value", "i_print", "item_id")})
+                        n = len(value)
+                        parts.append((np.full(n, size), np.full(n, near), np.full(n, no), value.view(np.int64), prints[entry].view(np.int64), np.full(n, item_id)))
+            yield _frame(parts, ["size", "near", "block", "value", "i_print", "item_id"])
 
     left = cut(known.select("item_id", "text").mapInPandas(of_items, "size int, near boolean, block int, value long, i_print long, item_id long"))
     sizes = sorted(r[0] for r in left.select("size").distinct().collect())  # a doubling row, so a few dozen at most
@@ -355,10 +380,13 @@ def _joined_leaks(texts: DataFrame, known: DataFrame, n: int, similarity: float,
     def of_documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = TokenHashes()
         for b in batches:
+            parts: list[tuple[np.ndarray, ...]] = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 h = tokens(text, hashes)
-                for size, _, prints in document_prints(h, np.array([0, len(h)]), sizes) if len(h) >= MIN_WINDOW else ():
-                    yield pd.DataFrame({"doc_id": doc_id, "size": size, "print": np.unique(prints).view(np.int64)})
+                for size, _, prints in document_prints(h, np.array([0, len(h)]), sizes) if len(h) >= MIN_WINDOW and sizes else ():
+                    some = np.unique(prints)
+                    parts.append((np.full(len(some), doc_id), np.full(len(some), size), some.view(np.int64)))
+            yield _frame(parts, ["doc_id", "size", "print"])
 
     windows = spread(texts).mapInPandas(of_documents, "doc_id long, size int, print long")
     sides = []
