@@ -161,6 +161,7 @@ def system_prompt(repos: DataFrame, workspace: str, goal: str, tools: list[str],
 
     The list of repositories is one text by definition; a repository without a URL has no such line.
     """
+    # fixed values: headings and field names of the prompt
     url = F.when(F.coalesce("url", F.lit("")) != "", F.concat(F.lit("\n  URL:  "), "url")).otherwise("")
     line = F.concat(F.lit("\n- Name: "), F.coalesce("repo_name", F.lit("")), F.lit("\n  Path: "), F.coalesce("repo_path", F.lit("")), F.lit("\n  Role: "), F.coalesce("repo_role", F.lit("")), url)
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"]), "")
