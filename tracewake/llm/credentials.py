@@ -231,8 +231,8 @@ def candidates(line: str) -> list[tuple[str, str, str]]:
         for m in TOKEN.finditer(whole):
             if (v := _random_run(m.group())) and not any(v in x or x in m.group() for x in seen):
                 before = INTRODUCED.findall(whole[: m.start()])[-4:]
-                inside = [w for w in INTRODUCED.findall(m.group()[: m.group().index(v)]) if w.isalpha() and len(w) < 13 and (w.islower() or w.isupper() or w.istitle())]
-                in_path = "/" in m.group() and ("." in m.group() or "//" in m.group()) or "=" in m.group().rstrip("=")
+                inside = [w for w in INTRODUCED.findall(m.group()[: m.group().index(v)]) if (w.isalpha() and len(w) < 13 or len(w) < 8) and (w.islower() or w.isupper() or w.istitle())]
+                in_path = "/" in m.group() and (whole[: m.start()].endswith(":") or "." in m.group()) or "=" in m.group().rstrip("=")
                 add("token", " ".join(before + inside), v if in_path else m.group())
     return out
 
@@ -346,7 +346,7 @@ def made_up_examples() -> list[tuple[Candidate, int]]:
         kind = KINDS[k % len(KINDS)]
         path = r.choice(("svc/app.go", "conf/app.yaml", "job/run.py", "web/app.ts", "src/App.java", "db/init.sql", "app.properties", ".env", ""))
         token = "".join(r.choice(letters) for _ in range(r.choice((20, 24, 32, 43))))
-        value = "".join(r.choice(letters if k % 3 else letters[:52]) for _ in range(r.choice((10, 12, 14, 20, 32, 40))))
+        value = "".join(r.choice((letters[:52], letters, letters + "+/")[k // len(KINDS) % 3]) for _ in range(r.choice((10, 12, 14, 20, 32, 40))))
         phrase = f"{r.choice(words)}-{r.choice(words)}-{r.randint(10, 99)}"
         title = f"{r.choice(words).title()}{r.randint(100, 9999)}{r.choice('!#*%$')}"
         context = r.choice(contexts.get(kind, idents))
@@ -360,7 +360,8 @@ def made_up_examples() -> list[tuple[Candidate, int]]:
                 around = " ".join(r.choice((plain(), "hooks", "services", "export", "const", "client", "url", "old", "config", "k", "x", "send", "T", "uses")) for _ in range(r.randint(0, 4)))
                 out.append((Candidate(kind, around, issued + (token if r.random() < 0.7 else f"{token[:9]}{r.choice('.-_')}{token[9:]}x"), path), 1))
                 digest = " ".join(r.sample(("sha1", "sha256", "sha512", "integrity", "ssh", "rsa", "ed25519", "public key", "etag", "commit", "checksum", "hash", "digest", "fingerprint", "build id", "request id", "revision", "signature"), 2))
-                out.append((Candidate(kind, f"{plain()} {digest}" if r.random() < 0.5 else digest, token + r.choice(("", "=", "==")), path), 0))
+                hashed = "".join(r.choice(letters + r.choice(("", "+/"))) for _ in range(r.choice((27, 43, 68, 86))))
+                out.append((Candidate(kind, f"{plain()} {digest}" if r.random() < 0.5 else digest, hashed + r.choice(("", "=", "==")), path), 0))
         elif kind == "phrase":
             for _ in range(3):
                 out.append((Candidate(kind, r.choice(("password", "passphrase", "db_pass")), " ".join(r.choice((r.choice(words), plain())) for _ in range(r.choice((3, 4, 5)))), path), 1))
