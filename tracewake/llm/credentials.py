@@ -60,7 +60,7 @@ PREFIXED = "|".join(p + rest for p, rest in PREFIXES)
 ACCOUNT_WORDS = ("login", "logon", "log-in", "log in", "signin", "sign-in", "sign in", "account", "user", "anmeldung", "zugang", "usuario", "登录", "账号", "账户", "用户")
 ACCOUNT = r"(?P<c>(?<![A-Za-z])(?:" + "|".join(ACCOUNT_WORDS) + r")(?:s|name|names)?(?![A-Za-z0-9_]))"
 # a value that no identifier looks like: small letters, digits and capitals or signs
-SHAPED = r"(?<![^\s'\"`(=:,])(?!(?i:sha\d|md5|urn:))(?!_?(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[vV]?\d{1,4}|[_-])+(?![\w!#$%^&*+=~-]))(?=[^\s'\"`]*[a-z])(?=[^\s'\"`]*\d)(?=[^\s'\"`]*[A-Z!#$%^&*])(?P<v>[\w!#$%^&*+=~-]{8,64})(?![^\s'\"`),;.])"
+SHAPED = r"(?<![^\s'\"`(=:,])(?!(?i:sha\d|md5|urn:))(?!_?(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}+|[vV]?\d++|[_-])++(?![\w!#$%^&*+=~-]))(?=[^\s'\"`]*[a-z])(?=[^\s'\"`]*\d)(?=[^\s'\"`]*[A-Z!#$%^&*])(?P<v>[\w!#$%^&*+=~-]{8,})(?![^\s'\"`),;.])"
 IDENT = r"(?<![\w.$-])(?=[\w.$-]*?(?:pass(?:word|wd|phrase|code|wort)?|pwd|pw|secrets?|tokens?|keys?|credentials?|creds?|auth|kennwort|contraseña|密码|口令|密钥))[\w.$-]++"
 
 PEM = re.compile(r"-----\s*BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?\s*-----", re.I)
@@ -85,7 +85,7 @@ FORMS: tuple[tuple[str, re.Pattern[str]], ...] = (
     ("prefixed", re.compile(r"(?P<c>)(?<![A-Za-z0-9])(?P<v>" + PREFIXED + ")")),
 )
 #: the part of a login line behind the account's words
-LOGIN_TAIL = re.compile(r"(?:\s(?:was|is|were|are|ist|war|es|era|with|as)\s*:?|[:=：]|[是为])\s*['\"`(]?(?![\d/])[\w.@+-]{1,64}['\"`]?\s+[/|]\s+['\"`]?(?P<v>[^\s'\"`]+)", re.I)
+LOGIN_TAIL = re.compile(r"(?:\s(?:was|is|were|are|ist|war|es|era|with|as)\s*:?|[:=：]|[是为])\s*['\"`(]?(?![\d/])[\w.@+-]++['\"`]?\s+[/|]\s+['\"`]?(?P<v>[^\s'\"`]+)", re.I)
 LOGIN_SHAPED = re.compile(SHAPED)
 NO_LOGIN = re.compile(r"\b(?:u?u?ids?|hash|commit|checksum|digest|sha\d*|md5|etag|fingerprint|public)\b", re.I)
 ACCOUNT_WORD = re.compile(ACCOUNT, re.I)
