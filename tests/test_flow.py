@@ -268,3 +268,27 @@ def test_prompt_and_outcomes(spark):
     assert "## Repositories\n\n## Analysis Goal" in context.system_prompt(repos.limit(0), "/w", "g", [], "r", "s").first().prompt
     m = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "assistant", "b"), (2, 0, "user", "q")], "conv_id int, pos int, role string, content string")
     assert {(r.conv_id, r.steps, r.truncated, r.content) for r in context.run_outcomes(m, 2).collect()} == {(1, 2, True, "b"), (2, 0, False, "")}
+
+
+def test_report_json_tells_null_from_empty(spark, tmp_path):
+    import json
+
+    from tests.compare import connect
+    from tracewake.plans import catalogue
+
+    node = {"func_name": "f", "repo": "r", "line": 1}
+    rows = [
+        {"task_id": "bare"},
+        {"task_id": "nulls", "downward_chain": None, "upward_chains": None, "entry_points": None, "impact_summary": None},
+        {"task_id": "empty", "downward_chain": {"nodes": []}, "upward_chains": [], "entry_points": [], "impact_summary": {"direct_count": 0, "cross_repo_impact": []}},
+        {"task_id": "chains", "upward_chains": [{"nodes": [node]}, {"nodes": []}, {"direction": "up"}, None], "entry_points": [{"protocol": "HTTP"}, {}], "impact_summary": {"cross_repo_impact": ["a", "b"]}},
+    ]
+    texts = [json.dumps(x) for x in rows] + [json.dumps(json.dumps({"task_id": "inner", "entry_points": None}))]
+    spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, call_chain string").selectExpr("*", "timestamp'2025-01-01' AS loaded_at").coalesce(1).write.parquet(f"{tmp_path}/written")
+    (part,) = (tmp_path / "written").glob("*.parquet")
+    folder = tmp_path / "tables"
+    folder.mkdir()
+    part.rename(folder / "analysis_results.parquet")
+    df, rel = catalogue.queries()["report_json"](spark, str(folder)), connect(folder).sql(catalogue.oracle_sql()["report_json"])
+    assert df.columns == rel.columns
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, rel.fetchall()))

@@ -91,8 +91,8 @@ def terminal(r: dict[str, Column], colours: bool = False) -> Column:
     return F.concat(*[F.coalesce(p, _S("")) for p in (head, down, up, cases, direct, cross, check)])
 
 
-def reports(results: DataFrame, style: str) -> DataFrame:
-    """task_id, report. results: rows of the schema schemas.ANALYSIS_RESULT."""
+def reports(results: DataFrame, style: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """task_id, report and the columns to keep. results: rows of the schema schemas.ANALYSIS_RESULT, and those columns."""
     if style not in FORMATS:
         raise ValueError(f"unknown report format {style!r}")
     r = {
@@ -103,5 +103,5 @@ def reports(results: DataFrame, style: str) -> DataFrame:
         "impact": F.col("impact_summary"),
         "self_check": F.col("self_check_report"),
     }
-    text = F.to_json(F.struct(*results.columns)) if style == "json" else terminal(r) if style == "terminal" else markdown(r)
-    return results.select("task_id", text.alias("report"))
+    text = F.to_json(F.struct(*[c for c in results.columns if c not in keep])) if style == "json" else terminal(r) if style == "terminal" else markdown(r)
+    return results.select("task_id", text.alias("report"), *keep)

@@ -157,7 +157,7 @@ def _all_results(spark: SparkSession, d: str) -> DataFrame:
     """As _results, those in JSON strings and outer objects too."""
     r = first_per_id(table(spark, d, "analysis_results"), "call_chain").where("call_chain IS NOT NULL")
     r = r.select("id", shred.result_texts(F.col("call_chain")).alias("t")).where(F.get_json_object("t", "$.task_id").isNotNull())
-    return r.select("id", F.from_json("t", schemas.ANALYSIS_RESULT).alias("r"))
+    return r.select("id", F.from_json("t", schemas.ANALYSIS_RESULT).alias("r"), F.array_contains(F.json_object_keys("t"), "entry_points").alias("has_entries"))
 
 
 def report_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -174,14 +174,20 @@ def report_terminal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def report_json(spark: SparkSession, d: str) -> DataFrame:
-    """The JSON reports, read back: what they hold must be what the results hold."""
+    """The JSON reports, read back: what they hold must be what the results hold.
+
+    A missing list is an empty text, except for entries that the result doesn't name at all; a chain that is no object is "-".
+    """
     r = F.from_json("report", schemas.ANALYSIS_RESULT)
-    out = report.reports(_all_results(spark, d).select("r.*"), "json").select("task_id", r.alias("r"))
-    nodes = lambda c: F.array_join(F.transform(c, lambda n: F.concat_ws(":", n["repo"], n["func_name"], n["file_path"], n["line"].cast("string"), n["node_type"])), "|")
-    ups = F.array_join(F.transform("r.upward_chains", lambda c: F.coalesce(nodes(c["nodes"]), F.lit("-"))), "#")
+    results = _all_results(spark, d).select("r.*", "has_entries")
+    out = report.reports(results, "json", keep=("has_entries",)).select("task_id", r.alias("r"), "has_entries")
+    text = lambda parts, sep: F.coalesce(F.array_join(parts, sep), F.lit(""))
+    nodes = lambda c: text(F.transform(c, lambda n: F.concat_ws(":", n["repo"], n["func_name"], n["file_path"], n["line"].cast("string"), n["node_type"])), "|")
+    ups = text(F.transform("r.upward_chains", lambda c: F.when(c.isNull(), "-").otherwise(nodes(c["nodes"]))), "#")
+    entries = text(F.transform("r.entry_points", lambda e: F.concat_ws(" ", e["protocol"], e["path"], e["node"]["func_name"])), "|")
     return out.select(
-        "task_id", F.col("r.input_type").alias("input_type"), nodes(F.col("r.downward_chain.nodes")).alias("nodes"), ups.alias("upward"), F.array_join(F.transform("r.entry_points", lambda e: F.concat_ws(" ", e["protocol"], e["path"], e["node"]["func_name"])), "|").alias("entries"),
-        F.col("r.impact_summary.direct_count").alias("direct_count"), F.array_join("r.impact_summary.cross_repo_impact", "|").alias("cross_repo"), F.col("r.self_check_report").alias("self_check"),
+        "task_id", F.col("r.input_type").alias("input_type"), nodes(F.col("r.downward_chain.nodes")).alias("nodes"), ups.alias("upward"), F.when(F.col("has_entries"), entries).alias("entries"),
+        F.col("r.impact_summary.direct_count").alias("direct_count"), text("r.impact_summary.cross_repo_impact", "|").alias("cross_repo"), F.col("r.self_check_report").alias("self_check"),
     )
 
 
