@@ -183,3 +183,36 @@ def test_long_odd_texts_take_linear_time():
     for text in ("Calle " + "A" * 5000, "Plaza " + "Aa" * 5000 + " x", "a." * 20_000 + "@", "1 " * 20_000, "Thanks to " + "Ab " * 20_000, "由" * 20_000, "( " * 20_000, "A" * 50_000, "x@" * 10_000, "王" * 20_000, "0" * 30_000, "12-34 " * 5000, "http://" + "a@b.cc " * 5000):
         pii.mentions(text, TAGGER)
     assert time.time() - t < 20
+
+
+def corpus(spark):
+    """6,000 short texts; names stand in every fifth, each word of a kind in every seventh."""
+    given, family = [w.title() for w in names.FEMALE[:40]], [w.title() for w in names.FAMILY[:37]]
+    return [(i, f"parcel {'blue' if i % 7 else 'brass'} {i} " + (f"handed to {given[i % 40]} {family[i % 37]} // ok" if i % 5 == 0 else "Load Balancer was restarted") + (" 客户弋秋反馈" if i % 3 == 0 else "")) for i in range(6000)]
+
+
+def test_tagger_is_fitted_on_every_text(spark):
+    docs = corpus(spark)
+    surnames, given = frozenset(names.ZH_FAMILY) | {"南", "沐"}, frozenset("芷岚")
+    records = [r for _, t in docs for *_, r in [*names.latin_candidates(t), *names.han_candidates(t, surnames, None, given=given)]]
+    words = names.Counter(w for _, t in docs for w in names.common_words(t))
+    want = names.train(LEX, records, list(words.items()), len(docs))
+    got = pii.fit(frame(spark, docs), lexicon(spark)).value
+    assert got.vocabulary == want.vocabulary and "brass" in got.vocabulary and got.zh_common == want.zh_common and got.cues == want.cues
+    assert got.weights.keys() == want.weights.keys() and all(abs(w - got.weights[f]) < 1e-6 for f, w in want.weights.items())
+    assert got.platt == pytest.approx(want.platt, abs=1e-6)
+
+
+def test_fit_is_the_same_where_its_rows_stay_on_the_executors(spark, monkeypatch):
+    from functools import partial
+
+    from tracewake.llm import corpus as records
+    from tracewake.llm import sparse
+
+    monkeypatch.setattr(sparse, "logistic", partial(sparse.logistic, rounds=5))
+    docs = frame(spark, corpus(spark)[:500])
+    here = pii.fit(docs, lexicon(spark)).value
+    monkeypatch.setattr(records, "LOCAL_BYTES", 0)
+    there = pii.fit(docs, lexicon(spark)).value
+    assert here.weights.keys() == there.weights.keys() and all(abs(w - there.weights[f]) < 1e-6 for f, w in here.weights.items())
+    assert here.platt == pytest.approx(there.platt, abs=1e-6) and here.cues == there.cues

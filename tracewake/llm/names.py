@@ -4,7 +4,7 @@ Every pair of capitalised words, initial with a word, or short Han string behind
 a possible surname is a candidate. A logistic model scores it from the shape,
 two Markov chains over letters (names against ordinary words), lists of common
 names, the caller's lexicon, the corpus' own lower-case words, and the words
-around. It is fitted on a bounded sample of the corpus and on made-up sentences;
+around. It is fitted on all candidates of the corpus and on made-up sentences;
 the labels come from names that are known on both sides and from ordinary words.
 Half of the training rows go without lists and lexicon, so that unseen names are
 judged by form and context. Platt scaling on a held-out part calibrates scores.
@@ -16,12 +16,15 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field, replace
 
 from tracewake.llm import sparse
+from tracewake.llm.corpus import Listed, Spread
 
 THRESHOLD = 0.5
+#: rows that must have a feature, in the corpus or among the made-up ones
+LEAST = 3
 SEED = 5
 HAN = "一-鿿"
 
@@ -48,16 +51,18 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 UP, LOW = "A-ZÀ-ÖØ-Þ", "a-zß-öø-ÿ"
 CAP = rf"(?:[{UP}][{LOW}]+(?:['’-][{UP}][{LOW}]+)*|(?:Mc|Mac|O['’]|D['’])[{UP}][{LOW}]+|[{UP}]{{2,}}(?:['’-][{UP}]{{2,}})*)"
 STOP = rf"(?![{LATIN}0-9_(/]|\.[{LATIN}0-9]|['’-][{LATIN}0-9])"
-START = re.compile(rf"(?<![{LATIN}0-9_.'’@/+-])(?:[{UP}]\. ?|{CAP}(?=,? (?:[{UP}]|(?:van|von|de|der|den|del|la|di|da|dos|zu|bin|al) )))")
+CAPITAL = re.compile(rf"[{UP}](?<![{LATIN}0-9_.'’@/+-].)")
+START = re.compile(rf"[{UP}]\. ?|{CAP}(?=,? (?:[{UP}]|(?:van|von|de|der|den|del|la|di|da|dos|zu|bin|al) ))")
 PAIR = re.compile(rf"({CAP}) (?:[{UP}]\. ?){{0,2}}({CAP}){STOP}")
 PARTICLE = re.compile(rf"({CAP}) (?:(?:van|von|de|der|den|del|la|di|da|dos|zu|bin|al) ){{1,3}}({CAP}){STOP}")
 INITIAL = re.compile(rf"([{UP}])\. ?(?:[{UP}]\. ?)?({CAP}){STOP}")
 COMMA = re.compile(rf"({CAP}), ({CAP})(?: [{UP}]\.(?! ?[{UP}]))?{STOP}")
 COMMA_INITIAL = re.compile(rf"({CAP}), ([{UP}])\.(?: ?[{UP}]\.)?(?![{LATIN}0-9])")
 BEFORE_INITIAL = re.compile(rf"{CAP} (?:[{UP}]\. ?)?$")
-LEFT = re.compile(rf"(?:([{LATIN}0-9_]+)([^{LATIN}0-9_{HAN}]*)|([{HAN}]{{1,2}})([^{LATIN}0-9_{HAN}]*)|([^{LATIN}0-9_{HAN}]*))$")
+#: what stands before a place, read backwards
+LEFT = re.compile(rf"([^{LATIN}0-9_{HAN}]*)(?:([{LATIN}0-9_]+)|([{HAN}]{{1,2}}))?")
 RIGHT = re.compile(rf"([^{LATIN}0-9_{HAN}]{{0,4}})([{LATIN}]+|[0-9]|[{HAN}]{{1,2}})?")
-WORD = re.compile(rf"(?<![{LATIN}0-9@._/+-])[{LOW}]{{2,}}(?![{LATIN}0-9@_/]|[.-][{LATIN}0-9])")
+WORD = re.compile(rf"(?<![{LATIN}0-9@._/+-])[{LOW}]{{2,}}+(?![{LATIN}0-9@_/]|[.-][{LATIN}0-9])")
 HAN_RUN = re.compile(rf"[{HAN}]{{2,}}")
 
 Record = tuple[str, ...]
@@ -65,8 +70,12 @@ Record = tuple[str, ...]
 
 def latin_candidates(t: str) -> Iterator[tuple[int, int, Record]]:
     """(start, end, record); overlapping ones too. A record holds form, words and surroundings."""
-    for m in START.finditer(t):
-        a = m.start()
+    end = 0
+    for c in CAPITAL.finditer(t):
+        a = c.start()
+        if a < end or not (m := START.match(t, a)):
+            continue
+        end = m.end()
         initial = t[a + 1 : a + 2] == "."
         if initial:
             if not BEFORE_INITIAL.search(t, max(0, a - 40), a) and (x := INITIAL.match(t, a)):
@@ -85,12 +94,17 @@ def latin_candidates(t: str) -> Iterator[tuple[int, int, Record]]:
 
 def _latin(t: str, m: re.Match[str], form: str, given: str, family: str) -> tuple[int, int, Record]:
     a, b = m.span()
-    left = LEFT.search(t[max(0, a - 40) : a])
-    word, gap = (left.group(1) or left.group(3) or "", left.group(2) or left.group(4) or left.group(5) or "")
+    word, gap = _left(t[max(0, a - 40) : a])
     head = t[max(0, a - 40) : a - len(gap) - len(word)] if word else ""
-    second = LEFT.search(head)
+    second, _ = _left(head)
     right = RIGHT.match(t, b)
-    return a, b, ("latin", form, given, family, word.casefold(), gap[-3:], (second.group(1) or second.group(3) or "").casefold(), right.group(1)[:2], (right.group(2) or "").casefold())
+    return a, b, ("latin", form, given, family, word.casefold(), gap[-3:], second.casefold(), right.group(1)[:2], (right.group(2) or "").casefold())
+
+
+def _left(t: str) -> tuple[str, str]:
+    """The last word or two Han characters of a text, and what follows."""
+    m = LEFT.match(t[::-1])
+    return (m.group(2) or m.group(3) or "")[::-1], m.group(1)[::-1]
 
 
 def han_candidates(t: str, surnames: frozenset[str], cues: re.Pattern[str] | None, common: frozenset[str] = frozenset(), given: frozenset[str] = frozenset()) -> Iterator[tuple[int, int, Record]]:
@@ -260,6 +274,8 @@ _ZH_FAMILY, _ZH_GIVEN = frozenset(ZH_FAMILY), frozenset(ZH_GIVEN)
 def common_words(t: str) -> set[str]:
     """Lower-case words of a text and the Han pairs that begin like a surname."""
     out = set(WORD.findall(t))
+    if t.isascii():
+        return out
     for run in HAN_RUN.findall(t):
         out.update(run[i : i + 2] for i in range(len(run) - 1))
     return out
@@ -334,80 +350,157 @@ def _filled(template: str, hole: str, name: str) -> tuple[str, list[tuple[int, i
     return template, spans
 
 
-def train(lexicon: list[tuple[str, str, str]], records: list[Record], words: list[tuple[str, int]], docs: int) -> Tagger:
-    """Fits the model. records and words come from the sample of docs texts; words with the number of texts that hold them."""
+def least_texts(docs: int) -> int:
+    """Texts that must hold a word before it counts as ordinary: a share of all, or names written small now and then would join them as a corpus grows."""
+    return max(3, docs // 1300)
+
+
+def train(lexicon: list[tuple[str, str, str]], records: list[Record] | Spread, words: list[tuple[str, int]], docs: int) -> Tagger:
+    """Fits the model. records and words come from docs texts; words with the number of texts that hold them."""
+    corpus = records if isinstance(records, Spread) else Listed(records)
     part = lambda p, zh: frozenset((n if zh else n.casefold()) for n, q, s in lexicon if q == p and (s == "zh") == zh)
     known = part("given", False) | part("family", False) | _GIVEN | _FAMILY
     least = max(3, docs // 500)
-    vocabulary = frozenset(w for w, n in words if n >= 3 and w.isascii() | (not HAN_RUN.match(w)) and w not in known)
+    vocabulary = frozenset(w for w, n in words if n >= least_texts(docs) and w.isascii() | (not HAN_RUN.match(w)) and w not in known)
     zh_common = frozenset(w for w, n in words if n >= least and HAN_RUN.match(w) and not (w[0] in part("family", True) and w[1] in part("given", True)))
     base = frozenset(w.casefold() for k, w in enumerate(NOUNS) if k % 4) - known  # the others are judged by context
     vocabulary |= base
     chain = Chain(sorted(known), sorted(vocabulary | ORDINARY))
     tagger = Tagger(part("given", False), part("family", False), part("family", True), part("given", True), vocabulary, zh_common, chain).ready()
-    _grow(tagger, records)
+    _grow(tagger, corpus)
+    made_up = _made_up_records(tagger.surnames)
+    _fit(tagger, corpus, _label, made_up)
+    # names found with confidence beside several others join the known ones, and the fit is repeated with all sure records
+    first, parts = tagger, corpus.shared(_sure_parts, tagger, 3)
+    new = [frozenset(p for g, p in parts if g == group) for group in ("given", "family", "zh_given", "zh_family")]
+    tagger = replace(first, given=first.given | new[0], family=first.family | new[1], zh_given=first.zh_given | new[2], zh_family=first.zh_family | new[3]).ready()
+    begun = frozenset(p for _, p in corpus.shared(_whole_and_begun, (first, tagger), 2))
+    _fit(tagger, corpus, _label_or_sure, made_up, first, begun)
+    return tagger
+
+
+def _made_up_records(surnames: frozenset[str]) -> list[tuple[Record, int]]:
     made_up = []
     for text, spans in made_up_sentences():
         made_up += [(r, int((a, b) in spans)) for a, b, r in latin_candidates(text)]
-        for a, b, r in han_candidates(text, tagger.surnames, None):
+        for a, b, r in han_candidates(text, surnames, None):
             if (a, b) in spans or not any(c <= a and b <= d for c, d in spans):  # a part of a name teaches nothing
                 made_up.append((r, int((a, b) in spans)))
-    found = sorted(set(records))
-    _fit(tagger, [(r, y) for r in found if (y := tagger.label(r)) is not None], made_up)
-    # names found with confidence beside several others join the known ones, and the fit is repeated with all sure records
-    sure = {r: p for r in found if tagger.label(r) is None and not 0.05 < (p := tagger.score(r)) < 0.9}
-    given, family, zh_given, zh_family = (_partners(p) for p in zip(*[_parts(r) for r, p in sure.items() if p >= 0.9] or [(("", ""),) * 4], strict=True))
-    tagger.given |= given
-    tagger.family |= family
-    tagger.zh_given |= zh_given
-    tagger.zh_family |= zh_family
-    tagger.ready()
-    labelled = [(r, y) for r in found if (y := tagger.label(r)) is not None]
-    whole = {r[2] for r, p in sure.items() if p >= 0.9 and r[0] == "han" and len(r[2]) == 3} | {r[2] for r, y in labelled if y and r[0] == "han"}
-    begun = lambda r: r[0] == "han" and r[2] + r[4][:1] in whole
-    _fit(tagger, labelled + [(r, int(p >= 0.9 and not begun(r))) for r, p in sure.items() if tagger.label(r) is None], made_up)
-    return tagger
+    return made_up
 
 
-def _grow(tagger: Tagger, records: Iterable[Record], least: int = 3) -> None:
+def _grow(tagger: Tagger, corpus: Listed | Spread, least: int = 3) -> None:
     """Han characters that end runs beside known parts of names, in several names, join the known ones."""
-    names = {r[2] for r in records if r[0] == "han" and r[6] == "1"}
     for _ in range(2):
-        third = _partners(((n[2], n[:2]) for n in names if len(n) == 3 and n[0] in tagger.surnames and n[1] in tagger.zh_given and n[1:] not in tagger.zh_common), least)
-        first = _partners(((n[0], n[1:]) for n in names if len(n) == 3 and all(c in tagger.zh_given for c in n[1:]) and n[:2] not in tagger.zh_common), least)
+        got = corpus.shared(_run_ends, tagger, least)
+        third, first = (frozenset(p for g, p in got if g == group) for group in ("third", "first"))
         tagger.zh_given |= third - ZH_STOP
         tagger.zh_family |= first - ZH_STOP - third - tagger.zh_given
         tagger.ready()
 
 
-def _parts(r: Record) -> tuple[tuple[str, str], ...]:
-    """(part, partner) of a record's given name, family name, Han given characters and Han surname; empty where it has none."""
-    none = ("", "")
+def _run_ends(tagger: Tagger, r: Record) -> Iterator[tuple[str, str, str]]:
+    if r[0] != "han" or r[6] != "1" or len(r[2]) != 3:
+        return
+    n = r[2]
+    if n[0] in tagger.surnames and n[1] in tagger.zh_given and n[1:] not in tagger.zh_common:
+        yield "third", n[2], n[:2]
+    if all(c in tagger.zh_given for c in n[1:]) and n[:2] not in tagger.zh_common:
+        yield "first", n[0], n[1:]
+
+
+def _sure(first: Tagger, r: Record) -> float | None:
+    """The score of a record without label, if it is a clear one."""
+    return p if first.label(r) is None and not 0.05 < (p := first.score(r)) < 0.9 else None
+
+
+def _sure_parts(first: Tagger, r: Record) -> Iterator[tuple[str, str, str]]:
+    """Which part, itself and its partner: given and family name, last Han character and Han surname of a sure name."""
+    if (_sure(first, r) or 0) < 0.9:
+        return
+    if r[0] == "han":
+        yield "zh_given", r[2][-1], r[2][:-1]
+        yield "zh_family", r[2][0], r[2][1:]
+    elif r[1] != "particle":
+        g, f = r[2].casefold(), r[3].casefold()
+        if len(g) > 2:
+            yield "given", g, f
+        if len(f) > 2:
+            yield "family", f, g
+
+
+def _whole_and_begun(taggers: tuple[Tagger, Tagger], r: Record) -> Iterator[tuple[str, str, str]]:
+    """Whole Han names, and what sure ones are with the next character."""
+    first, tagger = taggers
+    if r[0] != "han":
+        return
+    sure = (_sure(first, r) or 0) >= 0.9
+    if tagger.label(r) or (sure and len(r[2]) == 3):
+        yield "", r[2], "whole"
+    if sure:
+        yield "", r[2] + r[4][:1], "begun"
+
+
+def _label(state: _State, r: Record) -> int | None:
+    return state.tagger.label(r)
+
+
+def _label_or_sure(state: _State, r: Record) -> int | None:
+    if (y := state.tagger.label(r)) is not None:
+        return y
+    p = _sure(state.first, r)
+    return None if p is None else int(p >= 0.9 and not (r[0] == "han" and r[2] + r[4][:1] in state.begun))
+
+
+@dataclass
+class _State:
+    """What the examples of a fit are made with."""
+
+    tagger: Tagger
+    label: Callable[[_State, Record], int | None]
+    first: Tagger | None
+    begun: frozenset[str]
+    index: dict[str, int] = field(default_factory=dict)
+
+
+def _seen(state: _State, r: Record) -> Iterator[tuple[str, ...]]:
+    """Features of an example, with and without lists, the number of features of its longest row, and its surroundings for cue words."""
+    if (y := state.label(state, r)) is None:
+        return
+    for lists in (True, False):
+        fs = state.tagger.features(r, lists)
+        yield from (("feature", f) for f in dict.fromkeys(fs))
+        yield "width", str(len(fs))
     if r[0] == "han":
-        return none, none, (r[2][-1], r[2][:-1]), (r[2][0], r[2][1:])
-    g, f = r[2].casefold(), r[3].casefold()
-    if r[1] == "particle":
-        return none, none, none, none
-    return ((g, f) if len(g) > 2 else none), ((f, g) if len(f) > 2 else none), none, none
+        yield from (("good" if y else "bad", c) for c in ((r[3], r[4]) if y else (r[3], r[4], r[3][-1:])))
+        if y:
+            yield "good", r[3][-1:]
 
 
-def _partners(pairs: Iterable[tuple[str, str]], least: int = 3) -> frozenset[str]:
-    """Parts seen with at least so many different partners."""
-    seen: dict[str, set[str]] = {}
-    for part, partner in pairs:
-        seen.setdefault(part, set()).add(partner)
-    return frozenset(p for p, others in seen.items() if p and len(others) >= least)
+def _rows(state: _State, r: Record) -> Iterator[tuple[tuple[int, ...], int, bool]]:
+    if (y := state.label(state, r)) is not None:
+        for lists in (True, False):
+            fs = state.tagger.features(r, lists)
+            yield from [(sparse.number(fs, state.index), y, sparse.is_held(fs))] * 2  # as much as two made-up ones
 
 
-def _fit(tagger: Tagger, examples: list[tuple[Record, int]], made_up: list[tuple[Record, int]]) -> None:
+def _fit(tagger: Tagger, corpus: Listed | Spread, label: Callable[[_State, Record], int | None], made_up: list[tuple[Record, int]], first: Tagger | None = None, begun: frozenset[str] = frozenset()) -> None:
     """Weights and calibration from all examples, each once with and once without lists, and cue words from the corpus' own."""
-    rows = [(tagger.features(r, lists), y) for r, y in [*examples, *examples, *made_up] for lists in (True, False)]
-    tagger.weights, tagger.platt = sparse.fit(rows)
-    good, bad = Counter(), Counter()
-    for r, y in examples:
-        if r[0] == "han":
-            (good if y else bad).update((r[3], r[4]) if y else (r[3], r[4], r[3][-1:]))
-            good[r[3][-1:]] += y
+    state = _State(tagger, label, first, begun)
+    invented = [(tagger.features(r, lists), y) for r, y in made_up for lists in (True, False)]
+    kept = {f for f, n in Counter(f for fs, _ in invented for f in set(fs)).items() if n >= LEAST}
+    good, bad, width = Counter(), Counter(), max(len(fs) for fs, _ in invented)
+    for (kind, x), n in corpus.count(_seen, state, LEAST).items():
+        if kind == "feature":
+            kept.add(x)
+        elif kind == "width":
+            width = max(width, int(x))
+        else:
+            (good if kind == "good" else bad)[x] += n
+    state.index = {f: k for k, f in enumerate(sorted(kept))}
+    local = sparse.blocks((sparse.number(fs, state.index), y, sparse.is_held(fs)) for fs, y in invented)
+    found = corpus.blocks(_rows, state)
+    tagger.weights, tagger.platt = sparse.solve(lambda f: f(local) + found(f), state.index, width)
     cue = {c for c, n in good.items() if c and n >= 8 and n > 0.4 * (n + bad[c]) and not c.isspace() and any("一" <= x <= "鿿" for x in c)}
     tagger.cues = "|".join(re.escape(c) for c in sorted(cue, key=lambda c: (-len(c), c)))
     tagger.ready()

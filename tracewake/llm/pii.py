@@ -8,9 +8,9 @@ numbers lose country code and trunk prefix, names are taken by their parts.
 Every mention gets a keyed surrogate of its type (surrogates.py), checked for
 collisions over the corpus; what is listed is what was replaced.
 
-The tagger is fitted on about TRAIN_DOCS texts (those whose id hashes lowest), at
-most TRAIN_RECORDS name-like spans and TRAIN_WORDS words of them; detection reads
-every text whole.
+The tagger is fitted on every text: all words are counted and all distinct
+name-like spans are examples. These stay on the executors; words and features that
+several texts or spans share, and sums, reach the driver (corpus.py).
 
 Nulls and edge cases: null texts and ids give nothing to the list; a null text
 stays null in the rewritten table; overlapping finds keep the longer one;
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -31,20 +32,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewake.llm import names as tagging
+from tracewake.llm.corpus import Spread
 from tracewake.llm.surrogates import entity, formatted, parts_of, surrogate_table
 from tracewake.session import cut, spread
 
-TRAIN_DOCS = 4000
-TRAIN_RECORDS = 40_000
-TRAIN_WORDS = 50_000
 #: The lexicon goes to every worker; more names than this are refused rather than sent.
 MAX_LEXICON = 500_000
 HAN = "一-鿿"
+TEXTS, WORDS, RECORDS = range(3)
 MENTIONS = "doc_id long, kind string, value string"
 
 # ---- mail
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
-_LOCAL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*"
+_LOCAL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+"
 EMAIL = re.compile(
     rf"{_LOCAL}(?: ?(?:@|＠|[\[({{] ?(?:at|AT) ?[\])}}]) ?{_LABEL}(?:(?:\.| ?[\[({{] ?(?:dot|DOT) ?[\])}}] ?){_LABEL})+"
     rf"| (?:at|AT) {_LABEL}(?: (?:dot|DOT) {_LABEL})+)"
@@ -225,31 +225,30 @@ def _lexicon(names: DataFrame) -> list[tuple[str, str, str]]:
 
 
 def fit(documents: DataFrame, names: DataFrame) -> Broadcast[tagging.Tagger]:
-    """The name tagger, fitted on a bounded sample; only name-like spans and words reach the driver."""
+    """The name tagger, fitted on all texts."""
     lexicon = _lexicon(names)
-    texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    n = texts.count()
-    share = min(1.0, TRAIN_DOCS / max(n, 1))
-    low = F.xxhash64("doc_id", F.lit(tagging.SEED)) < F.lit(min(int(-(2**63) + share * (2**64 - 1)), 2**63 - 1))
-    sample = texts.where(low if share < 1 else F.lit(True)).select("text")
+    texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("text")
     surnames = frozenset(tagging.ZH_FAMILY) | {w for w, p, s in lexicon if s == "zh" and p == "family"}
-
     given = frozenset(w for w, p, s in lexicon if s == "zh" and p == "given")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows: list[tuple[list[str], bool]] = []
+            words: Counter[str] = Counter()
+            records: set[tagging.Record] = set()
             for t in batch["text"]:
-                rows += [([w], True) for w in tagging.common_words(EMAIL.sub(" ", t))]
-                streets = [x for x in _addresses(t)]
-                rows += [(list(r), False) for a, b, r in tagging.latin_candidates(t) if not any(a < d and c < b for c, d in streets)]
-                rows += [(list(r), False) for *_, r in tagging.han_candidates(t, surnames, None, given=given)]
-            yield pd.DataFrame(rows, columns=["r", "word"])
-
-    counted = cut(spread(sample).mapInPandas(extract, "r array<string>, word boolean").groupBy("r", "word").agg(F.count(F.lit(1)).alias("n")))
-    words = counted.where("word AND n > 2").orderBy(F.col("n").desc(), "r").limit(TRAIN_WORDS).collect()
-    records = counted.where("NOT word").orderBy(F.xxhash64("r")).limit(TRAIN_RECORDS).collect()
-    tagger = tagging.train(lexicon, [tuple(x["r"]) for x in records], [(x["r"][0], x["n"]) for x in words], min(n, TRAIN_DOCS))
+                words.update(tagging.common_words(EMAIL.sub(" ", t) if any(x in t for x in AT_SIGNS) else t))
+                if found := list(tagging.latin_candidates(t)):
+                    streets = list(_addresses(t))
+                    records.update(r for a, b, r in found if not any(a < d and c < b for c, d in streets))
+                if not t.isascii():
+                    records.update(r for *_, r in tagging.han_candidates(t, surnames, None, given=given))
+            rows = [(TEXTS, [], len(batch)), *((WORDS, [w], n) for w, n in words.items()), *((RECORDS, list(r), 1) for r in records)]
+            yield pd.DataFrame(rows, columns=["what", "r", "n"])
+
+    counted = cut(spread(texts).mapInPandas(extract, "what int, r array<string>, n long").groupBy("what", "r").agg(F.sum("n").alias("n")))
+    n = counted.where(F.col("what") == TEXTS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    words = counted.where((F.col("what") == WORDS) & (F.col("n") >= tagging.least_texts(n))).select(F.col("r")[0], "n").collect()
+    tagger = tagging.train(lexicon, Spread(counted.where(F.col("what") == RECORDS).select("r")), [tuple(w) for w in words], n)
     return documents.sparkSession.sparkContext.broadcast(tagger)
 
 
